@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, ngram_join
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.op1,
     "op3_source_mixing": mixing.op3,
     "op5_exact_dedup": exact_dedup.op5,
 }
 
 SQL = {
+    "op1_ngram_jaccard": ngram_join.OP1_SQL,
     "op3_source_mixing": mixing.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
