@@ -63,29 +63,29 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
     )
 
 
-def queue_places(sizes: DataFrame, targets: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
+def queue_places(sizes: DataFrame, targets: DataFrame, bucket_rows: int = 2_000) -> DataFrame:
     """Adds to each document its place ``k`` and the words ``before`` it in its source's shuffled queue.
 
-    The queue of a source is cut into hash buckets of about ``bucket_rows``
-    documents: sums of buckets are prefix-summed, then documents inside each."""
-    n = (F.col("n_rows") / bucket_rows).cast("long") + 1
-    d = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    d = d.withColumn("bucket", (F.col("h") / F.lit(float(1 << 60)) * n).cast("long"))
-    key = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")]
-    d = d.select("*", *key)
-    sums = d.groupBy("no_source", "source_key", "bucket").agg(F.sum("size").alias("bs"), F.count("*").alias("bn"))
+    Queues are cut into hash buckets (so many that a source with all rows would
+    have ``bucket_rows`` in each): bucket sums are prefix-summed, then documents
+    inside each bucket.  Documents are only ever dealt out by source *and*
+    bucket; the targets come to them with the bucket sums."""
+    n = partitions_for(sizes.count(), bucket_rows)
+    no_source, source_key = F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")
+    bucket = (F.col("h") / F.lit(float(1 << 60)) * n).cast("long").alias("bucket")
+    d = sizes.select("doc_id", "size", "h", no_source, source_key, bucket)
+    key = ["no_source", "source_key", "bucket"]
+    sums = d.groupBy(*key).agg(F.sum("size").alias("bs"), F.count("*").alias("bn"))
     w = W.partitionBy("no_source", "source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(
-        "no_source", "source_key", "bucket",
-        F.coalesce(F.sum("bs").over(w), F.lit(0)).alias("base"), F.coalesce(F.sum("bn").over(w), F.lit(0)).alias("base_n"),
-    )
-    inner = W.partitionBy("no_source", "source_key", "bucket").orderBy("h", "doc_id", "size")
+    base = sums.select(*key, F.coalesce(F.sum("bs").over(w), F.lit(0)).alias("base"), F.coalesce(F.sum("bn").over(w), F.lit(0)).alias("base_n"))
+    base = base.join(targets.select(no_source, source_key, "source_size", "target"), ["no_source", "source_key"])
+    inner = W.partitionBy(*key).orderBy("h", "doc_id", "size")
     d = d.withColumn("in_bucket", F.coalesce(F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    d = d.withColumn("in_n", F.row_number().over(inner))
-    d = d.join(base, ["no_source", "source_key", "bucket"])
-    return d.withColumn("before", F.col("base") + F.col("in_bucket")).withColumn("k", F.col("base_n") + F.col("in_n")).drop(
-        "base", "base_n", "in_bucket", "in_n", "bucket", "h", "n_rows"
-    )
+    d = d.withColumn("in_n", F.row_number().over(inner)).join(base, key)
+    return d.select(
+        "no_source", "source_key", "doc_id", "size", "source_size", "target",
+        (F.col("base") + F.col("in_bucket")).alias("before"), (F.col("base_n") + F.col("in_n")).alias("k"),
+    )
 
 
 def mix_queue(placed: DataFrame, most: int = 3, rows_per_partition: int = 1_000_000) -> DataFrame:
