@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join
+from . import exact_dedup, language_id, mixing, ngram_join, packing, quality, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1,
     "op3_source_mixing": mixing.op3,
     "op5_exact_dedup": exact_dedup.op5,
+    "op7_language_id": language_id.op7,
+    "op8_toxicity": toxicity.op8,
+    "op9_quality": quality.op9,
+    "op10_best_fit_packing": packing.op10,
 }
 
 SQL = {
