@@ -40,11 +40,6 @@ from .common import connected_components, local_components, materialize, partiti
 _HOT_DF = np.uint32(0xFFFFFFFF)
 
 
-def _need(n: str) -> str:
-    """n-grams that a set of ``n`` must share with another to link: ceil(0.8 n)."""
-    return f"((4 * {n} + 4) div 5)"
-
-
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, n, f1, f2): n-gram set size and 128-bit set fingerprint of each whole text."""
 
@@ -146,87 +141,98 @@ def _deal(parts: int, size: int, hot: np.ndarray, ambiguous: frozenset[int]):
     return run
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """Blocks of one range of n-grams → (key, n, grams, dfs) of the n-grams of more than one class."""
-    cols = {c: table.column(c).to_pylist() for c in _NAMES[1:]}
-    out_key, out_n, out_g, out_df = [], [], [], []
-    gs, ks, keys, sizes, base = [], [], [], [], 0
-    for high, low, owner, key, size in zip(*cols.values(), strict=True):
-        k = np.frombuffer(key, np.int64)
-        if not owner:
-            out_key.append(int(k[0]))
-            out_n.append(int(np.frombuffer(size, np.uint32)[0]))
-            out_g.append(low)
-            out_df.append(np.full(len(low) // 8, _HOT_DF).tobytes())
-            continue
-        h = np.frombuffer(high, np.uint16)
-        g = np.zeros((len(h), 8), np.uint8)
-        g[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-        gs.append(g.view(np.uint64).ravel() | (h.astype(np.uint64) << np.uint64(48)))
-        ks.append(np.frombuffer(owner, np.uint16 if len(owner) == 2 * len(h) else np.uint32).astype(np.int64) + base)
-        keys.append(k)
-        sizes.append(np.frombuffer(size, np.uint32))
-        base += len(k)
-    if gs:
-        key, at, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        size = np.concatenate(sizes)[at]
-        g = np.concatenate(gs)
-        owner = same[np.concatenate(ks)]
-        del gs, ks
-        order = np.argsort(g, kind="stable")
-        g, owner = g[order], owner[order]
-        new = np.concatenate([[True], g[1:] != g[:-1]])
-        alone = new & np.concatenate([new[1:], [True]])
-        g, owner = g[~alone], owner[~alone]
-        order = np.lexsort((owner, g))
-        g, owner = g[order], owner[order]
-        once = np.ones(len(g), bool)
-        once[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
-        g, owner = g[once], owner[once]  # copies in several slices count once
-        if len(g):
-            start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            count = np.diff(np.append(start, len(g)))
-            df = np.repeat(count, count)
-            g, owner, df = g[df > 1], owner[df > 1], df[df > 1].astype(np.uint32)
-            order = np.argsort(owner, kind="stable")
-            g, owner, df = g[order], owner[order], df[order]
-            edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-            for a, b in zip(edge, np.append(edge[1:], len(owner)), strict=True) if len(owner) else []:
-                out_key.append(int(key[owner[a]]))
-                out_n.append(int(size[owner[a]]))
-                out_g.append(g[a:b].tobytes())
-                out_df.append(df[a:b].tobytes())
-    return pa.table({"key": pa.array(out_key, pa.int64()), "n": pa.array(out_n, pa.int64()), "grams": pa.array(out_g, pa.binary()), "dfs": pa.array(out_df, pa.binary())})
+_SHARED = "dest int, keys binary, sizes binary, counts binary, grams binary, dfs binary"
+
+
+def _gather(dests: int):
+    """Blocks of one range of n-grams → the n-grams of more than one class, packed for ``dests`` groups of classes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gs, ks, keys, sizes, base = [], [], [], [], 0
+        own: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # (key, n, n-gram, frequency) of each entry
+        for high, low, owner, key, size in zip(*[table.column(c).to_pylist() for c in _NAMES[1:]], strict=True):
+            k, n = np.frombuffer(key, np.int64), np.frombuffer(size, np.uint32)
+            if not owner:  # hot n-grams of one class
+                g = np.frombuffer(low, np.uint64)
+                own.append((np.full(len(g), k[0]), np.full(len(g), n[0]), g, np.full(len(g), _HOT_DF)))
+                continue
+            h = np.frombuffer(high, np.uint16)
+            g = np.zeros((len(h), 8), np.uint8)
+            g[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+            gs.append(g.view(np.uint64).ravel() | (h.astype(np.uint64) << np.uint64(48)))
+            ks.append(np.frombuffer(owner, np.uint16 if len(owner) == 2 * len(h) else np.uint32).astype(np.int64) + base)
+            keys.append(k)
+            sizes.append(n)
+            base += len(k)
+        if gs:
+            key, at, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            size = np.concatenate(sizes)[at]
+            g = np.concatenate(gs)
+            owner = same[np.concatenate(ks)]
+            del gs, ks
+            order = np.argsort(g, kind="stable")
+            g, owner = g[order], owner[order]
+            new = np.concatenate([[True], g[1:] != g[:-1]])
+            alone = new & np.concatenate([new[1:], [True]])
+            g, owner = g[~alone], owner[~alone]
+            order = np.lexsort((owner, g))
+            g, owner = g[order], owner[order]
+            once = np.ones(len(g), bool)
+            once[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+            g, owner = g[once], owner[once]  # copies in several slices count once
+            if len(g):
+                count = np.diff(np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g)))
+                df = np.repeat(count, count)
+                several = df > 1
+                own.append((key[owner[several]], size[owner[several]], g[several], df[several].astype(np.uint32)))
+        rows = []
+        if own:
+            key, n, g, df = (np.concatenate(x) for x in zip(*own, strict=True))
+            dest = (key.view(np.uint64) % np.uint64(dests)).astype(np.int64)
+            order = np.lexsort((key, dest))
+            key, n, g, df, dest = key[order], n[order], g[order], df[order], dest[order]
+            cut = np.searchsorted(dest, np.arange(dests + 1))
+            for d in np.flatnonzero(np.diff(cut)):
+                part = slice(cut[d], cut[d + 1])
+                first = np.flatnonzero(np.concatenate([[True], key[part][1:] != key[part][:-1]]))
+                counts = np.diff(np.append(first, cut[d + 1] - cut[d])).astype(np.uint32)
+                rows.append((int(d), key[part][first].tobytes(), n[part][first].tobytes(), counts.tobytes(), g[part].tobytes(), df[part].tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        names = ["dest", "keys", "sizes", "counts", "grams", "dfs"]
+        return pa.table({c: pa.array(v, pa.int32() if c == "dest" else pa.binary()) for c, v in zip(names, cols, strict=True)})
+
+    return run
 
 
 def shared_grams(docs: DataFrame, parts: int, size: int, hot: np.ndarray, ambiguous: frozenset[int]) -> DataFrame:
-    """(key, n, grams, dfs): n-grams that a class shares with others, from each range of n-grams."""
+    """N-grams that classes share with others, from each range of n-grams, packed by groups of classes."""
     blocks = docs.select("text").mapInArrow(_deal(parts, size, hot, ambiguous), _BLOCK)
-    return blocks.groupBy("part").applyInArrow(_gather, "key long, n long, grams binary, dfs binary")
-
-
-def _in_order(batches):
-    """Joins a class's shared n-grams and puts the rarest first; ``prefix`` of them can make candidates."""
-    for batch in batches:
-        out = []
-        for key, n, grams, dfs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            g = np.frombuffer(b"".join(grams), np.uint64)
-            d = np.frombuffer(b"".join(dfs), np.uint32)
-            g, at = np.unique(g, return_index=True)  # a copy in another slice brings its hot n-grams again
-            need = (4 * n + 4) // 5
-            if len(g) >= need:
-                out.append((key, n, g[np.lexsort((g, d[at]))].tobytes(), len(g) - need + 1))
-        if out:
-            c = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.int32())], names=["key", "n", "grams", "prefix"])
+    return blocks.groupBy("part").applyInArrow(_gather(parts), _SHARED)
+
+
+def _able(table: pa.Table) -> pa.Table:
+    """One group of classes: those that share enough n-grams, the rarest first; ``prefix`` of them can make candidates."""
+    column = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()])
+    counts = column("counts", np.uint32)
+    key, n = np.repeat(column("keys", np.int64), counts), np.repeat(column("sizes", np.uint32), counts)
+    g, df = column("grams", np.uint64), column("dfs", np.uint32)
+    order = np.lexsort((g, df, key))
+    key, n, g = key[order], n[order].astype(np.int64), g[order]
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (g[1:] != g[:-1])])  # copies in several slices bring hot n-grams again
+    key, n, g = key[once], n[once], g[once]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    end = np.append(first[1:], len(key))
+    need = (4 * n[first] + 4) // 5
+    some = np.flatnonzero(end - first >= need)
+    return pa.table({
+        "key": pa.array(key[first[some]], pa.int64()), "n": pa.array(n[first[some]], pa.int64()),
+        "grams": pa.array([g[first[i] : end[i]].tobytes() for i in some], pa.binary()), "prefix": pa.array((end - first - need + 1)[some], pa.int32()),
+    })
 
 
 def possible(shared: DataFrame) -> DataFrame:
     """(key, n, grams, prefix) of the classes that share enough n-grams to link at all."""
-    whole = shared.groupBy("key").agg(
-        F.first("n").alias("n"), F.collect_list("grams").alias("grams"), F.collect_list("dfs").alias("dfs"), F.sum(F.octet_length("grams") / 8).alias("s")
-    )
-    return whole.filter(f"s >= {_need('n')}").select("key", "n", "grams", "dfs").mapInArrow(_in_order, "key long, n long, grams binary, prefix int")
+    return shared.groupBy("dest").applyInArrow(_able, "key long, n long, grams binary, prefix int")
 
 
 def _prefixes(batches):
