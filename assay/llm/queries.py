@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, toxicity
+from . import ann, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1,
     "op2_html_text": html_text.op2,
     "op3_source_mixing": mixing.op3,
+    "op4_suffix_array_dedup": substring_dedup.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_ann": ann.op6,
     "op7_language_id": language_id.op7,
