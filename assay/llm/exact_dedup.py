@@ -9,8 +9,8 @@ A text is then the ordered list of its chunk identifiers, and texts are equal
 exactly when these recipes are; only recipes move from there on.
 
 Defined results: null text counts as empty; all empty texts are one group;
-repeated rows (one doc_id twice) are separate rows of a group and share its
-keep_id; an empty table gives no rows.
+repeated rows (one doc_id twice) are separate rows of a group, of which one is
+kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -140,22 +140,35 @@ def told_apart(recipes: DataFrame, chunks: DataFrame, clash: DataFrame) -> DataF
     return joined.withColumn("recipe", F.concat("recipe", F.coalesce(F.col("extra").cast("binary"), F.lit(b"")))).drop("extra")
 
 
-def exact_groups(docs: DataFrame, least: int = 512, mean: int = 2048, most: int = 8192) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text, ...).
+def grouped_rows(docs: DataFrame, least: int = 512, mean: int = 2048, most: int = 8192) -> DataFrame:
+    """row, doc_id, keep_id, keep_row, group_size, text_sha256 of every row of ``docs`` (doc_id, text, ...).
 
-    Of rows with equal texts the one with the smallest doc_id stays; if that
-    doc_id is repeated, all of its rows carry kept = true (one id, one text)."""
+    ``row`` is the row's monotonically increasing id in ``docs``, which has to be
+    a stored table if rows are to be matched by it; of a group the row with the
+    smallest doc_id, then the smallest ``row``, stays."""
     chunks = chunk_table(docs, least, mean, most)
     clash = clashing_hashes(chunks)
     r = plain_recipes(docs, least, mean, most)
     if not clash.isEmpty():
         r = told_apart(r, chunks, clash)
-    groups = r.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = r.groupBy("recipe").agg(F.min(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
     return r.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size", "text_sha256"
     )
 
 
+def exact_groups(docs: DataFrame, least: int = 512, mean: int = 2048, most: int = 8192) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``; one row of a group is kept."""
+    kept = (F.col("row") == F.col("keep_row")).alias("kept")
+    return grouped_rows(docs, least, mean, most).select("doc_id", "keep_id", "group_size", kept, "text_sha256")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (a stored table) that stay, with all their columns."""
+    kept = grouped_rows(docs).filter("row = keep_row").select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -174,6 +174,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return predict(docs.select(row, "text"), model).filter("not rejected").select("row.*")
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs.select("doc_id", "text"), fit(docs))

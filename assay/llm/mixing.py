@@ -142,6 +142,14 @@ def taken_words(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix as rows: each document of ``docs`` as often as at least half of it is taken.
+
+    Rows of one doc_id come as often as the one of them that is taken most."""
+    times = taken_words(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__times"))
+    return docs.join(times, "doc_id").withColumn("__turn", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -370,6 +370,12 @@ def ngram_components(docs: DataFrame, size: int = 5, tile: int = 256, part_grams
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
+    stay = ngram_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
