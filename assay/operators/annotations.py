@@ -17,12 +17,12 @@ def blank(c: Column) -> Column:
 
 
 def join_annotations(df: DataFrame, annotations: DataFrame, row_id_col: str) -> DataFrame:
-    """Adds __annotated, __user_flag (normalised) and __user_memo to every row; annotations of other rows are left out."""
+    """Adds __triage_annotated, __triage_user_flag (normalised) and __triage_user_memo to every row; annotations of other rows are left out."""
     a = annotations.select(
-        F.col("row_id").alias("__row_id"), F.lit(True).alias("__annotated"), normalize_flag(F.col("flag")).alias("__user_flag"), F.col("memo").alias("__user_memo")
+        F.col("row_id").alias("__row_id"), F.lit(True).alias("__triage_annotated"), normalize_flag(F.col("flag")).alias("__triage_user_flag"), F.col("memo").alias("__triage_user_memo")
     )
     out = df.join(a, df[row_id_col] == F.col("__row_id"), "left").drop("__row_id")
-    return out.withColumns({"__annotated": F.coalesce("__annotated", F.lit(False)), "__user_flag": F.coalesce("__user_flag", F.lit(""))})
+    return out.withColumns({"__triage_annotated": F.coalesce("__triage_annotated", F.lit(False)), "__triage_user_flag": F.coalesce("__triage_user_flag", F.lit(""))})
 
 
 def unflagged_rows(df: DataFrame, annotations: DataFrame, row_id_col: str) -> DataFrame:

@@ -82,23 +82,23 @@ def resolve(
     - ``preview``: the user's flag, else that of the first matching rule with a known flag; tags everywhere, memo trimmed, blank is null;
     - ``export``: if a row is annotated its flag counts even if empty, else the highest severity; tags everywhere, memo never null."""
     j = join_annotations(df, annotations, row_id_col)
-    j = j.withColumn("__m", matched_rules(df, rules, columns, row_id_col, **how))
-    m, user, memo = F.col("__m"), F.col("__user_flag"), F.coalesce("__user_memo", F.lit(""))
+    j = j.withColumn("__triage_matches", matched_rules(df, rules, columns, row_id_col, **how))
+    m, user, memo = F.col("__triage_matches"), F.col("__triage_user_flag"), F.coalesce("__triage_user_memo", F.lit(""))
     highest = rank_flag(F.array_max(F.transform(m, lambda r: r["rank"])))
     tagged = append_tag(memo, _tokens(m)) if tags else memo
     if mode == "view":
         flag = F.when(user != "", user).otherwise(highest)
-        text = F.when((user == "") & (tagged != memo), tagged).otherwise(F.col("__user_memo"))
+        text = F.when((user == "") & (tagged != memo), tagged).otherwise(F.col("__triage_user_memo"))
     elif mode == "preview":
         first = F.try_element_at(F.filter(m, lambda r: r["rank"] > 0), F.lit(1))["flag"]
         flag = F.when(user != "", user).otherwise(F.coalesce(first, F.lit("")))
-        text = F.when(tagged != memo, F.nullif(trim_all(tagged), F.lit(""))).otherwise(F.col("__user_memo"))
+        text = F.when(tagged != memo, F.nullif(trim_all(tagged), F.lit(""))).otherwise(F.col("__triage_user_memo"))
     elif mode == "export":
-        flag = F.when(F.col("__annotated"), user).otherwise(highest)
+        flag = F.when(F.col("__triage_annotated"), user).otherwise(highest)
         text = tagged
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return j.withColumns({flag_col: flag, memo_col: text}).drop("__m", "__annotated", "__user_flag", "__user_memo")
+    return j.withColumns({flag_col: flag, memo_col: text}).drop("__triage_matches", "__triage_annotated", "__triage_user_flag", "__triage_user_memo")
 
 
 def rule_applied_records(df: DataFrame, annotations: DataFrame, rules: DataFrame | list[dict], row_id_col: str = ROW_ID, **how) -> DataFrame:

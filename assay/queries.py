@@ -147,7 +147,7 @@ def c13(s, d):
 @query("d1_annotation_lookup", f"WITH {_AN_SQL} SELECT event_id, coalesce(uflag, '') AS flag, umemo AS memo, row_id IS NOT NULL AS annotated FROM events LEFT JOIN nan ON row_id = event_id")
 def d1(s, d):
     e = _events(s, d)
-    return an.join_annotations(e, _annotations(e), "event_id").select("event_id", F.col("__user_flag").alias("flag"), F.col("__user_memo").alias("memo"), F.col("__annotated").alias("annotated"))
+    return an.join_annotations(e, _annotations(e), "event_id").select("event_id", F.col("__triage_user_flag").alias("flag"), F.col("__triage_user_memo").alias("memo"), F.col("__triage_annotated").alias("annotated"))
 
 
 @query("d2_rule_match", f"WITH {_MATCH_SQL} SELECT event_id, x.no AS rule_no, x.flag AS flag, x.tag AS tag FROM (SELECT event_id, unnest(m) AS x FROM m)")
