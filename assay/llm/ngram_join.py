@@ -160,7 +160,7 @@ def _gather(dests: int):
             g = np.zeros((len(h), 8), np.uint8)
             g[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
             gs.append(g.view(np.uint64).ravel() | (h.astype(np.uint64) << np.uint64(48)))
-            ks.append(np.frombuffer(owner, np.uint16 if len(owner) == 2 * len(h) else np.uint32).astype(np.int64) + base)
+            ks.append(np.frombuffer(owner, np.uint16 if len(owner) == 2 * len(h) else np.uint32).astype(np.int32) + np.int32(base))
             keys.append(k)
             sizes.append(n)
             base += len(k)
@@ -168,8 +168,8 @@ def _gather(dests: int):
             key, at, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             size = np.concatenate(sizes)[at]
             g = np.concatenate(gs)
-            owner = same[np.concatenate(ks)]
-            del gs, ks
+            owner = same.astype(np.int32)[np.concatenate(ks)]
+            del gs, ks, same
             order = np.argsort(g, kind="stable")
             g, owner = g[order], owner[order]
             new = np.concatenate([[True], g[1:] != g[:-1]])
@@ -339,7 +339,7 @@ def linked(units: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(_linker, "key long, root long, links long")
 
 
-def ngram_components(docs: DataFrame, size: int = 5, tile: int = 256, part_grams: int = 3_000_000) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 5, tile: int = 256, part_grams: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of ``docs`` (doc_id, text, ...).
 
     component_id is the smallest doc_id reachable by links; n_links counts the
