@@ -20,5 +20,6 @@ QUERIES = {
 SQL = {
     "op1_ngram_jaccard": ngram_join.OP1_SQL,
     "op3_source_mixing": mixing.OP3_SQL,
+    "op4_suffix_array_dedup": substring_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }

@@ -354,3 +354,28 @@ def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 96 << 20,
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), p AS MATERIALIZED (
+  SELECT doc_id, n, 400 * j AS b, substr(h, 800 * j + 1, 1198) AS part FROM (SELECT doc_id, h, n, unnest(range((n + 200) // 400)) AS j FROM t WHERE n >= 200)
+), w AS (
+  SELECT doc_id, b + x AS i, md5(substr(part, 2 * x + 1, 400)) AS k FROM (SELECT doc_id, n, b, part, unnest(range(least(400, n - 199 - b))) AS x FROM p)
+), s AS (
+  SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), g AS (
+  SELECT doc_id, i, coalesce((i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200)::INT, 1) AS new FROM s
+), r AS (
+  SELECT doc_id, no, min(i) AS a, max(i) + 200 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM g) GROUP BY ALL
+), d AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list([a, b] ORDER BY a) AS runs FROM r GROUP BY doc_id
+), k AS (
+  SELECT t.doc_id, t.n, coalesce(d.n_removed, 0) AS n_removed, coalesce(d.n_spans, 0) AS n_spans,
+         array_to_string([substr(h, 2 * CASE WHEN j = 1 THEN 0 ELSE runs[j - 1][2] END + 1,
+           2 * (CASE WHEN j > len(runs) THEN t.n ELSE runs[j][1] END - CASE WHEN j = 1 THEN 0 ELSE runs[j - 1][2] END)) FOR j IN range(1, len(runs) + 2)], '') AS rest, h
+  FROM t LEFT JOIN d USING (doc_id)
+)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(CASE WHEN n_spans = 0 THEN h ELSE rest END)) AS kept_sha256 FROM k
+"""

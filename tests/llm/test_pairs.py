@@ -72,7 +72,7 @@ def test_ngram_join_hot_grams(spark, monkeypatch):
     assert sorted(tuple(r) for r in ngram_join.ngram_components(df, tile=8).collect()) == brute_components(texts(df))
 
 
-@pytest.mark.parametrize("module,name", [(ngram_join, "op1"), (mixing, "op3"), (exact_dedup, "op5")])
+@pytest.mark.parametrize("module,name", [(ngram_join, "op1"), (mixing, "op3"), (substring_dedup, "op4"), (exact_dedup, "op5")])
 def test_against_sql(spark, sf, duck, module, name):
     same(getattr(module, name)(spark, sf), duck.execute(getattr(module, name.upper() + "_SQL")))
 
