@@ -37,6 +37,8 @@ from .common import BYTE_VALUE, U64, materialize, mix, partitions_for, powers, p
 from .suffix_array import permuted_lcp, suffix_array
 
 K, BINS = 32, 4
+#: Bytes of text that are cut into segments together.
+SLICE = 1 << 20
 SEGMENT = np.dtype([("start", "<u4"), ("n", "<u4"), ("o", "<u2"), ("flag", "u1")])
 #: Flags of a segment: its windows go to a shard; all are repeated; all are repeated and it stands for its lot in a shard.
 OPEN, REPEATED, STANDS = 0, 1, 2
@@ -86,7 +88,7 @@ def _deal(parts: int, width: int, hot: np.ndarray):
     def run(batches):
         for batch in batches:
             ids, tids = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for turn, (lo, hi, data, off) in enumerate(slices(batch)):
+            for turn, (lo, hi, data, off) in enumerate(slices(batch, limit=SLICE)):
                 doc, start, n, o, f, h = segments(data, off, width)
                 if not len(doc):
                     continue
@@ -142,9 +144,9 @@ def _judge(dests: int):
         col = {k: table.column(k).to_pylist() for k in _SEG_NAMES[1:]}
         v = {k: np.concatenate([np.frombuffer(b, t) for b in col[k]]) for k, t in _FIELDS}
         size = np.array([len(b) // 4 for b in col["doc"]])
-        kind = np.repeat(np.array(col["kind"]), size)
-        base = np.concatenate([[0], np.cumsum([len(b) // 8 for b in col["ids"]])[:-1]])
-        doc = v["doc"].astype(np.int64) + np.repeat(base, size)
+        kind = np.repeat(np.array(col["kind"], np.int8), size)
+        base = np.concatenate([[0], np.cumsum([len(b) // 8 for b in col["ids"]])[:-1]]).astype(np.int32)
+        doc = v.pop("doc").astype(np.int32) + np.repeat(base, size)
         ids, tids = (np.concatenate([np.frombuffer(b, np.int64) for b in col[k]]) for k in ("ids", "tids"))
         open_ = np.flatnonzero(kind != SETTLED)
         order = open_[np.lexsort((v["h"][open_], v["f"][open_]))]
@@ -196,7 +198,7 @@ def _cut(shards: int, width: int):
         for batch in batches:
             ids, tids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             every = batch.column(3).to_pylist()
-            for lo, hi, data, off in slices(batch):
+            for lo, hi, data, off in slices(batch, limit=SLICE):
                 s0, s1, p, owner, flag = [], [], [], [], []
                 for i in range(lo, hi):
                     g = np.frombuffer(every[i], SEGMENT)
@@ -323,7 +325,7 @@ def hot_minimizers(docs: DataFrame, width: int, n_docs: int, sample_docs: int =
 
     def run(batches):
         for batch in batches:
-            for _, _, data, off in slices(batch):
+            for _, _, data, off in slices(batch, limit=SLICE):
                 f, c = np.unique(segments(data, off, width)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(c.astype(np.int64))], names=["f", "c"])
 
@@ -332,7 +334,7 @@ def hot_minimizers(docs: DataFrame, width: int, n_docs: int, sample_docs: int =
     return np.sort(got.view(np.uint64))
 
 
-def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 96 << 20, shard_bytes: int = 2 << 20) -> DataFrame:
+def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 40 << 20, shard_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row of ``docs``."""
     t = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
