@@ -54,6 +54,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of texts and packed blocks of at most ``size``, unless the session sets its own limit.
+
+    The default of 64 MB is held several times over, in the JVM and in Python,
+    by every running task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") in ("67108864", "64m", "64M"):
+        spark.conf.set(key, size)
+
+
 def partitions_for(rows: int, per_partition: int) -> int:
     return max(1, -(-int(rows) // per_partition))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import modest_batches, slices
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 _WINDOW = 16
@@ -146,6 +146,7 @@ def grouped_rows(docs: DataFrame, least: int = 512, mean: int = 2048, most: int
     ``row`` is the row's monotonically increasing id in ``docs``, which has to be
     a stored table if rows are to be matched by it; of a group the row with the
     smallest doc_id, then the smallest ``row``, stays."""
+    modest_batches(docs.sparkSession)
     chunks = chunk_table(docs, least, mean, most)
     clash = clashing_hashes(chunks)
     r = plain_recipes(docs, least, mean, most)

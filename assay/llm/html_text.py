@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_VALUE, mix, prefix_hash, range_hash, words_of
+from .common import LOWER_VALUE, mix, modest_batches, prefix_hash, range_hash, words_of
 from .labelled import hash_sample
 
 #: Pages that are learned from, at most; buckets of path tokens and of words.
@@ -394,6 +394,7 @@ def fit(pages: DataFrame, limit: int = TRAIN_PAGES, composed_pages: int = 600, m
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_main) of every row of ``pages``, from the whole html."""
+    modest_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

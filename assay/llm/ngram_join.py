@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_components, materialize, partitions_for, set_fingerprint, shingle_sets, slices
+from .common import connected_components, local_components, materialize, modest_batches, partitions_for, set_fingerprint, shingle_sets, slices
 
 _HOT_DF = np.uint32(0xFFFFFFFF)
 
@@ -344,6 +344,7 @@ def ngram_components(docs: DataFrame, size: int = 5, tile: int = 256, part_grams
 
     component_id is the smallest doc_id reachable by links; n_links counts the
     other documents (rows) that a document links with, its copies included."""
+    modest_batches(docs.sparkSession)
     sig = materialize(signatures(docs, size), "signatures")
     classes = sig.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")

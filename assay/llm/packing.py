@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize
+from .common import materialize, modest_batches
 
 ROOM, END = 1024, 2
 
@@ -145,6 +145,7 @@ def best_fit_plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, i
 def packed(docs: DataFrame, vocabulary: str, room: int = ROOM, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of ``docs``."""
     spark = docs.sparkSession
+    modest_batches(spark)
     p = materialize(pieces(docs, vocabulary, room, end).withColumn("part", F.spark_partition_id()), "pieces")
     full, short = p.filter(F.col("length") == room), p.filter(F.col("length") < room)
     by_part = short.groupBy("part", "length").agg(F.count("*").alias("n"))

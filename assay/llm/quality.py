@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, LOWER_VALUE, prefix_hash, range_hash, slices, words_of
+from .common import BYTE_VALUE, LOWER_VALUE, modest_batches, prefix_hash, range_hash, slices, words_of
 from .labelled import crc_mod, labelled_texts, training_rows
 
 #: Labelled documents that are learned from, at most.
@@ -179,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """(doc_id, score) of every row, from whole texts."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):

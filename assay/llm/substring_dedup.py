@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, U64, materialize, mix, partitions_for, powers, prefix_hash, range_hash, slices
+from .common import BYTE_VALUE, U64, materialize, mix, modest_batches, partitions_for, powers, prefix_hash, range_hash, slices
 from .suffix_array import permuted_lcp, suffix_array
 
 K, BINS = 32, 4
@@ -336,6 +336,7 @@ def hot_minimizers(docs: DataFrame, width: int, n_docs: int, sample_docs: int =
 
 def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 40 << 20, shard_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row of ``docs``."""
+    modest_batches(docs.sparkSession)
     t = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = partitions_for(total, part_bytes)

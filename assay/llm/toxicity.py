@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import modest_batches, slices
 from .labelled import crc_mod, labelled_texts, training_rows
 
 #: Labelled documents that are learned from, at most; features with a weight, at most.
@@ -124,6 +124,7 @@ def descend(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, epochs: int =
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, limit: int = TRAIN_DOCS) -> Model:
     """Counts of the sample are summed in Spark (at most 2^20 buckets); its rows come back with kept features only."""
+    modest_batches(docs.sparkSession)
     texts = labelled_texts(docs, training_rows(labels, label, modulus, held_out, limit)).select("text", "y")
     n = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
@@ -151,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row, from whole texts."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.keep), model.weight[model.keep], model.bias))
 
     def run(batches):
