@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import modest_batches, slices
 from .labelled import crc_mod, hash_sample
 
 #: Documents that are learned from, at most; spans of each; words of a span.
@@ -64,10 +64,14 @@ class Model:
         n = len(off) - 1
         total = np.zeros((n, len(self.langs)))
         for k, h in enumerate(buckets(data), 1):
-            c = np.zeros((len(h) + 1, len(self.langs)))
-            np.cumsum(self.scores[h], axis=0, out=c[1:], dtype=np.float64)
-            end = np.minimum(np.maximum(off[1:] - k, off[:-1]), len(h))
-            total += c[end] - c[np.minimum(off[:-1], end)]
+            some = np.flatnonzero(np.diff(off) > k)
+            if not len(some):
+                continue
+            s = self.scores[h]
+            for j in range(1, k + 1):  # n-grams that cross texts
+                cross = off[1:] - j
+                s[cross[(cross >= 0) & (cross < len(s))]] = 0
+            total[some] += np.add.reduceat(s, off[:-1][some], axis=0, dtype=np.float64)
         grams = np.maximum(1, sum(np.maximum(0, off[1:] - off[:-1] - k) for k in (1, 2, 3)))
         return total / grams[:, None] + self.bias
 
@@ -147,24 +151,27 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, limit: int = TRAIN
     return train(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
 
 
+def judged(model: Model | None, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> tuple[list[str], list[float], list[bool]]:
+    """(language, score, rejected) of each text."""
+    some = [bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()]
+    if model is None:
+        return ["und"] * len(some), [0.0] * len(some), [not ok for ok in some]
+    p = model.probabilities(data, off)
+    lang = [model.langs[b] if ok else "und" for b, ok in zip(p.argmax(axis=1), some, strict=True)]
+    score = [float(x) if ok else 0.0 for x, ok in zip(p.max(axis=1), some, strict=True)]
+    return lang, score, [not ok or x < model.threshold for x, ok in zip(score, some, strict=True)]
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of ``docs`` that it is given besides, plus lang_pred, score and rejected, from whole texts."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for lo, hi, data, off in slices(batch):
-                some = [bool(t) and _LETTER.search(t) is not None for t in batch.column(at).slice(lo, hi - lo).to_pylist()]
-                if m is None:
-                    lang, score = ["und"] * len(some), [0.0] * len(some)
-                else:
-                    p = m.probabilities(data, off)
-                    best = p.argmax(axis=1)
-                    lang = [m.langs[b] if ok else "und" for b, ok in zip(best, some, strict=True)]
-                    score = [float(x) if ok else 0.0 for x, ok in zip(p.max(axis=1), some, strict=True)]
-                bad = [not ok or (m is not None and x < m.threshold) for x, ok in zip(score, some, strict=True)]
+            for lo, hi, data, off in slices(batch, limit=1 << 20):
+                lang, score, bad = judged(shared.value, batch.column(at).slice(lo, hi - lo), data, off)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns) if i != at], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bad, pa.bool_())],
                     names=[*[n for n in batch.schema.names if n != "text"], "lang_pred", "score", "rejected"],
@@ -176,8 +183,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return predict(docs.select(row, "text"), model).filter("not rejected").select("row.*")
+    modest_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for lo, hi, data, off in slices(batch, limit=1 << 20):
+                bad = judged(shared.value, texts.slice(lo, hi - lo), data, off)[2]
+                yield batch.slice(lo, hi - lo).filter(pa.array([not x for x in bad], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
