@@ -95,12 +95,37 @@ def display_length(c: Column, kind: T.DataType) -> Column:
     return F.char_length(display_text(c, kind))
 
 
-def sort_keys(c: Column, kind: T.DataType) -> tuple[Column, Column, Column]:
-    """(class, number, text) of a value for the mixed sort: numbers, then nulls, then texts."""
-    t = F.replace(F.replace(trim_all(search_text(c, kind)), F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
+def _text_keys(t: Column) -> tuple[Column, Column, Column]:
     number = F.when(t.rlike(_NUMBER), t.try_cast("double"))
-    kind_ = F.when(number.isNotNull(), 0).when(t.isNull(), 1).otherwise(2)
-    return kind_, number, F.when(number.isNull(), F.lower(t))
+    kind = F.when(number.isNotNull(), 0).when(t.isNull(), 1).otherwise(2)
+    return kind, number, F.when(number.isNull(), F.lower(t))
+
+
+def _sort_text(c: Column, kind: T.DataType) -> Column:
+    return F.replace(F.replace(trim_all(search_text(c, kind)), F.lit(","), F.lit("")), F.lit("\u00a0"), F.lit(""))
+
+
+def sort_keys(c: Column, kind: T.DataType) -> tuple[Column, Column, Column]:
+    """(class, number, text) of a value for the mixed sort: numbers, then nulls, then texts.
+
+    Numeric columns are numbers as they are, without a detour over text; what is
+    not finite sorts as text."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
+        return F.when(c.isNull(), 1).otherwise(0), c.cast("double"), F.lit(None).cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        x = c.cast("double")
+        finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+        text = F.when(~finite, F.when(F.isnan(x), "nan").when(x > 0, "inf").otherwise("-inf"))
+        return F.when(x.isNull(), 1).when(finite, 0).otherwise(2), F.when(finite, x), text
+    return _text_keys(_sort_text(c, kind))
+
+
+def sort_key(c: Column, kind: T.DataType) -> Column:
+    """The sort keys as one struct; the text of a value is worked out once."""
+    named = lambda keys: F.struct(keys[0].alias("c"), keys[1].alias("n"), keys[2].alias("t"))
+    if isinstance(kind, T.NumericType):
+        return named(sort_keys(c, kind))
+    return F.transform(F.array(_sort_text(c, kind)), lambda t: named(_text_keys(t)))[0]
 
 
 def sort_number(c: Column, kind: T.DataType) -> Column:

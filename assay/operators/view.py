@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.flags import normalize_flag
-from ..functions.text import field, sort_keys
+from ..functions.text import field, sort_key
 from .rules import resolve
 from .search import ROW_ID, data_columns, search_filter
 
@@ -52,21 +52,28 @@ def flag_filter(df: DataFrame, choice: str | None, flag_col: str = "flag") -> Da
     return df.filter(c == choice) if choice in ("safe", "suspicious", "critical") else df
 
 
-def order_by(df: DataFrame, key: str | None, descending: bool = False, row_id_col: str = ROW_ID) -> list[Column]:
-    """Sort expressions of the mixed sort; ties and unknown keys go by row id, always upward."""
-    if key is None or key not in df.columns:
-        return [F.col(row_id_col).asc()]
-    keys = sort_keys(field(key), df.schema[key].dataType)
-    return [*[(k.desc() if descending else k.asc()) for k in keys], F.col(row_id_col).asc()]
+_SORT = "__triage_sort"
+
+
+def _keyed(df: DataFrame, key: str | None) -> DataFrame:
+    """Adds the sort key of a column, worked out once a row; an unknown key is none."""
+    known = key is not None and key in df.columns
+    return df.withColumn(_SORT, sort_key(field(key), df.schema[key].dataType) if known else F.lit(0))
+
+
+def _order(descending: bool, row_id_col: str) -> list[Column]:
+    """Ties go by row id, always upward."""
+    return [F.col(_SORT).desc() if descending else F.col(_SORT).asc(), F.col(row_id_col).asc()]
 
 
 def page(df: DataFrame, key: str | None = None, descending: bool = False, offset: int = 0, limit: int = PAGE, row_id_col: str = ROW_ID) -> DataFrame:
     """One page of the sorted table with ``pos`` (from 1 on): a top-k, not a full sort.
 
-    Far pages keep offset + limit rows; ``page_after`` does not."""
-    order = order_by(df, key, descending, row_id_col)
-    rows = df.orderBy(*order).offset(offset).limit(max(1, limit))
-    return rows.withColumn("pos", F.row_number().over(W.orderBy(*order)) + offset)
+    Without a known key the rows keep the order of their ids.  Far pages keep
+    offset + limit rows; ``page_after`` does not."""
+    order = _order(descending and key in df.columns, row_id_col)
+    rows = _keyed(df, key).orderBy(*order).offset(offset).limit(max(1, limit))
+    return rows.withColumn("pos", F.row_number().over(W.orderBy(*order)) + offset).drop(_SORT)
 
 
 def page_after(df: DataFrame, last: dict, key: str | None = None, descending: bool = False, limit: int = PAGE, row_id_col: str = ROW_ID) -> DataFrame:
@@ -74,12 +81,12 @@ def page_after(df: DataFrame, last: dict, key: str | None = None, descending: bo
     if key is None or key not in df.columns:
         return df.filter(F.col(row_id_col) > last[row_id_col]).orderBy(row_id_col).limit(max(1, limit))
     kind = df.schema[key].dataType
-    here, there = sort_keys(field(key), kind), sort_keys(F.lit(last[key]).cast(kind), kind)
-    struct = lambda keys: F.struct(keys[0].alias("c"), F.coalesce(keys[1], F.lit(0.0)).alias("n"), F.coalesce(keys[2], F.lit("")).alias("t"))
-    a, b = struct(here), struct(there)
-    beyond = (a < b) if descending else (a > b)
-    rest = df.filter(beyond | ((a == b) & (F.col(row_id_col) > last[row_id_col])))
-    return rest.orderBy(*order_by(df, key, descending, row_id_col)).limit(max(1, limit))
+    a, b = F.col(_SORT), sort_key(F.lit(last[key]).cast(kind), kind)
+    # fields are compared as the sort compares them: null is the smallest
+    less = lambda x, y: (x["c"] < y["c"]) | ((x["c"] == y["c"]) & (F.coalesce(x["n"] < y["n"], F.lit(False)) | F.coalesce(x["t"] < y["t"], F.lit(False))))
+    beyond = less(a, b) if descending else less(b, a)
+    rest = _keyed(df, key).filter(beyond | (a.eqNullSafe(b) & (F.col(row_id_col) > last[row_id_col])))
+    return rest.orderBy(*_order(descending, row_id_col)).limit(max(1, limit)).drop(_SORT)
 
 
 def totals(everything: DataFrame, filtered: DataFrame, flag_col: str = "flag") -> DataFrame:
