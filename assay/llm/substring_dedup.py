@@ -106,7 +106,7 @@ def _deal(parts: int, width: int, hot: np.ndarray):
                     values = {"f": f[pick], "h": h[pick], "start": start[pick], "n": n[pick], "o": o[pick], "doc": local, "weight": np.minimum(copies[pick], 2)}
                     rows.append((part, kind, *[values[k].astype(t).tobytes() for k, t in _FIELDS], ids[lo:hi][used].tobytes(), tids[lo:hi][used].tobytes()))
 
-                spread = np.where(is_hot, mix(f ^ h), f)
+                spread = mix(np.where(is_hot, f ^ h, f))  # minimizers are small numbers: mixed anew, they fill all parts
                 part = (((spread >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
                 for kind in (NORMAL, HOT):
                     pick = np.flatnonzero(first & (is_hot == (kind == HOT)))
