@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import RANKS, normalize_flag, normalized, rank_flag, severity_rank
 from ..functions.text import append_tag, trim_all
-from ..plans.predicates import matching
+from ..plans.predicates import matching, with_matching
 from ..plans.query import compile_query
 from .annotations import join_annotations, unflagged_rows
 from .search import ROW_ID, texts_of
@@ -64,8 +64,8 @@ def matched_rules(df: DataFrame, rules: DataFrame | list[dict], columns: list[st
 
 def rule_matches(df: DataFrame, rules: DataFrame | list[dict], columns: list[str] | None = None, row_id_col: str = ROW_ID, **how) -> DataFrame:
     """(row id, rule_no, flag, tag): a row for every rule that finds a row."""
-    m = F.explode(matched_rules(df, rules, columns, row_id_col, **how)).alias("m")
-    return df.select(F.col(row_id_col), m).select(row_id_col, "m.rule_no", "m.flag", "m.tag")
+    m = with_matching(df, texts_of(df, columns, row_id_col), compiled(rules), "__triage_matches", **how)
+    return m.select(F.col(row_id_col), F.explode("__triage_matches").alias("m")).select(row_id_col, "m.rule_no", "m.flag", "m.tag")
 
 
 def _tokens(matches: Column) -> Column:
@@ -82,7 +82,7 @@ def resolve(
     - ``preview``: the user's flag, else that of the first matching rule with a known flag; tags everywhere, memo trimmed, blank is null;
     - ``export``: if a row is annotated its flag counts even if empty, else the highest severity; tags everywhere, memo never null."""
     j = join_annotations(df, annotations, row_id_col)
-    j = j.withColumn("__triage_matches", matched_rules(df, rules, columns, row_id_col, **how))
+    j = with_matching(j, texts_of(df, columns, row_id_col), compiled(rules), "__triage_matches", **how)
     m, user, memo = F.col("__triage_matches"), F.col("__triage_user_flag"), F.coalesce("__triage_user_memo", F.lit(""))
     highest = rank_flag(F.array_max(F.transform(m, lambda r: r["rank"])))
     tagged = append_tag(memo, _tokens(m)) if tags else memo
@@ -104,4 +104,5 @@ def resolve(
 def rule_applied_records(df: DataFrame, annotations: DataFrame, rules: DataFrame | list[dict], row_id_col: str = ROW_ID, **how) -> DataFrame:
     """One row: rows without a user flag that any rule finds, in all data columns."""
     rest = unflagged_rows(df, annotations, row_id_col)
-    return rest.select(matched_rules(df, rules, None, row_id_col, **how).alias("m")).agg(F.count_if(F.size("m") > 0).alias("ioc_applied_records"))
+    hit = with_matching(rest, texts_of(df, None, row_id_col), compiled(rules), "__triage_matches", **how)
+    return hit.agg(F.count_if(F.size("__triage_matches") > 0).alias("ioc_applied_records"))

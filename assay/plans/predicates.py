@@ -76,8 +76,9 @@ def row_predicate(texts: Texts, query: Query) -> Column:
     return F.exists(F.array(texts.struct(query.literals)), lambda b: predicate(texts, query, b))
 
 
-#: Rules from which on the rules travel as one array instead of a predicate each.
-ARRAY_FROM = 50
+#: Rules from which on the rules travel as one array instead of a predicate each:
+#: predicates compile and are several times as fast, but the plan grows with them.
+ARRAY_FROM = 1000
 
 _RULES = "array<struct<rule_no:int,flag:string,rank:int,tag:string,clauses:array<array<struct<c:string,t:string,n:boolean>>>>>"
 MATCH = "struct<rule_no:int,flag:string,rank:int,tag:string>"
@@ -117,3 +118,22 @@ def matching(texts: Texts, rules: list[dict], array_from: int = ARRAY_FROM) -> C
     rule_array = F.from_json(F.lit(json.dumps(data)), _RULES)
     found = F.transform(bound, lambda b: F.filter(rule_array, lambda r: F.exists(r["clauses"], lambda c: F.forall(c, lambda x: holds(x, b)))))[0]
     return F.transform(found, lambda r: F.struct(r["rule_no"].alias("rule_no"), r["flag"].alias("flag"), r["rank"].alias("rank"), r["tag"].alias("tag")))
+
+
+def with_matching(df: DataFrame, texts: Texts, rules: list[dict], out: str, array_from: int = ARRAY_FROM) -> DataFrame:
+    """Adds ``matching`` as a column.
+
+    Texts become columns of their own first, so that each is worked out once a
+    row and the predicates over them compile; rules are numbers until the end."""
+    rules = [r for r in rules if not r["query"].blank]
+    if not rules or len(rules) >= array_from:
+        return df.withColumn(out, matching(texts, rules, array_from))
+    literals = [x for r in rules for x in r["query"].literals]
+    made = {"t": texts.row()} if any(x.column is None for x in literals) else {}
+    made |= {"c_" + c: column_text(texts.df, texts.scopes[c]) for c in sorted({x.column for x in literals if x.column in texts.scopes})}
+    names = {k: f"__triage_text_{i}" for i, k in enumerate(made)}
+    bound = {k: F.col(n) for k, n in names.items()}
+    hits = F.array_compact(F.array(*[F.when(predicate(texts, r["query"], bound), F.lit(i)) for i, r in enumerate(rules, 1)]))
+    heads = F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("rule_no", "flag", "rank", "tag")]).cast(MATCH) for r in rules])
+    wide = df.withColumns({names[k]: v for k, v in made.items()}) if made else df
+    return wide.withColumn(out, F.transform(hits, lambda i: F.element_at(heads, i))).drop(*names.values())
