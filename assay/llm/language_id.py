@@ -135,8 +135,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.5
         model.temperature = float(grid[int(np.argmin(loss))])
         a = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
         top = (a / a.sum(axis=1, keepdims=True)).max(axis=1)
-        # calibrated rejection: less sure than all but one in 2000 of the texts kept out, and less than an even chance
-        model.threshold = float(min(0.45, np.quantile(top, 0.0005)))
+        # calibrated rejection: less sure than all but one in 2000 of the texts kept out, and hardly surer than chance
+        model.threshold = float(min(1 / len(names) + 0.1, np.quantile(top, 0.0005)))
     return model
 
 
