@@ -14,7 +14,11 @@ text may be sorted whole.  So every 200-byte window is dealt out by content:
 3. ``sort_shard``: each shard is one text with its suffix array (induced sorting)
    and permuted common prefixes: windows whose common prefix with a neighbour is
    200 bytes or more are repeated.
-4. Runs of repeated windows return to their documents, which drop what they cover.
+4. Keys with too many pieces for a shard (a passage that very many documents
+   share, in contexts of their own) are found by an exact count.  Their windows
+   do not go to shards: each is dealt out by a 128-bit digest of its 200 bytes,
+   once for each slice of the input that holds it.
+5. Runs of repeated windows return to their documents, which drop what they cover.
 
 Minimizers of a large share of all documents (found on a sample; it matters for
 cost only) are dealt out by segment instead, and copies inside a slice of the
@@ -42,6 +46,8 @@ SLICE = 1 << 20
 SEGMENT = np.dtype([("start", "<u4"), ("n", "<u4"), ("o", "<u2"), ("flag", "u1")])
 #: Flags of a segment: its windows go to a shard; all are repeated; all are repeated and it stands for its lot in a shard.
 OPEN, REPEATED, STANDS = 0, 1, 2
+#: The bits of those flags, and a bit for segments whose minimizer is in more segments than a key may have pieces.
+STATE, POPULAR = 3, 4
 
 
 def segments(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -137,7 +143,7 @@ def _packed(ids: np.ndarray, tids: np.ndarray, segs: np.ndarray, dests: int) ->
     return pa.table({"dest": pa.array(got, pa.int32()), "ids": each(ids), "tids": each(tids), "segs": each(segs)})
 
 
-def _judge(dests: int):
+def _judge(dests: int, most: int):
     """Segments of one range of minimizers → those whose minimizer occurs again, with their flags."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -160,7 +166,8 @@ def _judge(dests: int):
             again = np.bincount(of_h, weight)[of_h] > 1
             lots = np.bincount(of_f, new_h)[of_f]  # different segments with this minimizer
             several = (lots > 1) | (kind[order] == HOT)
-            flag[order] = np.where(again, np.where(new_h & several, STANDS, REPEATED), OPEN)
+            popular = np.where((lots > most) | (kind[order] == HOT), POPULAR, 0)
+            flag[order] = np.where(again, np.where(new_h & several, STANDS | popular, REPEATED), OPEN | popular)
             keep[order] = again | several
         segs = np.zeros(int(keep.sum()), SEGMENT)
         for k in ("start", "n", "o"):
@@ -172,7 +179,7 @@ def _judge(dests: int):
 
 
 def _by_document(table: pa.Table) -> pa.Table:
-    """Packed segments of one group of documents → one row a document: (doc_id, tid, segs in order, bytes for shards)."""
+    """Packed segments of one group of documents → one row a document: (doc_id, tid, segs in order, bytes for shards, popular segments)."""
     ids, tids = (np.concatenate([np.frombuffer(b, np.int64) for b in table.column(k).to_pylist()]) for k in ("ids", "tids"))
     segs = np.concatenate([np.frombuffer(b, SEGMENT) for b in table.column("segs").to_pylist()])
     order = np.lexsort((segs["start"], tids, ids))
@@ -180,47 +187,85 @@ def _by_document(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tids[1:] != tids[:-1])]))
     end = np.append(first[1:], len(ids))
     cost = np.where(segs["flag"] == REPEATED, 0, segs["n"].astype(np.int64) + 200 * BINS)
-    total = np.concatenate([[0], np.cumsum(cost)])
+    total, popular = (np.concatenate([[0], np.cumsum(x)]) for x in (cost, segs["flag"] & POPULAR > 0))
     return pa.table({
         "doc_id": pa.array(ids[first]), "tid": pa.array(tids[first]), "segs": pa.array([segs[a:b].tobytes() for a, b in zip(first, end, strict=True)], pa.binary()),
-        "cost": pa.array(total[end] - total[first]),
+        "cost": pa.array(total[end] - total[first]), "popular": pa.array(popular[end] - popular[first]),
     })
 
 
-_OF_DOCUMENT = "doc_id long, tid long, segs binary, cost long"
+_OF_DOCUMENT = "doc_id long, tid long, segs binary, cost long, popular long"
 
 
-def _cut(shards: int, width: int):
-    """Windows of open segments, split by the place of the minimizer: (shard, key, bytes) of each piece."""
+def _pieces(batch: pa.RecordBatch, width: int):
+    """Windows of open segments, split by the place of the minimizer: of each slice its first row, bytes and offsets,
+    and (key, first window, windows, row, flag) of every piece."""
     step = -(-(width - K + 1) // BINS)
+    every = batch.column(3).to_pylist()
+    for lo, hi, data, off in slices(batch, limit=SLICE):
+        s0, s1, p, owner, flag = [], [], [], [], []
+        for i in range(lo, hi):
+            g = np.frombuffer(every[i], SEGMENT)
+            g = g[g["flag"] != REPEATED]
+            a = g["start"].astype(np.int64) + off[i - lo]
+            s0.append(a)
+            s1.append(a + g["n"] - 1)
+            p.append(a + g["o"])
+            owner.append(np.full(len(g), i))
+            flag.append(g["flag"])
+        s0, s1, p, owner, flag = (np.concatenate(x) for x in (s0, s1, p, owner, flag))
+        if not len(s0):
+            continue
+        c = prefix_hash(BYTE_VALUE[data])
+        out = []
+        for b in range(BINS):
+            first, last = np.maximum(s0, p - (step * (b + 1) - 1)), np.minimum(s1, p - step * b)
+            ok = np.flatnonzero(first <= last)
+            q = p[ok] - step * b  # all windows of the bin hold [q, q + width - step + 1)
+            key = range_hash(c, q, q + width - step + 1) + U64(b)
+            out.append((key, first[ok], last[ok] - first[ok] + 1, owner[ok], flag[ok]))
+        yield lo, data, off, tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _among(key: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array ``some``."""
+    return some[np.minimum(np.searchsorted(some, key), len(some) - 1)] == key if len(some) else np.zeros(len(key), bool)
+
+
+def _count(width: int):
+    """Pieces and windows of each key of popular minimizers in a slice."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, _, (key, _, n, _, flag) in _pieces(batch, width):
+                pick = flag & POPULAR > 0
+                key, same, pieces = np.unique(key[pick], return_inverse=True, return_counts=True)
+                windows = np.bincount(same, n[pick], len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pieces.astype(np.int64)), pa.array(windows)], names=["key", "pieces", "windows"])
+
+    return run
+
+
+def hot_keys(open_: DataFrame, width: int, most: int) -> tuple[np.ndarray, int]:
+    """The keys with more than ``most`` pieces, counted exactly, and the number of their windows.
+
+    All pieces of a key have one minimizer, so only popular minimizers are looked at."""
+    counts = open_.filter("popular > 0").mapInArrow(_count(width), "key long, pieces long, windows long").groupBy("key")
+    got = counts.agg(F.sum("pieces").alias("pieces"), F.sum("windows").alias("windows")).filter(F.col("pieces") > most).select("key", "windows").toPandas()
+    return np.sort(got["key"].to_numpy(np.int64).view(np.uint64)), int(got["windows"].sum())
+
+
+def _cut(shards: int, width: int, hot: np.ndarray):
+    """(shard, key, bytes) of each piece whose key is not hot."""
 
     def run(batches):
         for batch in batches:
             ids, tids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            every = batch.column(3).to_pylist()
-            for lo, hi, data, off in slices(batch, limit=SLICE):
-                s0, s1, p, owner, flag = [], [], [], [], []
-                for i in range(lo, hi):
-                    g = np.frombuffer(every[i], SEGMENT)
-                    g = g[g["flag"] != REPEATED]
-                    a = g["start"].astype(np.int64) + off[i - lo]
-                    s0.append(a)
-                    s1.append(a + g["n"] - 1)
-                    p.append(a + g["o"])
-                    owner.append(np.full(len(g), i))
-                    flag.append(g["flag"])
-                s0, s1, p, owner, flag = (np.concatenate(x) for x in (s0, s1, p, owner, flag))
-                if not len(s0):
+            for lo, data, off, pieces in _pieces(batch, width):
+                cold = ~_among(pieces[0], hot)
+                key, first, n, owner, flag = (x[cold] for x in pieces)
+                if not len(key):
                     continue
-                c = prefix_hash(BYTE_VALUE[data])
-                out = []
-                for b in range(BINS):
-                    first, last = np.maximum(s0, p - (step * (b + 1) - 1)), np.minimum(s1, p - step * b)
-                    ok = np.flatnonzero(first <= last)
-                    q = p[ok] - step * b  # all windows of the bin hold [q, q + width - step + 1)
-                    key = range_hash(c, q, q + width - step + 1) + U64(b)
-                    out.append((key, first[ok], last[ok] - first[ok] + 1, owner[ok], flag[ok]))
-                key, first, n, owner, flag = (np.concatenate(x) for x in zip(*out, strict=True))
                 shard = (((key >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -233,7 +278,7 @@ def _cut(shards: int, width: int):
                     text = b"".join([raw[a : a + m] for a, m in zip(first[x].tolist(), (n[x] + width - 1).tolist(), strict=True)])
                     rows.append((
                         int(d), key[x].tobytes(), np.array([ids[i] for i in own], np.int64).tobytes(), np.array([tids[i] for i in own], np.int64).tobytes(),
-                        rel.astype("<u4").tobytes(), n[x].astype("<u4").tobytes(), flag[x].tobytes(), text,
+                        rel.astype("<u4").tobytes(), n[x].astype("<u4").tobytes(), (flag[x] & STATE).tobytes(), text,
                     ))
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if i == 0 else pa.binary()) for i, v in enumerate(zip(*rows, strict=True))], names=_PIECE_NAMES)
 
@@ -282,6 +327,77 @@ def _sort_shard(dests: int, width: int):
     return run
 
 
+_WINDOW_FIELDS = [("d0", "<u8"), ("d1", "<u8"), ("ids", "<i8"), ("tids", "<i8"), ("start", "<u4"), ("n", "<u4"), ("weight", "u1")]
+_WINDOW = "part int, " + ", ".join(f"{k} binary" for k, _ in _WINDOW_FIELDS)
+#: Weights of a row of windows: a run that is settled; a window that asks whether it is repeated; one that is known to be.
+DONE, ASKS, KNOWN = 0, 1, 2
+#: Windows that are dealt out together.
+WINDOWS = 1 << 18
+
+
+def _deal_windows(parts: int, width: int, hot: np.ndarray):
+    """The windows of hot keys, each dealt out by a digest of all its bytes: one of each kind in a slice, and runs that are settled there."""
+
+    def run(batches):
+        for batch in batches:
+            ids, tids = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for lo, data, off, pieces in _pieces(batch, width):
+                pick = _among(pieces[0], hot)
+                _, first, n, owner, flag = (x[pick] for x in pieces)
+                if not len(n):
+                    continue
+                raw = data.tobytes()
+                turns = (np.cumsum(n) - n) // WINDOWS
+                for turn in np.unique(turns):
+                    t = np.flatnonzero(turns == turn)
+                    piece = np.repeat(t, n[t])
+                    a = first[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(n[t]) - n[t], n[t])
+                    d = np.frombuffer(b"".join([hashlib.blake2b(raw[i : i + width], digest_size=16).digest() for i in a.tolist()]), "<u8").reshape(-1, 2)
+                    order = np.lexsort((d[:, 1], d[:, 0]))
+                    new = np.concatenate([[True], (d[order[1:]] != d[order[:-1]]).any(axis=1)])
+                    lot = np.empty(len(a), np.int64)
+                    lot[order] = np.cumsum(new) - 1
+                    stands = flag[piece] & STATE == STANDS
+                    known = (np.bincount(lot) > 1) | (np.bincount(lot, stands) > 0)
+                    one = order[new]
+                    done = known[lot] & ~stands
+                    begin = np.flatnonzero(done & np.concatenate([[True], ~done[:-1] | (piece[1:] != piece[:-1])]))
+                    end = np.flatnonzero(done & np.concatenate([~done[1:] | (piece[1:] != piece[:-1]), [True]]))
+                    at = np.concatenate([one, begin])
+                    own = owner[piece[at]]
+                    v = {
+                        "d0": d[at, 0], "d1": d[at, 1], "ids": ids[own], "tids": tids[own], "start": a[at] - off[own - lo],
+                        "n": np.concatenate([np.ones(len(one), np.int64), end - begin + 1]), "weight": np.concatenate([np.where(known, KNOWN, ASKS), np.full(len(begin), DONE)]),
+                    }
+                    spread = np.where(v["weight"] == DONE, mix(v["ids"].view(np.uint64)), v["d0"])
+                    part = (((spread >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+                    by = np.argsort(part, kind="stable")
+                    cut = np.searchsorted(part[by], np.arange(parts + 1))
+                    rows = [(int(q), *[v[k][by[cut[q] : cut[q + 1]]].astype(w).tobytes() for k, w in _WINDOW_FIELDS]) for q in np.flatnonzero(np.diff(cut))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["part", *[k for k, _ in _WINDOW_FIELDS]])
+
+    return run
+
+
+def _judge_windows(dests: int):
+    """Windows of one range of digests → those that are repeated."""
+
+    def run(table: pa.Table) -> pa.Table:
+        v = {k: np.concatenate([np.frombuffer(b, w) for b in table.column(k).to_pylist()]) for k, w in _WINDOW_FIELDS}
+        live = np.flatnonzero(v["weight"] != DONE)
+        order = live[np.lexsort((v["d1"][live], v["d0"][live]))]
+        hit = v["weight"] == DONE
+        if len(order):
+            d0, d1, weight = v["d0"][order], v["d1"][order], v["weight"][order]
+            lot = np.cumsum(np.concatenate([[True], (d0[1:] != d0[:-1]) | (d1[1:] != d1[:-1])])) - 1
+            hit[order] = (np.bincount(lot, weight)[lot] > 1) & (weight == ASKS)
+        segs = np.zeros(int(hit.sum()), SEGMENT)
+        segs["start"], segs["n"], segs["flag"] = v["start"][hit], v["n"][hit], REPEATED
+        return _packed(v["ids"][hit], v["tids"][hit], segs, dests)
+
+    return run
+
+
 def _strip(width: int):
     """Drops what runs of repeated windows cover; digests of what is left."""
 
@@ -295,7 +411,7 @@ def _strip(width: int):
                     text = raw[off[i - lo] : off[i - lo + 1]]
                     runs = [np.frombuffer(x, SEGMENT) for x in (one[i], two[i]) if x]
                     runs = np.concatenate(runs) if runs else np.zeros(0, SEGMENT)
-                    runs = runs[runs["flag"] != OPEN]
+                    runs = runs[runs["flag"] & STATE != OPEN]
                     if not len(runs):
                         out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
                         continue
@@ -340,15 +456,20 @@ def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 40 << 20,
     t = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = partitions_for(total, part_bytes)
+    most = shard_bytes // (4 * width)  # pieces of a key: a quarter of a shard
     hot = hot_minimizers(docs, width, n_docs)
     dealt = t.mapInArrow(_deal(parts, width, hot), _SEG)
-    judged = dealt.groupBy("part").applyInArrow(_judge(parts), _PACKED)
+    judged = dealt.groupBy("part").applyInArrow(_judge(parts, most), _PACKED)
     marks = materialize(judged.groupBy("dest").applyInArrow(_by_document, _OF_DOCUMENT), "marks")
-    cost = marks.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
+    cost, popular = marks.agg(F.coalesce(F.sum("cost"), F.lit(0)), F.coalesce(F.sum("popular"), F.lit(0))).first()
     shards = partitions_for(cost, shard_bytes)
     key = ["doc_id", "tid"]
-    open_ = t.join(marks.filter("cost > 0").select(*key, "segs"), key).select("doc_id", "tid", "text", "segs")
-    sorted_ = open_.mapInArrow(_cut(shards, width), _PIECE).groupBy("shard").applyInArrow(_sort_shard(parts, width), _PACKED)
+    open_ = t.join(marks.filter("cost > 0").select(*key, "segs", "popular"), key).select("doc_id", "tid", "text", "segs", "popular")
+    keys, windows = hot_keys(open_, width, most) if popular else (np.zeros(0, np.uint64), 0)
+    sorted_ = open_.mapInArrow(_cut(shards, width, keys), _PIECE).groupBy("shard").applyInArrow(_sort_shard(parts, width), _PACKED)
+    if len(keys):
+        dealt = open_.filter("popular > 0").mapInArrow(_deal_windows(partitions_for(windows, 200_000), width, keys), _WINDOW)
+        sorted_ = sorted_.union(dealt.groupBy("part").applyInArrow(_judge_windows(parts), _PACKED))
     found = materialize(sorted_.groupBy("dest").applyInArrow(_by_document, _OF_DOCUMENT), "runs")
     whole = t.join(marks.select(*key, F.col("segs").alias("marks")), key, "left").join(found.select(*key, F.col("segs").alias("runs")), key, "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -202,3 +202,27 @@ def test_mixing(edges, no_rows):
     placed, mix = mixing.mix_sources(edges, share=0.25)
     total = sum(r["size"] for r in rows)
     assert abs(mix.agg({"taken": "sum"}).first()[0] - total * 0.25) <= 4
+
+
+def test_strip_repeats_hot_keys(spark, monkeypatch):
+    """One passage in contexts of their own: its pieces do not collect under one key."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(6))
+    passage = [" ".join(word() for _ in range(60)), " ".join(word() for _ in range(25))]
+    rows = [(i, " ".join([word() for _ in range(30)] + [passage[i % 4 == 0]] + [word() for _ in range(30)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sort_shard = substring_dedup._sort_shard
+
+    def watched(dests, width):
+        real = sort_shard(dests, width)
+
+        def run(table):
+            keys = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("key").to_pylist()])
+            assert np.unique(keys, return_counts=True)[1].max() <= 12
+            return real(table)
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_sort_shard", watched)
+    got = sorted(tuple(r) for r in substring_dedup.strip_repeats(df, part_bytes=8_000, shard_bytes=10_000).drop("kept").collect())
+    assert got == brute_strip(texts(df))
