@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers look at together.
@@ -64,6 +64,11 @@ def modest_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+def known_id() -> Column:
+    """doc_id; a row without one is known by a hash of its text, so that joins and hash deals keep it."""
+    return F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+
+
 def partitions_for(rows: int, per_partition: int) -> int:
     return max(1, -(-int(rows) // per_partition))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for
+from .common import known_id, materialize, partitions_for
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words of the whole text), h (place in the shuffled order)."""
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD)))
-    h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long")
+    h = F.conv(F.substring(F.md5(known_id().cast("string")), 1, 15), 16, 10).cast("long")
     return docs.select("doc_id", "source", size.cast("long").alias("size"), h.alias("h"))
 
 
@@ -145,9 +145,9 @@ def taken_words(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as rows: each document of ``docs`` as often as at least half of it is taken.
 
-    Rows of one doc_id come as often as the one of them that is taken most."""
-    times = taken_words(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__times"))
-    return docs.join(times, "doc_id").withColumn("__turn", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    Rows of one doc_id (of one text, where the doc_id is null) come as often as the one of them that is taken most."""
+    times = taken_words(docs.withColumn("doc_id", known_id())).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__times"))
+    return docs.withColumn("__id", known_id()).join(times, "__id").withColumn("__turn", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

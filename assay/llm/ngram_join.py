@@ -342,8 +342,9 @@ def linked(units: DataFrame, parts: int) -> DataFrame:
 def ngram_components(docs: DataFrame, size: int = 5, tile: int = 256, part_grams: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of ``docs`` (doc_id, text, ...).
 
-    component_id is the smallest doc_id reachable by links; n_links counts the
-    other documents (rows) that a document links with, its copies included."""
+    component_id is the smallest doc_id reachable by links (null if no row of the
+    component has one); n_links counts the other documents (rows) that a document
+    links with, its copies and rows without a doc_id included."""
     modest_batches(docs.sparkSession)
     sig = materialize(signatures(docs, size), "signatures")
     classes = sig.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
@@ -360,11 +361,12 @@ def ngram_components(docs: DataFrame, size: int = 5, tile: int = 256, part_grams
     units = tiled(able.join(keyed.select("key", "copies"), "key"), groups, tile)
     found = materialize(linked(units, max(8, partitions_for(total, part_grams))), "links")
     rep = keyed.select("key", "rep")
-    stars = found.join(rep.withColumnRenamed("rep", "a"), "key").join(rep.select(F.col("key").alias("root"), F.col("rep").alias("b")), "root")
-    comps = connected_components(stars.select("a", "b"))
+    # classes are the nodes, as a class of rows without a doc_id has no document to stand for it
+    comps = materialize(connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key"), "components")
+    low = comps.join(rep, "key").groupBy("component").agg(F.min("rep").alias("low"))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
-    info = keyed.join(counts, "key", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.select("f1", "f2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    info = keyed.join(counts, "key", "left").join(comps.join(low, "component").select("key", "low"), "key", "left")
+    info = info.select("f1", "f2", F.coalesce("low", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return sig.join(info, ["f1", "f2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
@@ -372,7 +374,16 @@ def ngram_components(docs: DataFrame, size: int = 5, tile: int = 256, part_grams
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
+
+    Of a component in which no row has a doc_id, one row stays."""
+    if not docs.filter("doc_id is null").isEmpty():
+        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        comps = ngram_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__in"))
+        rows = rows.join(comps, "__row")
+        best = rows.groupBy("__in").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__row")).alias("__best"))
+        stays = F.when(F.col("__best.no"), F.col("__row") == F.col("__best.__row")).otherwise(F.col("doc_id") == F.col("__best.doc_id"))
+        return rows.join(best, "__in").filter(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
     stay = ngram_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi")
 

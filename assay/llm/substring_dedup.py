@@ -24,7 +24,7 @@ Minimizers of a large share of all documents (found on a sample; it matters for
 cost only) are dealt out by segment instead, and copies inside a slice of the
 input are settled there, so that no popular string collects in one task.
 
-Defined results: null text is empty; texts under 200 bytes lose nothing;
+Defined results: null text is empty; rows with a null doc_id are rows like others; texts under 200 bytes lose nothing;
 repeated rows are copies of each other; an empty table gives no rows.
 """
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, U64, materialize, mix, modest_batches, partitions_for, powers, prefix_hash, range_hash, slices
+from .common import BYTE_VALUE, U64, known_id, materialize, mix, modest_batches, partitions_for, powers, prefix_hash, range_hash, slices
 from .suffix_array import permuted_lcp, suffix_array
 
 K, BINS = 32, 4
@@ -453,12 +453,12 @@ def hot_minimizers(docs: DataFrame, width: int, n_docs: int, sample_docs: int =
 def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 40 << 20, shard_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row of ``docs``."""
     modest_batches(docs.sparkSession)
-    t = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    t = docs.select(known_id().alias("doc_id"), F.xxhash64("text").alias("tid"), "text", F.col("doc_id").alias("given"))
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = partitions_for(total, part_bytes)
     most = shard_bytes // (4 * width)  # pieces of a key: a quarter of a shard
     hot = hot_minimizers(docs, width, n_docs)
-    dealt = t.mapInArrow(_deal(parts, width, hot), _SEG)
+    dealt = t.select("doc_id", "tid", "text").mapInArrow(_deal(parts, width, hot), _SEG)
     judged = dealt.groupBy("part").applyInArrow(_judge(parts, most), _PACKED)
     marks = materialize(judged.groupBy("dest").applyInArrow(_by_document, _OF_DOCUMENT), "marks")
     cost, popular = marks.agg(F.coalesce(F.sum("cost"), F.lit(0)), F.coalesce(F.sum("popular"), F.lit(0))).first()
@@ -473,7 +473,7 @@ def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 40 << 20,
     found = materialize(sorted_.groupBy("dest").applyInArrow(_by_document, _OF_DOCUMENT), "runs")
     whole = t.join(marks.select(*key, F.col("segs").alias("marks")), key, "left").join(found.select(*key, F.col("segs").alias("runs")), key, "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return whole.select("doc_id", "text", "marks", "runs").mapInArrow(_strip(width), schema)
+    return whole.select(F.col("given").alias("doc_id"), "text", "marks", "runs").mapInArrow(_strip(width), schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,3 +226,28 @@ def test_strip_repeats_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_sort_shard", watched)
     got = sorted(tuple(r) for r in substring_dedup.strip_repeats(df, part_bytes=8_000, shard_bytes=10_000).drop("kept").collect())
     assert got == brute_strip(texts(df))
+
+
+def test_null_ids(spark):
+    """Rows without a doc_id stay, link and repeat like others; large ids beside them keep all their digits."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    base, alone, pair, shared = text(100).split(), text(50), text(60), text(40)
+    chain = [" ".join(base[:i] + ["other"] + base[i + 1 :]) for i in (4, 96)]  # each links with base
+    ends = [" ".join(["x", "y", *base[5:]]), " ".join(base[:88])]
+    rows = [(None, alone), (None, pair), (None, pair), (None, " ".join(base)), ((1 << 60) + 1, chain[0]), (7, chain[1]), (None, ends[0]), (9, ends[1])]
+    rows += [(None, f"{text(30)} {shared} {text(30)}"), ((1 << 60) + 3, f"{text(30)} {shared} {text(30)}")]
+    df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string").coalesce(1)
+    # each row as a number; with ids, numbers sort as ids do and rows without one come last
+    ids = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    want = brute_components([(n, rows[i][1].encode()) for n, i in enumerate(ids)])
+    back = lambda n: rows[ids[n]][0]
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    got = [tuple(r) for r in ngram_join.ngram_components(df).collect()]
+    assert sorted(got, key=order) == sorted([(back(d), n, back(c), m) for d, n, c, m in want], key=order)
+    stay = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.one_of_each(df).collect())
+    assert stay == sorted((back(d) or 0, rows[ids[d]][1]) for d, _, c, _ in want if d == c)
+    got = [tuple(r) for r in substring_dedup.strip_repeats(df).drop("kept").collect()]
+    assert sorted(got, key=lambda r: (r[0] or 0, r[4])) == sorted([(d or None, *r) for d, *r in brute_strip([(d or 0, t.encode()) for d, t in rows])], key=lambda r: (r[0] or 0, r[4]))
+    assert len(mixing.taken_words(df).collect()) == len(rows)
+    assert {r["text"] for r in mixing.mixed(df).collect()} == {t for _, t in rows}
