@@ -82,7 +82,7 @@ class Model:
 
 
 def _spans(batches):
-    """Up to SPANS runs of SPAN_WORDS words, spread evenly over each whole text."""
+    """Up to SPANS runs of SPAN_WORDS or 8 words, spread evenly over each whole text; a text of up to SPAN_WORDS words whole and its first 8."""
     for batch in batches:
         text, lang = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out = []
@@ -91,6 +91,8 @@ def _spans(batches):
             starts = sorted({i * max(0, len(w) - SPAN_WORDS) // max(1, SPANS - 1) for i in range(SPANS)})
             for i, s in enumerate(starts):
                 out.append((" ".join(w[s : s + (SPAN_WORDS if i % 2 else 8)]), y))
+            if 8 < len(w) <= SPAN_WORDS:
+                out.append((" ".join(w), y))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], names=["text", "lang"])
 
 

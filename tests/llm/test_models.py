@@ -2,6 +2,7 @@ import re
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,10 @@ def test_few_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(v, F.col("vec_id") % 20 == 0).collect())
     assert got == [(0, 1, 3), (0, 2, 20), (20, 1, 3), (20, 2, 0)]
     assert ann.search(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_language_learns_from_whole_short_texts():
+    words = [f"w{i}" for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words), "a b"]), pa.array(["en", "de"])], names=["text", "lang"])
+    got = next(language_id._spans([batch])).to_pylist()
+    assert {"text": " ".join(words), "lang": "en"} in got and {"text": "a b", "lang": "de"} in got
