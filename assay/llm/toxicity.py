@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import modest_batches, slices
 from .labelled import crc_mod, labelled_texts, training_rows
 
-#: Labelled documents that are learned from, at most; features with a weight, at most.
-TRAIN_DOCS, FEATURES = 20_000, 4096
+#: Labelled documents that are learned from, at most.
+TRAIN_DOCS = 20_000
 BITS = 20
 ORDERS = (3, 4, 5, 6)
 
@@ -136,13 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     n = float(n_pos + n_neg)
     share = (F.col("pos") + F.col("neg")) / n
     z = F.abs(F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg) + 1e-12)
-    c = c.filter("pos + neg >= 4").withColumn("z", z).filter("z >= 4.5").orderBy(F.desc("z"), "bucket").limit(FEATURES).toPandas()
+    c = c.filter("pos + neg >= 4").withColumn("z", z).filter("z >= 4.5").select("bucket", "pos", "neg").toPandas()
     r = log_count_ratios(c["pos"].to_numpy(float), c["neg"].to_numpy(float), n_pos, n_neg)
     scale = np.zeros(1 << BITS)
     scale[c["bucket"].to_numpy(int)] = r
     rows = texts.mapInArrow(_rows(scale != 0), "y int, x binary").orderBy("y", "x").toPandas()
     y = (rows["y"].to_numpy() == 1).astype(float)
-    place = np.cumsum(scale != 0) - 1
+    place = (np.cumsum(scale != 0) - 1).astype(np.int32)
     x = [place[np.frombuffer(b, np.uint32)] for b in rows["x"]]
     w, bias = descend(x, y, scale[scale != 0]) if (scale != 0).any() else (np.zeros(0), float(np.log(n_pos / n_neg)))
     weight = np.zeros(1 << BITS)

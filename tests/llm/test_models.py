@@ -182,3 +182,12 @@ def test_language_learns_from_whole_short_texts():
     batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words), "a b"]), pa.array(["en", "de"])], names=["text", "lang"])
     got = next(language_id._spans([batch])).to_pylist()
     assert {"text": " ".join(words), "lang": "en"} in got and {"text": "a b", "lang": "de"} in got
+
+
+def test_toxicity_keeps_every_telling_feature(spark):
+    rng = np.random.default_rng(6)
+    bad, good = (["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 12)) for _ in range(500)] for _ in range(2))
+    rows = [(i, " ".join(rng.choice(bad if i % 2 else good, 150, replace=False)), i % 2) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert model.keep.sum() > 6000
