@@ -35,10 +35,12 @@ TRAIN_PAGES, PATHS, WORDS = 400, 2048, 1024
 DIM_PATH, DIM_WORD, NUMBERS, HIDDEN = 24, 4, 5, 16
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(template|noscript|svg|iframe)\b[^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+#: Elements that are skipped up to their closing tag; without one, or as ``<svg/>``, only the tag is.
+_CLOSING = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("template", "noscript", "svg", "iframe")}
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -107,16 +109,24 @@ def blocks_of(page: str) -> list[Block]:
         del stack[i:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        skipped = (m[2] or "").lower()
+        if skipped and skipped not in unclosed and not (skipped == "svg" and m[0].endswith("/>")):
+            end = _CLOSING[skipped].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                unclosed.add(skipped)
+        tag = (m[4] or "").lower()
         if not tag:
             continue
         if tag not in INLINE:
             flush()
-        if m[2]:
+        if m[3]:
             i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if i >= 0:
                 pop(i)
@@ -132,9 +142,9 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or m[5].endswith("/"):
             continue
-        stack.append((tag, _names(tag, m[4])))
+        stack.append((tag, _names(tag, m[5])))
         links += tag == "a"
     if at < len(page):
         add(page[at:])

@@ -191,3 +191,12 @@ def test_toxicity_keeps_every_telling_feature(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
     assert model.keep.sum() > 6000
+
+
+def test_icons_do_not_swallow_the_page():
+    icon = '<svg viewBox="0 0 1 1" class="i"/>'
+    assert [b.text for b in html_text.blocks_of(f"<p>{icon}before</p><p>after</p><svg><text>drawn</text></svg><p>end</p>")] == ["before", "after", "end"]
+    for tag in ("svg", "iframe", "template", "noscript"):
+        assert [b.text for b in html_text.blocks_of(f"<p>a</p><{tag} x='1'><p>b</p><p>c</p>")] == ["a", "b", "c"]
+        assert [b.text for b in html_text.blocks_of(f"<p>a</p><{tag} x='1'>no</{tag.upper()} ><p>c</p>")] == ["a", "c"]
+    assert [b.text for b in html_text.blocks_of("<p>a</p><script>if (b) <p>c</p>")] == ["a"]
