@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BYTE_VALUE, LOWER_VALUE, modest_batches, prefix_hash, range_hash, slices, words_of
-from .labelled import crc_mod, labelled_texts, training_rows
+from .labelled import crc_mod, labelled_texts
 
 #: Labelled documents that are learned from, at most.
 TRAIN_DOCS = 12_000
@@ -171,10 +171,13 @@ def _features(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1, limit: int = TRAIN_DOCS) -> Trees:
-    rows = labelled_texts(docs, training_rows(labels, label, modulus, held_out, limit)).select("text", "y")
-    got = rows.mapInArrow(_features, "y int, x array<double>").orderBy("y", "x").toPandas()
+    """Trees from a bounded sample of the labelled texts; only their statistics come to the driver."""
+    rows = labelled_texts(docs, labels, label, modulus, held_out, limit).select("text", "y")
+    got = rows.mapInArrow(_features, "y int, x array<double>").toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(STATISTICS)))
-    return grow(x, (got["y"].to_numpy() == 1).astype(float))
+    y = got["y"].to_numpy()
+    order = np.lexsort((*x.T[::-1], y))
+    return grow(x[order], (y[order] == 1).astype(float))
 
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import modest_batches, slices
-from .labelled import crc_mod, labelled_texts, training_rows
+from .labelled import crc_mod, labelled_texts
 
 #: Labelled documents that are learned from, at most.
 TRAIN_DOCS = 20_000
@@ -125,7 +125,7 @@ def descend(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, epochs: int =
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, limit: int = TRAIN_DOCS) -> Model:
     """Counts of the sample are summed in Spark (at most 2^20 buckets); its rows come back with kept features only."""
     modest_batches(docs.sparkSession)
-    texts = labelled_texts(docs, training_rows(labels, label, modulus, held_out, limit)).select("text", "y")
+    texts = labelled_texts(docs, labels, label, modulus, held_out, limit).select("text", "y")
     n = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
     none = np.zeros(1 << BITS, bool)
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     r = log_count_ratios(c["pos"].to_numpy(float), c["neg"].to_numpy(float), n_pos, n_neg)
     scale = np.zeros(1 << BITS)
     scale[c["bucket"].to_numpy(int)] = r
-    rows = texts.mapInArrow(_rows(scale != 0), "y int, x binary").orderBy("y", "x").toPandas()
+    rows = texts.mapInArrow(_rows(scale != 0), "y int, x binary").toPandas().sort_values(["y", "x"])
     y = (rows["y"].to_numpy() == 1).astype(float)
     place = (np.cumsum(scale != 0) - 1).astype(np.int32)
     x = [place[np.frombuffer(b, np.uint32)] for b in rows["x"]]

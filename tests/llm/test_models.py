@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assay.llm import ann, html_text, language_id, quality, toxicity
+from assay.llm import ann, html_text, labelled, language_id, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -177,11 +177,139 @@ def test_few_vectors(spark):
     assert ann.search(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_language_learns_from_whole_short_texts():
-    words = [f"w{i}" for i in range(30)]
-    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words), "a b"]), pa.array(["en", "de"])], names=["text", "lang"])
-    got = next(language_id._spans([batch])).to_pylist()
-    assert {"text": " ".join(words), "lang": "en"} in got and {"text": "a b", "lang": "de"} in got
+#: Texts in languages that no table holds.
+FOREIGN = [
+    "La città era ancora avvolta nella nebbia quando il primo treno della mattina lasciò la stazione centrale.",
+    "O velho pescador acordou antes do amanhecer e caminhou até a praia, onde o seu barco estava à espera.",
+    "De oude man liep langzaam door het park terwijl zijn hond vrolijk achter de vogels aan rende.",
+    "Wczoraj wieczorem poszliśmy do kina, żeby obejrzeć nowy film, o którym wszyscy mówili.",
+    "Det var en gång en liten flicka som bodde i ett rött hus vid skogen.",
+    "Kesällä järven rannalla on hiljaista, kun aurinko laskee vasta myöhään illalla.",
+    "Sabah erkenden uyandık ve kahvaltıdan sonra eski şehrin dar sokaklarında yürüyüşe çıktık.",
+    "Setiap pagi ibu saya pergi ke pasar untuk membeli sayuran segar dan ikan.",
+    "Вчера вечером мы долго гуляли по набережной и разговаривали о том, как изменился наш город.",
+    "昨天下午我和朋友一起去公园散步，天气很好，很多人在湖边钓鱼。",
+    "ذهبت أمس إلى السوق مع أخي واشترينا بعض الفواكه والخضروات الطازجة ثم عدنا إلى البيت.",
+    "Χθες το βράδυ πήγαμε για φαγητό σε μια μικρή ταβέρνα δίπλα στη θάλασσα.",
+    "어제 저녁에 친구들과 함께 새로 생긴 식당에 가서 맛있는 음식을 많이 먹었습니다.",
+    "कल शाम हम सब दोस्त मिलकर नदी के किनारे घूमने गए और वहाँ बहुत देर तक बातें करते रहे।",
+]
+JUNK = ["asdf jkl; qwer uiop zxcv", "xkcd qqq zzz wwwww vvv", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ=", "d41d8cd98f00b204e9800998ecf8427e 5d41402abc4b2a76b9719d911017c592", "kjshdf kjhsdf kjhsdf kjhwef", "qzx vbnk wqpl kjhg zzxcv bnmq", "hjkl yuiop vbnm ghjk rtyu"]
+
+
+def judged(model, texts):
+    raw = [t.encode() for t in texts]
+    return language_id.judged(model, pa.array(texts), np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+
+
+def test_rejection(spark):
+    """Unlearned languages and junk go, clean documents that were not learned from stay, short ones too."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit(docs)
+    assert np.mean(judged(model, FOREIGN)[2]) >= 0.9 and np.mean(judged(model, JUNK)[2]) >= 0.9
+    kept_out = [r["text"] for r in docs.filter((language_id.crc_mod(4) == 2) & F.col("text").rlike("[A-Za-z]")).select("text").collect()]
+    short = [t for t in kept_out if len(t) < 120]
+    assert len(kept_out) > 2000 and np.mean(judged(model, kept_out)[2]) <= 0.005
+    assert len(short) > 50 and np.mean(judged(model, short)[2]) <= 0.03
+    for left_out in ("de", "en"):  # a language of the table that the model has not seen
+        other = language_id.fit(docs.filter(F.col("lang") != left_out))
+        assert left_out not in other.langs
+        unseen = [r["text"] for r in docs.filter((F.col("lang") == left_out) & (F.col("doc_id") % 5 == 0)).collect()]
+        assert np.mean(judged(other, [t for t in unseen if t])[2]) >= 0.9
+
+
+def test_language_scores_by_hand(spark):
+    """Scores of single texts by plain Python over their n-grams."""
+    model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = ["Der Hund.", "x", "  --ab  c\n\td!! ÉÀ", "the" * 50, "é", "A1b2", FOREIGN[0], "漢字", "one", ""]
+    lang, score, out = judged(model, texts)
+    for t, y, s, bad in zip(texts, lang, score, out, strict=True):
+        raw = bytearray(t.encode())
+        for i, c in enumerate(raw):
+            if i and raw[i - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97:
+                raw[i] = c + 32
+            elif c < 128:
+                raw[i] = c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32
+        b = b" " + b" ".join(bytes(raw).split(b" ")) + b" "
+        b = re.sub(rb" +", b" ", b)
+        grams = [b[i : i + k] for k in (2, 3, 4) for i in range(len(b) - k + 1)]
+        if not any(ch.isalpha() for ch in t):
+            assert (y, s, bad) == ("und", 0.0, True)
+            continue
+        rows = []
+        for g in grams:
+            h = (int.from_bytes(g, "little") * 2654435761 + (len(g) - 1) * 40503) & 0xFFFFFFFF
+            rows.append(model.scores[((h ^ (h >> 15)) * 2246822519 & 0xFFFFFFFF) >> (32 - language_id.BITS)])
+        at = int(np.searchsorted(language_id.LENGTHS, len({g for g in grams if len(g) == 4})))
+        z = (np.mean(np.array(rows, float), axis=0) + model.bias) / model.temperature[at]
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert y == model.langs[int(p[:-1].argmax())] and abs(s - p[:-1].max()) < 1e-6 and bad == (p[-1] > model.threshold[at])
+
+
+def test_language_learns_from_whole_texts():
+    words = [f"w{i}" for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words), "ab"]), pa.array(["en", "de"])], names=["text", "lang"])
+    got = next(language_id._examples([batch])).to_pylist()
+    whole = [r for r in got if not r["cut"]]
+    assert [r["lang"] for r in whole] == ["en", "de"] and whole[0]["distinct"] == language_id.bag(" ".join(words))[1] > 500
+    assert [r["lang"] for r in got].count(None) >= 2
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """A doc_id or a text of very many rows does not make a sample longer."""
+    rows = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 2000).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    n = labelled.stored_sample(rows, 400, "t").count()
+    assert 0 < n < 800
+    one = rows.withColumn("text", F.lit("same"))
+    assert labelled.stored_sample(one, 400, "t").count() <= 1
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, toxic int")
+    assert labelled.labelled_texts(rows, labels, "toxic", 5, 9, 400).count() < 800
+
+
+def test_toxic_scores_by_hand(spark):
+    """Scores and predictions of whole texts by plain Python over their distinct n-grams; found and missed documents."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    for t in ("", "abc", "You stupid   IDIOT\tyou", "é漢" * 4, "worthless scum and trash", docs.filter("doc_id = 7").first()["text"]):
+        raw = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\r\x0b\x0c" else c for c in t.encode())
+        found = set()
+        for k in toxicity.ORDERS:
+            for i in range(len(raw) - k + 1):
+                h = (int.from_bytes(raw[i : i + k], "little") + k - 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                found.add(((h ^ h >> 29) >> 8 & 0xFFFFFFFF) & ((1 << toxicity.BITS) - 1))
+        z = model.bias + sum(model.weight[b] for b in found if model.keep[b])
+        data = np.frombuffer(t.encode(), np.uint8)
+        assert abs(model.scores(data, np.array([0, len(data)]))[0] - 1 / (1 + np.exp(-z))) < 1e-9
+    out = toxicity.score(docs, model).select("doc_id", (toxicity.crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = out.filter("held_out").join(labels, "doc_id").select("toxic", "score", "predicted").collect()
+    y, s, p = (np.array([r[i] for r in rows]) for i in range(3))
+    assert ((s >= 0.5) == p).all() and p[y == 1].mean() >= 0.8 and p[y == 0].mean() <= 0.02
+
+
+def test_statistics_by_hand():
+    """Document statistics by plain Python."""
+    for t in ("", "One two two.", "a | b | c!\nA b.\n\nx", "Wort für Wort, 12 [x]; y? Z", "same same same\nsame same same\n", "   ", "antidisestablishmentarianism it"):
+        raw = t.encode()
+        words = raw.split()
+        low = [w.lower() for w in words]  # bytes.lower folds A-Z only
+        lines = [x for x in re.split(rb"(?<=\n)", raw) if x]
+        n, w = len(raw), len(words)
+        size = np.array([len(x) for x in words], float)
+        pairs = list(zip(low, low[1:], strict=False))
+        kind = lambda chars: sum(c in chars for c in raw)
+        marks = b"#$%&*+=@^_~\\/"
+        want = {
+            "log_bytes": np.log1p(n), "log_words": np.log1p(w), "share_upper": sum(65 <= c <= 90 for c in raw) / max(n, 1), "share_wide": sum(c > 127 for c in raw) / max(n, 1),
+            "word_length": size.mean() if w else 0, "word_spread": size.std() if w else 0, "short_words": (size <= 3).mean() if w else 0, "long_words": (size >= 14).mean() if w else 0,
+            "distinct_words": len(set(low)) / w if w else 0, "top_word": max(map(low.count, low)) / w if w else 0,
+            "word_repeats": np.mean([a == b for a, b in pairs]) if pairs else 0, "distinct_pairs": len(set(pairs)) / len(pairs) if pairs else 0,
+            "words_a_line": np.log1p(w / len(lines)) if w else 0, "distinct_lines": len(set(lines)) / len(lines) if w else 0, "short_lines": np.mean([len(x) < 30 for x in lines]) if w else 0,
+            "stops_a_word": kind(b".?") / max(w, 1), "marks_a_word": kind(marks) / max(w, 1),
+        }
+        got = quality.statistics(np.frombuffer(raw, np.uint8), np.array([0, n]))[0]
+        for name, v in want.items():
+            assert abs(got[quality.STATISTICS.index(name)] - v) < 1e-9, (t, name)
 
 
 def test_toxicity_keeps_every_telling_feature(spark):
