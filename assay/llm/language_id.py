@@ -141,7 +141,7 @@ SCRIPTS = ((0x0391, 0x03C9), (0x0410, 0x044F), (0x0531, 0x0586), (0x05D0, 0x05EA
 
 def noise(words: list[str], rng: np.random.Generator) -> str:
     """Letters in no learned language: another script, or Latin words whose letters or syllables do not follow on each other as in ``words``."""
-    kind = rng.integers(6)
+    kind = rng.integers(7)
     n = int(np.exp(rng.uniform(0, 5)))
     if kind == 0:
         lo, hi = SCRIPTS[rng.integers(len(SCRIPTS))]
@@ -180,7 +180,7 @@ def _examples(batches):
                 n = int(np.exp(rng.uniform(0, 5)))
                 at = rng.integers(0, max(1, len(words) - n))
                 texts.append((" ".join(words[at : at + n]), y, True))
-            texts += [(noise(words, rng), None, True) for _ in range(1 + kept_out)]
+            texts += [(noise(words, rng), None, True) for _ in range(2)]
             for text, lang, cut in texts:
                 if not _LETTER.search(text):
                     continue
