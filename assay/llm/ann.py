@@ -8,15 +8,17 @@ not quantised; the inner product with the centroid is exact), and the best by
 that estimate are ranked again by the exact inner product of the original
 vectors in double precision.
 
-Lists are dealt out in blocks of a bounded number of vectors (several small
-lists, or a part of a hot one), the queries in chunks of a bounded number.  A
-block ranks its best estimates again where the vectors are, and only the best
-``k`` of each query leave it.
+Equal vectors are one class, with its ``k + 1`` smallest vec_ids: no query needs
+more of them.  Lists are dealt out in blocks of a bounded number of classes
+(several small lists, or a part of a hot one), the queries in chunks of a bounded
+number.  A block ranks its best estimates again where the vectors are (all that
+tie with the last of them too), and only the best ``k`` of each query leave it.
 
 Defined results: vectors that are null, zero, of another length than most, or
-hold null or non-finite components take no part, as queries or candidates; of
-rows with one vec_id the smallest vector counts; a query without candidates has
-no row; an empty table gives no rows.
+hold null or non-finite components take no part, as queries or candidates;
+rows with one vec_id are separate candidates and separate queries, whose results
+stand beside each other; a query without candidates has no row; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .labelled import hash_sample
+from .common import materialize, modest_batches
+from .labelled import drawn
 
 #: Vectors that the index is fitted on, at most; lists, at most.
 TRAIN_VECTORS, LISTS = 20_000, 1024
@@ -83,31 +85,40 @@ def fit(x: np.ndarray, n: int, per_code: int = 4) -> Index:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles): one finite, non-zero vector of the usual length for each vec_id."""
-    v = vectors.filter("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    """(vec_id, embedding): every row with a finite, non-zero vector of the usual length; floats stay floats."""
+    v = vectors.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding")
     v = v.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     usual = v.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    v = v.filter(F.size("embedding") == (usual["d"] if usual else 0))
-    return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return v.filter(F.size("embedding") == (usual["d"] if usual else 0))
+
+
+def classes_of(base: DataFrame, k: int) -> DataFrame:
+    """(ids, embedding): each different vector with its ``k + 1`` smallest vec_ids, in order.
+
+    The limit inside each group works before the shuffle, so a vector of very many rows is no hot group."""
+    place = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
+    few = base.withColumn("place", place).filter(F.col("place") <= k + 1)
+    return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids", "embedding")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
-def coded(vectors: DataFrame, index: Index) -> DataFrame:
-    """Adds each vector's list and code."""
-    shared = vectors.sparkSession.sparkContext.broadcast(index)
+def coded(classes: DataFrame, index: Index) -> DataFrame:
+    """Adds each class's list and code."""
+    shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 at, code = shared.value.encode(_matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "embedding", "list", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], names=["ids", "embedding", "list", "code"])
 
-    return vectors.mapInArrow(run, "vec_id long, embedding array<double>, list int, code binary")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    return classes.mapInArrow(run, f"ids array<long>, embedding {kind}, list int, code binary")
 
 
 def bins_of(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +142,9 @@ def _probes(index: Index, sizes: np.ndarray, probes: int, least: int, bins: np.n
     def run(batches):
         for batch in batches:
             ids, q = batch.column(0).to_pylist(), _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, 1))
+            place = batch.column(2).to_pylist()
             out = []
-            for i, v in zip(ids, q, strict=True):
+            for i, v, p in zip(ids, q, place, strict=True):
                 s = index.coarse @ v
                 order = np.argsort(-s, kind="stable")
                 order = order[sizes[order] > 0]
@@ -140,74 +152,90 @@ def _probes(index: Index, sizes: np.ndarray, probes: int, least: int, bins: np.n
                 probed = order[: max(probes, enough)]
                 for b in np.unique(bins[probed]):
                     mine = probed[bins[probed] == b]
-                    out += [(int(b), k, i % 1_000_003 % chunks, i, mine, v) for k in range(int(blocks[mine[0]]))]
+                    out += [(int(b), k, p % chunks, i, p, mine, v) for k in range(int(blocks[mine[0]]))]
             if out:
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bin", "block", "chunk", "query_id", "lists", "q"])
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bin", "block", "chunk", "query_id", "place", "lists", "q"])
 
     return run
 
 
+def best_of(estimate: np.ndarray, rerank: int) -> np.ndarray:
+    """The ``rerank`` largest estimates and all that tie with the last of them."""
+    if len(estimate) <= rerank:
+        return np.arange(len(estimate))
+    return np.flatnonzero(estimate >= np.partition(estimate, len(estimate) - rerank)[len(estimate) - rerank])
+
+
 def _scan(index: Index, rerank: int, k: int):
     """Asymmetric distances of one chunk of queries to the probed lists of one
-    block; the best ``rerank`` are ranked by exact products, the best ``k`` stay."""
+    block; the best ``rerank`` are ranked by exact products, the best ``k`` rows stay."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = right.column("vec_id").to_numpy()
-        queries = left.column("query_id").to_numpy()
-        out_q, out_v, out_s = [], [], []
-        if len(ids) and len(queries):
+        queries, places = left.column("query_id").to_numpy(), left.column("place").to_numpy()
+        out = []
+        if right.num_rows and len(queries):
+            members = [np.array(x) for x in right.column("ids").to_pylist()]
+            smallest = np.array([m[0] for m in members])
             x, q = _matrix(right.column("embedding")), _matrix(left.column("q"))
-            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(members), -1)
             flat = codes.astype(np.int64) + np.arange(codes.shape[1]) * 256
             at = right.column("list").to_numpy()
             for i, (query, lists) in enumerate(zip(queries, left.column("lists").to_pylist(), strict=True)):
                 on = np.zeros(len(index.coarse), bool)
                 on[lists] = True
-                rows = np.flatnonzero(on[at] & (ids != query))
+                rows = np.flatnonzero(on[at])
                 estimate = index.tables(q[i]).ravel()[flat[rows]].sum(axis=1) + (index.coarse @ q[i])[at[rows]]
-                if len(rows) > rerank:
-                    rows = rows[np.argpartition(-estimate, rerank - 1)[:rerank]]
-                exact = x[rows] @ q[i]
-                best = np.lexsort((ids[rows], -exact))[:k]
-                out_q.append(np.full(len(best), query))
-                out_v.append(ids[rows[best]])
-                out_s.append(exact[best])
-        join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-        return pa.table({"query_id": join(out_q, pa.int64()), "vec_id": join(out_v, pa.int64()), "score": join(out_s, pa.float64())})
+                rows = rows[best_of(estimate, rerank)]
+                exact = (x[rows] * q[i]).sum(axis=1)  # one row like another, so that equal vectors score equally
+                best = np.lexsort((smallest[rows], -exact))[: k + 1]  # one may hold the query alone
+                found = []
+                for r in best:
+                    ids = members[rows[r]]
+                    if (x[rows[r]] == q[i]).all():  # the query's own row is one of these
+                        own = np.flatnonzero(ids == query)[:1]
+                        ids = np.delete(ids, own)
+                    found += [(query, places[i], int(v), float(exact[r])) for v in ids]
+                out += sorted(found, key=lambda f: (-f[3], f[2]))[:k]
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "place", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.7, rerank: int = 200, block: int = 4096, chunk: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.7, rerank: int = 200, block: int = 8192, chunk: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row for which ``is_query`` holds.
 
     A query probes ``share`` of the lists; a block ranks ``rerank`` of its
     vectors exactly for it.  Vectors without clear clusters need a large share."""
     spark = vectors.sparkSession
+    modest_batches(spark)
     base = materialize(usable(vectors), "vectors")
-    n = base.count()
+    classes = materialize(classes_of(base, k), "classes")
+    n = classes.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = hash_sample(base.withColumnRenamed("vec_id", "doc_id"), TRAIN_VECTORS).orderBy("doc_id").select("embedding").toArrow()
-    index = fit(_matrix(sample.column(0)), n)
-    table = materialize(coded(base, index), "codes")
+    sample = classes.filter(drawn(["embedding"], TRAIN_VECTORS, n, 17)).select("embedding").toArrow()
+    x = _matrix(sample.column(0))
+    index = fit(x[np.lexsort(x.T[::-1])], n)
+    table = materialize(coded(classes, index), "codes")
     sizes = np.zeros(len(index.coarse), int)
     for r in table.groupBy("list").agg(F.count("*").alias("n")).collect():  # one row per list, LISTS at most
         sizes[r["list"]] = r["n"]
     bins, blocks = bins_of(sizes, block)
-    queries = table.filter(is_query).select("vec_id", "embedding")
-    chunks = max(1, -(-queries.count() // chunk))
+    # queries are stored with a number of their own, which tells rows of one vec_id apart
+    asking = materialize(base.filter(is_query).withColumn("place", F.monotonically_increasing_id()), "queries")
+    chunks = max(1, -(-asking.count() // chunk))
     probe = _probes(index, sizes, int(np.ceil(share * len(sizes))), 4 * k, bins, blocks, chunks)
-    asked = queries.mapInArrow(probe, "bin int, block int, chunk int, query_id long, lists array<int>, q array<double>")
+    asked = asking.mapInArrow(probe, "bin int, block int, chunk int, query_id long, place long, lists array<int>, q array<double>")
     of_list = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("list") + 1)
     dealt = table.select(
-        of_list(bins).alias("bin"), F.pmod(F.xxhash64("vec_id"), of_list(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "embedding", "list", "code",
+        of_list(bins).alias("bin"), F.pmod(F.xxhash64("embedding"), of_list(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "ids", "embedding", "list", "code",
     )
     key = ["bin", "block", "chunk"]
-    found = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_scan(index, rerank, k), "query_id long, vec_id long, score double")
-    top = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_scan(index, rerank, k), "query_id long, place long, vec_id long, score double")
+    top = W.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(top).cast("int"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -146,30 +146,69 @@ def test_lstm_gradients():
         assert abs((up - down) / 2e-5 - g[k][i]) < 1e-4 * max(1, abs(g[k][i])), k
 
 
+def neighbours(rows, k=20):
+    """Brute force over (vec_id, vector): for each query row its (score, vec_id), best first."""
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    out = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[i]).sum(axis=1)
+        order = [j for j in np.lexsort((ids, -s)).tolist() if j != i][:k]
+        out.append((int(ids[i]), [(float(s[j]), int(ids[j])) for j in order]))
+    return out
+
+
+def by_query(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    return {q: sorted(v) for q, v in got.items()}
+
+
 @pytest.mark.parametrize("how", [{}, {"block": 60, "chunk": 7}])
 def test_neighbours(spark, how):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
     odd = [(1_000_000, None), (1_000_020, [0.0] * 64), (1_000_040, [float("nan")] + [1.0] * 63), (1_000_060, [None] + [1.0] * 63), (1_000_080, [1.0]), (1_000_100, [float("inf")] + [1.0] * 63)]
-    first = v.filter("vec_id = 0").select("vec_id", "embedding")
-    both = v.select("vec_id", "embedding").union(first).union(spark.createDataFrame(odd, "vec_id long, embedding array<float>"))
-    got = {}
-    for r in ann.search(both, F.col("vec_id") % 20 == 0, **how).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    ids, x = zip(*[(r["vec_id"], r["embedding"]) for r in v.collect()], strict=True)
-    ids, x = np.array(ids), np.array(x, float)
-    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    got = by_query(ann.search(v.union(spark.createDataFrame(odd, "vec_id long, embedding array<float>")), F.col("vec_id") % 20 == 0, **how))
+    rows = [(r["vec_id"], r["embedding"]) for r in v.collect()]
+    score = dict(rows)
+    want = dict(neighbours(rows))
+    assert set(got) == set(want)
     hit = 0
-    for i, rows in got.items():
-        rows.sort()
-        assert [r[0] for r in rows] == list(range(1, 21)) and i not in [r[1] for r in rows]
-        s = x @ x[ids == i][0]
-        assert all(abs(s[ids == r[1]][0] - r[2]) < 1e-12 for r in rows)
-        assert [(-r[2], r[1]) for r in rows] == sorted((-r[2], r[1]) for r in rows)
-        best = [k for k in ids[np.lexsort((ids, -s))].tolist() if k != i][:20]
-        hit += len(set(best) & {r[1] for r in rows})
+    for q, found in got.items():
+        assert [r[0] for r in found] == list(range(1, 21)) and q not in [r[2] for r in found]
+        assert all(abs(np.dot(np.array(score[q], float), np.array(score[i], float)) - s) < 1e-12 for _, s, i in found)
+        assert [(-r[1], r[2]) for r in found] == sorted((-r[1], r[2]) for r in found)
+        hit += len({i for _, i in want[q]} & {r[2] for r in found})
     assert hit >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("how", [{}, {"block": 100, "chunk": 16}])
+def test_equal_vectors(spark, how):
+    """A thousand equal vectors, some more in equal pairs, and two rows of one vec_id: every row but the query's own, ties to smaller ids."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=8)
+    rows = [(i, one.tolist()) for i in range(1000)] + [(1000 + i, (one * (1 + i // 2)).tolist()) for i in range(30)] + [(20, one.tolist()), (40, (one * 2).tolist())]
+    got = by_query(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, share=1.0, **how))
+    want = {}
+    for q, found in neighbours(rows):
+        want[q] = sorted(want.get(q, []) + [(rank, round(s, 9), i) for rank, (s, i) in enumerate(found, 1)])
+    assert {q: [(r, round(s, 9), i) for r, s, i in v] for q, v in got.items()} == want
+
+
+def test_best_estimates_keep_ties():
+    assert ann.best_of(np.array([1.0, 3, 2, 2, 2, 0]), 2).tolist() == [1, 2, 3, 4]
+    assert ann.best_of(np.array([1.0, 2]), 5).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall(spark, sf):
+    v = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select("vec_id", "embedding")
+    got = by_query(ann.search(v, F.col("vec_id") % 20 == 0))
+    want = neighbours([(r["vec_id"], r["embedding"]) for r in v.collect()])
+    hit = sum(len({i for _, i in found} & {r[2] for r in got[q]}) for q, found in want)
+    assert hit >= 0.9 * 20 * len(want)
+
+
 def test_few_vectors(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(v, F.col("vec_id") % 20 == 0).collect())
