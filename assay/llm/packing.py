@@ -17,6 +17,7 @@ packed as separate documents; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from bisect import bisect_left, insort
 
@@ -41,24 +42,24 @@ _encoders: dict[str, tuple] = {}
 
 
 def encoders(vocabulary: str) -> tuple:
-    """The vocabulary file's tokenizer, and the same ranks (if there is such a file beside it) in tiktoken."""
+    """The vocabulary file's tokenizer as it is, the same ranks in tiktoken (None if there is no such file beside it), and the tokens that stand for themselves in a text."""
     if vocabulary not in _encoders:
         slow = Tokenizer.from_file(vocabulary)
-        slow.encode_special_tokens = True
-        slow.no_padding()
-        slow.no_truncation()
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary.removesuffix(".json") + ".tiktoken", "rb"))}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[vocabulary] = slow, fast
+        beside, fast = vocabulary.removesuffix(".json") + ".tiktoken", None
+        if os.path.exists(beside):
+            with open(beside, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[vocabulary] = slow, fast, [t.content for t in slow.get_added_tokens_decoder().values()]
     return _encoders[vocabulary]
 
 
 def token_ids(text: str, vocabulary: str) -> np.ndarray:
-    """The ids of a whole text, without special tokens."""
-    slow, fast = encoders(vocabulary)
+    """The ids of a whole text, no special tokens added; those that the text itself holds are single ids."""
+    slow, fast, added = encoders(vocabulary)
     if not text:
         return np.zeros(0, np.uint32)
-    if _PLAIN.search(text):
+    if fast is None or _PLAIN.search(text) or any(t in text for t in added):
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     return np.array(fast.encode_ordinary(text), np.uint32)
 

@@ -13,9 +13,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def check_packed(rows, docs, tokenizer):
@@ -92,13 +90,14 @@ def test_plan_is_best_fit():
 
 
 def test_both_tokenizers_agree(tokenizer):
-    _, fast = packing.encoders(VOCABULARY)
+    _, fast, _ = packing.encoders(VOCABULARY)
     plain = [chr(c) for c in range(0x2100) if not packing._PLAIN.search(chr(c))]
     assert len(plain) > 500
     for c in plain:
         for t in (f"a{c}b", f" {c} ", f"{c}{c}x", f"1{c}'s {c}1", f"{c}\n {c}"):
             assert fast.encode_ordinary(t) == tokenizer.encode(t, add_special_tokens=False).ids, (c, t)
-    for t in ("<|endoftext|>", "漢字 🙂", "a   b\n\n\n c", "　x", "\x85y\xa0z"):
+    assert packing.token_ids("<|endoftext|>", VOCABULARY).tolist() == [50256]
+    for t in ("<|endoftext|>", "a plain text <|endoftext|> goes on<|endoftext|>", "<|endoftext|", "漢字 🙂", "a   b\n\n\n c", "　x", "\x85y\xa0z"):
         assert packing.token_ids(t, VOCABULARY).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
