@@ -293,12 +293,12 @@ def block_links(n: np.ndarray, side: np.ndarray, grams: list[np.ndarray], column
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     rest = np.bincount(row, minlength=m)
-    over = np.zeros((m, m), np.float32 if n.max() < 1 << 24 else np.float64)
+    over = np.zeros((m, m), np.int64)
     for c in range(0, int(col[-1]) + 1, columns):
         a, b = np.searchsorted(col, (c, c + columns))
-        block = np.zeros((m, min(columns, int(col[-1]) + 1 - c)), over.dtype)
+        block = np.zeros((m, min(columns, int(col[-1]) + 1 - c)), np.float32)
         block[row[a:b], col[a:b] - c] = 1
-        over += block @ block.T
+        over += (block @ block.T).astype(np.int64)  # at most ``columns``, so exact
         rest = rest - np.bincount(row[a:b], minlength=m)
         open_ &= 9 * (over + np.minimum(rest[:, None], rest[None, :])) >= need
         if not open_.any():

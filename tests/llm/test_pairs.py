@@ -77,6 +77,15 @@ def test_against_sql(spark, sf, duck, module, name):
     same(getattr(module, name)(spark, sf), duck.execute(getattr(module, name.upper() + "_SQL")))
 
 
+def test_overlaps_of_very_long_texts_are_exact():
+    """Just below and at the bound with two million shared n-grams, where single precision could not tell."""
+    shared = np.arange(1_864_136, dtype=np.uint64)
+    for extra in (466_033, 466_034, 466_035):
+        g = [shared, np.concatenate([shared, np.arange(1 << 40, (1 << 40) + extra, dtype=np.uint64)])]
+        got = ngram_join.block_links(np.array([len(x) for x in g]), np.zeros(2), g, columns=1 << 20)
+        assert bool(got[0, 1]) == (100 * len(shared) >= 80 * (len(shared) + extra))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1080)]
