@@ -4,9 +4,10 @@ Every source's documents are shuffled (ordered by a hash of their id) and queue
 up, once for each permitted repeat.  A copy's virtual finish time is the words
 of its source up to and including it, divided by the source's target weight.
 All copies are range-sorted by that time and the mix is cut at the total
-budget.  At the cut each source has one copy in service; the words it was
-served by then are taken from it, so a source's taken words are its target
-rounded down.
+budget: what stands before the cut is taken, whatever its source.  A source is
+off its target by at most what stands at the cut, so the copy of each source
+that is in service at virtual time one, when all targets are met, queues as
+packets of ``PACKET`` words with finish times of their own.
 
 Water-filling of the targets, prefix sums inside sources (hash buckets of a
 bounded size, so a hot source is many groups) and the running total over range
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import known_id, materialize, partitions_for
+from .common import known_id, materialize, partitions_for, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words of the pieces in which the copies in service at virtual time one queue.
+PACKET = 64
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -89,28 +92,32 @@ def queue_places(sizes: DataFrame, targets: DataFrame, bucket_rows: int = 2_000)
 
 
 def mix_queue(placed: DataFrame, most: int = 3, rows_per_partition: int = 1_000_000) -> DataFrame:
-    """The mix: copies in order of virtual finish time with the words taken from each.
+    """The mix: copies, or packets of them, in order of virtual finish time with the words taken from each.
 
-    ``mix_at`` is the words of the mix before the copy.  Running totals go over
-    range partitions: sums of partitions, then rows inside each."""
+    ``mix_at`` is the words of the mix before it.  Running totals go over range
+    partitions: sums of partitions, then rows inside each; nothing but the
+    running total and the budget decides what is taken."""
     turns = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn")
     c = placed.filter("size > 0").select("*", turns)
     c = c.withColumn("start", F.col("before") + F.col("turn") * F.col("source_size"))
-    served = F.floor("target") - F.col("start")
-    c = c.withColumn("served", F.greatest(F.lit(0), F.least(F.col("size"), served)).cast("long")).filter("served > 0")
-    c = c.withColumn("finish", (F.col("start") + F.col("size")) / F.col("target"))
-    c = c.select("no_source", "source_key", "k", "turn", "doc_id", "served", "finish", "budget")
-    order = ["finish", "no_source", "source_key", "turn", "k"]
-    parts = partitions_for(c.count(), rows_per_partition)
+    served = (F.col("start") < F.col("target")) & (F.col("start") + F.col("size") > F.col("target"))
+    step = F.when(served, F.lit(PACKET)).otherwise(F.col("size")).cast("long")
+    c = c.withColumn("step", step).withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.col("step")))))
+    c = c.withColumn("words", F.least(F.col("step"), F.col("size") - F.col("packet") * F.col("step")))
+    c = c.withColumn("finish", (F.col("start") + F.col("packet") * F.col("step") + F.col("words")) / F.col("target"))
+    c = c.select("no_source", "source_key", "k", "turn", "packet", "doc_id", "words", "finish", "budget")
+    order = ["finish", "no_source", "source_key", "turn", "k", "packet"]
+    parts = partitions_for(placed.count() * most, rows_per_partition)
     ranged = materialize(c.repartitionByRange(max(parts, 2), *order).withColumn("part", F.spark_partition_id()), "mix")
-    sums = ranged.groupBy("part").agg(F.sum("served").alias("s"))
+    sums = ranged.groupBy("part").agg(F.sum("words").alias("s"), F.max("budget").alias("budget"))
     # one row per range partition: a partition's own rows are a million or so
-    base = sums.select("part", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = sums.select("part", "budget", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = base.filter("base < budget").select("part", "base")  # partitions beyond the cut have nothing to be summed
     run = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    m = ranged.withColumn("run", F.coalesce(F.sum("served").over(run), F.lit(0))).join(base, "part")
+    m = ranged.join(F.broadcast(base), "part").withColumn("run", F.coalesce(F.sum("words").over(run), F.lit(0)))
     m = m.withColumn("mix_at", F.col("base") + F.col("run"))
-    taken = F.greatest(F.lit(0), F.least(F.col("served"), F.floor(F.col("budget")) - F.col("mix_at"))).cast("long")
-    return m.withColumn("taken", taken).filter("taken > 0").select("no_source", "source_key", "k", "turn", "doc_id", "finish", "mix_at", "taken")
+    taken = F.greatest(F.lit(0), F.least(F.col("words"), F.floor(F.col("budget")) - F.col("mix_at"))).cast("long")
+    return m.withColumn("taken", taken).filter("taken > 0").select("no_source", "source_key", "k", "turn", "packet", "doc_id", "finish", "mix_at", "taken")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -133,21 +140,20 @@ def taken_words(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
     is where the document first stands in the mix (null if not taken)."""
     placed, mix = mix_sources(docs, weights, share, most)
     key = ["no_source", "source_key", "k"]
-    slim = mix.groupBy(*key).agg(F.collect_list(F.struct("mix_at", "taken")).alias("parts"))
-    out = placed.join(slim, key, "left")
-    amount = F.coalesce(F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x.taken), F.lit(0).cast("long"))
-    copies = F.coalesce(F.aggregate("parts", F.lit(0), lambda a, x: a + (x.taken * 2 >= F.col("size")).cast("int")), F.lit(0))
-    return out.select(
-        "doc_id", "size", "source_size", "target", amount.alias("taken"), copies.alias("copies"), F.array_min("parts").mix_at.alias("first_at")
-    )
+    by_turn = mix.groupBy(*key, "turn").agg(F.sum("taken").alias("taken"), F.min("mix_at").alias("mix_at"))
+    slim = by_turn.groupBy(*key).agg(F.collect_list("taken").alias("each"), F.sum("taken").alias("taken"), F.min("mix_at").alias("first_at"))  # ``most`` turns at most
+    copies = F.coalesce(F.aggregate("each", F.lit(0), lambda a, x: a + (x * 2 >= F.col("size")).cast("int")), F.lit(0))
+    return placed.join(slim, key, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), copies.alias("copies"), "first_at")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as rows: each document of ``docs`` as often as at least half of it is taken.
 
     Rows of one doc_id (of one text, where the doc_id is null) come as often as the one of them that is taken most."""
-    times = taken_words(docs.withColumn("doc_id", known_id())).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__times"))
-    return docs.withColumn("__id", known_id()).join(times, "__id").withColumn("__turn", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, n, turn = unused(docs, "id"), unused(docs, "times"), unused(docs, "turn")
+    known = docs.select(known_id().alias("doc_id"), "text", "source")
+    times = taken_words(known).filter("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n))
+    return docs.withColumn(key, known_id()).join(times, key).withColumn(turn, F.explode(F.sequence(F.lit(1), n))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,15 +186,20 @@ WITH d AS (
          coalesce(sum(d.size) OVER (PARTITION BY d.source, p.turn ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
            + p.turn * s.source_size AS start
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source CROSS JOIN (VALUES (0), (1), (2)) p(turn)
+), e AS (
+  SELECT *, CASE WHEN start < target AND start + size > target THEN 64 ELSE size END AS step FROM q WHERE size > 0
+), f AS (
+  SELECT *, unnest(range((size - 1) // step + 1)) AS packet FROM e
 ), c AS (
-  SELECT *, greatest(0, least(size, floor(target)::BIGINT - start))::BIGINT AS served,
-         (start + size)::DOUBLE / target AS finish FROM q
+  SELECT *, least(step, size - packet * step)::BIGINT AS words, (start + packet * step + least(step, size - packet * step))::DOUBLE / target AS finish FROM f
 ), m AS (
-  SELECT *, coalesce(sum(served) OVER (ORDER BY finish, source IS NULL, source, turn, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mix_at
-  FROM c WHERE served > 0
+  SELECT *, coalesce(sum(words) OVER (ORDER BY finish, source IS NULL, source, turn, h, doc_id, size, packet ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mix_at FROM c
+), t AS (
+  SELECT doc_id, turn, size, sum(greatest(0, least(words, (SELECT sum(size) FROM d) - mix_at))) AS taken, min(mix_at) FILTER (mix_at < (SELECT sum(size) FROM d)) AS at
+  FROM m GROUP BY ALL
 )
-SELECT d.doc_id, d.size, s.source_size, s.target, coalesce(sum(m.served), 0)::BIGINT AS taken,
-       coalesce(sum((m.served * 2 >= d.size)::INT), 0)::INT AS copies, min(m.mix_at)::BIGINT AS first_at
-FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN m ON m.doc_id = d.doc_id
+SELECT d.doc_id, d.size, s.source_size, s.target, coalesce(sum(t.taken), 0)::BIGINT AS taken,
+       coalesce(sum((t.taken * 2 >= d.size)::INT), 0)::INT AS copies, min(t.at)::BIGINT AS first_at
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN t ON t.doc_id = d.doc_id
 GROUP BY d.doc_id, d.size, s.source_size, s.target
 """
