@@ -36,9 +36,11 @@ _powers = {"p": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a folder of
-    our own where it is unset (tests on one machine)."""
+    our own where it is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: tables on the way need a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -64,6 +66,15 @@ def modest_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def known_id() -> Column:
     """doc_id; a row without one is known by a hash of its text, so that joins and hash deals keep it."""
     return F.coalesce(F.col("doc_id"), F.xxhash64("text"))

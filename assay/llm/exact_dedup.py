@@ -10,7 +10,8 @@ exactly when these recipes are; only recipes move from there on.
 
 Defined results: null text counts as empty; all empty texts are one group;
 repeated rows (one doc_id twice) are separate rows of a group, of which one is
-kept; an empty table gives no rows.
+kept; a null doc_id counts as smaller than any other; further columns may have
+any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import modest_batches, slices
+from .common import materialize, modest_batches, slices, unused
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 _WINDOW = 16
@@ -84,20 +86,15 @@ def _texts(batches):
 
 
 def chunk_table(docs: DataFrame, least: int = 512, mean: int = 2048, most: int = 8192) -> DataFrame:
-    """(row, seq, h binary, chunk binary): the chunks of each whole text, in order."""
+    """(h binary, chunk binary): the chunks of each whole text."""
 
     def run(batches):
-        for batch, lo, texts in _texts(batches):
-            rows = batch.column(batch.schema.get_field_index("row")).to_pylist()
-            out = [(rows[lo + i], seq, h, c) for i, t in enumerate(texts) for seq, (h, c) in enumerate(_chunks_of(t, least, mean, most))]
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                names=["row", "seq", "h", "chunk"],
-            )
+        for _, _, texts in _texts(batches):
+            out = [pair for t in texts for pair in _chunks_of(t, least, mean, most)]
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["h", "chunk"])
 
-    numbered = docs.select("text", F.monotonically_increasing_id().alias("row"))
-    return numbered.mapInArrow(run, "row long, seq int, h binary, chunk binary")
+    return docs.select("text").mapInArrow(run, "h binary, chunk binary")
 
 
 def clashing_hashes(chunks: DataFrame) -> DataFrame:
@@ -111,63 +108,55 @@ def clashing_hashes(chunks: DataFrame) -> DataFrame:
     return distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
 
 
-def plain_recipes(docs: DataFrame, least: int, mean: int, most: int) -> DataFrame:
-    """(row, doc_id, recipe binary, text_sha256): the chunk hashes of each text, joined in order."""
+def with_recipes(docs: DataFrame, recipe: str, sha: str, clash: frozenset[bytes], least: int, mean: int, most: int) -> DataFrame:
+    """All columns of ``docs`` and two more: the chunk identifiers of each text, joined in order, and the SHA-256 of the normalised text.
+
+    A chunk is identified by its hash, one whose hash is in ``clash`` by its hash and its SHA-512."""
 
     def run(batches):
         for batch, lo, texts in _texts(batches):
+            got = []
+            for t in texts:
+                got.append(b"".join(h + hashlib.sha512(c).digest() if h in clash else h for h, c in _chunks_of(t, least, mean, most)))
             n = len(texts)
-            recipe = [b"".join(h for h, _ in _chunks_of(t, least, mean, most)) for t in texts]
+            columns = [batch.column(i).slice(lo, n) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(batch.schema.get_field_index("row")).slice(lo, n),
-                    batch.column(batch.schema.get_field_index("doc_id")).slice(lo, n),
-                    pa.array(recipe, pa.binary()),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                ],
-                names=["row", "doc_id", "recipe", "text_sha256"],
+                [*columns, pa.array(got, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=[*batch.schema.names, recipe, sha]
             )
 
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    return numbered.mapInArrow(run, "row long, doc_id long, recipe binary, text_sha256 string")
+    schema = T.StructType([*docs.schema.fields, T.StructField(recipe, T.BinaryType()), T.StructField(sha, T.StringType())])
+    return docs.mapInArrow(run, schema)
 
 
-def told_apart(recipes: DataFrame, chunks: DataFrame, clash: DataFrame) -> DataFrame:
-    """Recipes whose clashing chunks carry the SHA-512 of their bytes as well."""
-    marked = chunks.join(clash, "h", "left_semi").select("row", "seq", F.sha2("chunk", 512).alias("sha"))
-    extra = marked.groupBy("row").agg(F.to_json(F.sort_array(F.collect_list(F.struct("seq", "sha")))).alias("extra"))
-    joined = recipes.join(extra, "row", "left")
-    return joined.withColumn("recipe", F.concat("recipe", F.coalesce(F.col("extra").cast("binary"), F.lit(b"")))).drop("extra")
+def grouped_rows(docs: DataFrame, keep_text: bool, least: int = 512, mean: int = 2048, most: int = 8192) -> tuple[DataFrame, dict[str, str]]:
+    """Every row of ``docs`` with its group, as (table, names of the columns row, recipe, sha, keep and size in it).
 
-
-def grouped_rows(docs: DataFrame, least: int = 512, mean: int = 2048, most: int = 8192) -> DataFrame:
-    """row, doc_id, keep_id, keep_row, group_size, text_sha256 of every row of ``docs`` (doc_id, text, ...).
-
-    ``row`` is the row's monotonically increasing id in ``docs``, which has to be
-    a stored table if rows are to be matched by it; of a group the row with the
-    smallest doc_id, then the smallest ``row``, stays."""
+    Rows are stored with their recipes and a number once, and everything after
+    that reads this table, so that numbers of different scans never meet.  Of a
+    group the row with the smallest doc_id, then the smallest number, stays."""
     modest_batches(docs.sparkSession)
-    chunks = chunk_table(docs, least, mean, most)
-    clash = clashing_hashes(chunks)
-    r = plain_recipes(docs, least, mean, most)
-    if not clash.isEmpty():
-        r = told_apart(r, chunks, clash)
-    groups = r.groupBy("recipe").agg(F.min(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
-    return r.join(groups, "recipe").select(
-        "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size", "text_sha256"
-    )
+    name = {k: unused(docs, k) for k in ("row", "recipe", "sha", "keep", "size")}
+    clash = frozenset(bytes(r["h"]) for r in clashing_hashes(chunk_table(docs, least, mean, most)).collect())  # none, or accidents of 128 bits
+    made = with_recipes(docs, name["recipe"], name["sha"], clash, least, mean, most).withColumn(name["row"], F.monotonically_increasing_id())
+    rows = materialize(made if keep_text else made.drop("text"), "recipes")
+    groups = rows.groupBy(name["recipe"]).agg(F.min(F.struct("doc_id", name["row"])).alias(name["keep"]), F.count("*").alias(name["size"]))
+    return rows.join(groups, name["recipe"]), name
 
 
-def exact_groups(docs: DataFrame, least: int = 512, mean: int = 2048, most: int = 8192) -> DataFrame:
+def exact_groups(docs: DataFrame, **chunks: int) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``; one row of a group is kept."""
-    kept = (F.col("row") == F.col("keep_row")).alias("kept")
-    return grouped_rows(docs, least, mean, most).select("doc_id", "keep_id", "group_size", kept, "text_sha256")
+    rows, name = grouped_rows(docs.select("doc_id", "text"), False, **chunks)
+    keep = F.col(name["keep"])
+    return rows.select(
+        "doc_id", keep["doc_id"].alias("keep_id"), F.col(name["size"]).alias("group_size"), (F.col(name["row"]) == keep[name["row"]]).alias("kept"), F.col(name["sha"]).alias("text_sha256")
+    )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (a stored table) that stay, with all their columns."""
-    kept = grouped_rows(docs).filter("row = keep_row").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    """The rows of ``docs`` that stay, with all their columns."""
+    rows, name = grouped_rows(docs, True)
+    stays = rows.filter(F.col(name["row"]) == F.col(name["keep"])[name["row"]])
+    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
