@@ -398,8 +398,8 @@ def _judge_windows(dests: int):
     return run
 
 
-def _strip(width: int):
-    """Drops what runs of repeated windows cover; digests of what is left."""
+def _strip(width: int, keep: bool):
+    """Drops what runs of repeated windows cover; digests of what is left, and with ``keep`` the bytes themselves."""
 
     def run(batches):
         for batch in batches:
@@ -426,10 +426,10 @@ def _strip(width: int):
                         last = y
                     rest = b"".join([*kept, text[last:]])
                     out.append((len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest))
-                cols = list(zip(*out, strict=True))
+                cols, kinds = list(zip(*out, strict=True)), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                    [batch.column(0).slice(lo, hi - lo), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: 4 + keep]],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep],
                 )
 
     return run
@@ -450,8 +450,8 @@ def hot_minimizers(docs: DataFrame, width: int, n_docs: int, sample_docs: int =
     return np.sort(got.view(np.uint64))
 
 
-def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 40 << 20, shard_bytes: int = 2 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row of ``docs``."""
+def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 40 << 20, shard_bytes: int = 2 << 20, keep: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep``, kept (the remaining bytes) of every row of ``docs``."""
     modest_batches(docs.sparkSession)
     t = docs.select(known_id().alias("doc_id"), F.xxhash64("text").alias("tid"), "text", F.col("doc_id").alias("given"))
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -472,12 +472,12 @@ def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 40 << 20,
         sorted_ = sorted_.union(dealt.groupBy("part").applyInArrow(_judge_windows(parts), _PACKED))
     found = materialize(sorted_.groupBy("dest").applyInArrow(_by_document, _OF_DOCUMENT), "runs")
     whole = t.join(marks.select(*key, F.col("segs").alias("marks")), key, "left").join(found.select(*key, F.col("segs").alias("runs")), key, "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return whole.select(F.col("given").alias("doc_id"), "text", "marks", "runs").mapInArrow(_strip(width), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else "")
+    return whole.select(F.col("given").alias("doc_id"), "text", "marks", "runs").mapInArrow(_strip(width, keep), schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strip_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return strip_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False)
 
 
 OP4_SQL = r"""

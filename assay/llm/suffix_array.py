@@ -1,15 +1,16 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, in numpy.
 
-The induced-sorting scans go bucket by bucket: all suffixes that a bucket
-induces are placed by one vectorised step (two or more for runs of one
-character).  Reduced strings with large alphabets are finished by doubling.
+Induced-sorting scans over small alphabets go bucket by bucket: all suffixes that
+a bucket induces are placed by one vectorised step (two or more for runs of one
+character).  Reduced strings have large alphabets and buckets of a few suffixes
+each; their scans go suffix by suffix.  Both are linear in the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are scanned by buckets.
+#: Alphabets up to this size are scanned by buckets, larger ones by suffixes.
 BUCKETS = 2048
 
 
@@ -78,21 +79,43 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray
     return sa
 
 
-def _doubling(t: np.ndarray) -> np.ndarray:
+def _induce_singly(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """``_induce`` for alphabets of many small buckets."""
     n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        sa = np.argsort(key, kind="stable")
-        ordered = key[sa]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if new[-1] == n - 1:
-            return sa
-        rank = np.empty(n, np.int64)
-        rank[sa] = new
-        step *= 2
+    end = np.cumsum(np.bincount(t, minlength=k))
+    start = end - np.bincount(t, minlength=k)
+    # leftmost-smaller suffixes stand at the ends of their buckets, in order
+    at = np.full(n, -1, np.int64)
+    c = t[lms]
+    order = np.argsort(c, kind="stable")
+    first = np.concatenate([[0], np.flatnonzero(np.diff(c[order])) + 1]) if len(lms) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(lms)))
+    within = np.arange(len(lms)) - np.repeat(first, size)
+    at[end[c[order]] - np.repeat(size, size) + within] = lms[order]
+    sa, head, text = at.tolist(), start.tolist(), t.tolist()
+    larger = [-1, *np.where(~s, np.arange(n), -1).tolist()]  # of position i: i - 1, if that is a larger one
+    j = larger[n]
+    if j >= 0:
+        sa[head[text[j]]] = j
+        head[text[j]] += 1
+    for i in sa:  # the list grows ahead of the scan, never behind it
+        if i > 0:
+            j = larger[i]
+            if j >= 0:
+                b = text[j]
+                sa[head[b]] = j
+                head[b] += 1
+    smaller = [-1, *np.where(s, np.arange(n), -1).tolist()]
+    tail = end.tolist()
+    for x in range(n - 1, -1, -1):
+        i = sa[x]
+        if i > 0:
+            j = smaller[i]
+            if j >= 0:
+                b = text[j]
+                tail[b] -= 1
+                sa[tail[b]] = j
+    return np.array(sa, np.int64)
 
 
 def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
@@ -100,12 +123,11 @@ def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
     n = len(t)
     if n <= 1:
         return np.arange(n)
-    if k > BUCKETS:
-        return _doubling(t)
     s = types(t)
+    induce = _induce if k <= BUCKETS else _induce_singly
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     if len(lms):
-        sa = _induce(t, s, lms, k)
+        sa = induce(t, s, lms, k)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         found = sa[is_lms[sa]]  # leftmost-smaller substrings in order
@@ -133,7 +155,7 @@ def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
             order = lms[suffix_array(reduced.astype(kind), int(name[-1]) + 1)]
     else:
         order = lms
-    return _induce(t, s, order, k)
+    return induce(t, s, order, k)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

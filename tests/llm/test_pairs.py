@@ -192,6 +192,15 @@ def test_strip_repeats_hot_minimizers(spark, monkeypatch):
     assert sorted(tuple(r) for r in substring_dedup.strip_repeats(df, part_bytes=8_000).drop("kept").collect()) == brute_strip(rows)
 
 
+def test_suffix_array_recursion(monkeypatch):
+    """Scans suffix by suffix give what scans by buckets give, on every level."""
+    for buckets in (1, 3, 60):
+        monkeypatch.setattr("assay.llm.suffix_array.BUCKETS", buckets)
+        test_suffix_array()
+    text = (" ".join(f"{i % 37} {i * i % 91} word" for i in range(1500))).encode()
+    assert suffix_array(np.frombuffer(text, np.uint8)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for turn in range(300):
