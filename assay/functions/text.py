@@ -30,7 +30,9 @@ def plain_double(c: Column) -> Column:
     stripped = F.regexp_replace(F.regexp_replace(dec, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     exact = stripped.try_cast("double") == x
     special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-    return F.coalesce(special, F.when(s.contains("E") & F.coalesce(exact, F.lit(False)), stripped), F.regexp_replace(s, r"\.0$", ""))
+    short = F.when(F.endswith(s, F.lit(".0")), F.substr(s, F.lit(1), F.length(s) - 2)).otherwise(s)
+    # only texts with an exponent take the long way
+    return F.when(~F.contains(s, F.lit("E")) & ~F.isnan(x) & (F.abs(x) < float("inf")), short).otherwise(F.coalesce(special, F.when(F.coalesce(exact, F.lit(False)), stripped), F.regexp_replace(s, r"\.0$", "")))
 
 
 def search_text(c: Column, kind: T.DataType) -> Column:
@@ -64,7 +66,7 @@ def _json_number(c: Column) -> Column:
     near = ((F.abs(x) >= 1e-5) & (F.abs(x) < 1e16)) | (x == 0)
     plain = F.when(p.contains("."), p).otherwise(F.concat(p, F.lit(".0")))
     far = F.lower(F.regexp_replace(s, r"\.0E", "E"))
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.when(near, plain).otherwise(far))
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.when(~F.contains(s, F.lit("E")), s).when(near, plain).otherwise(far))
 
 
 def _json(c: Column, kind: T.DataType) -> Column:

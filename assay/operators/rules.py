@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import RANKS, normalize_flag, normalized, rank_flag, severity_rank
 from ..functions.text import append_tag, trim_all
-from ..plans.predicates import matching, with_matching
+from ..plans.predicates import MATCH, matching, with_matching
 from ..plans.query import compile_query
 from .annotations import join_annotations, unflagged_rows
-from .search import ROW_ID, texts_of
+from .search import ROW_ID, has_text, texts_of
 
 SCHEMA = "rule_no int, flag string, tag string, query string"
 MOST_RULES = 100_000
@@ -78,17 +78,23 @@ def resolve(
 ) -> DataFrame:
     """Adds the effective flag and the memo with the tags of matching rules.
 
-    - ``view``: the user's flag, else the highest severity of the matching rules; tags where the user set no flag;
-    - ``preview``: the user's flag, else that of the first matching rule with a known flag; tags everywhere, memo trimmed, blank is null;
-    - ``export``: if a row is annotated its flag counts even if empty, else the highest severity; tags everywhere, memo never null."""
+    - ``view``: the user's flag, else the highest severity of the matching rules; tags where the user set no flag; an empty memo is null;
+    - ``preview``: the user's flag, else that of the first matching rule with a known flag; tags everywhere, memo trimmed, blank is null; a row without any text matches no rule;
+    - ``export``: if a row is annotated its flag counts even if empty, else the highest severity; tags everywhere, memo never null.
+
+    Data columns stay as they are: a data column with the name of one of the two is an error."""
+    if clash := {flag_col, memo_col} & set(df.columns):
+        raise ValueError(f"data columns {sorted(clash)}: give the flag and the memo other names (flag_col, memo_col)")
     j = join_annotations(df, annotations, row_id_col)
     j = with_matching(j, texts_of(df, columns, row_id_col), compiled(rules), "__triage_matches", **how)
+    if mode == "preview":
+        j = j.withColumn("__triage_matches", F.when(has_text(df, row_id_col), F.col("__triage_matches")).otherwise(F.array().cast(f"array<{MATCH}>")))
     m, user, memo = F.col("__triage_matches"), F.col("__triage_user_flag"), F.coalesce("__triage_user_memo", F.lit(""))
     highest = rank_flag(F.array_max(F.transform(m, lambda r: r["rank"])))
     tagged = append_tag(memo, _tokens(m)) if tags else memo
     if mode == "view":
         flag = F.when(user != "", user).otherwise(highest)
-        text = F.when((user == "") & (tagged != memo), tagged).otherwise(F.col("__triage_user_memo"))
+        text = F.when((user == "") & (tagged != memo), tagged).otherwise(F.nullif(F.col("__triage_user_memo"), F.lit("")))
     elif mode == "preview":
         first = F.try_element_at(F.filter(m, lambda r: r["rank"] > 0), F.lit(1))["flag"]
         flag = F.when(user != "", user).otherwise(F.coalesce(first, F.lit("")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.text import field, search_text
 from ..plans.predicates import Texts, row_predicate, scope_names
 from ..plans.query import compile_query
 
@@ -34,10 +36,20 @@ def search_filter(df: DataFrame, query: str, columns: list[str] | None = None, r
     return df if q.blank else df.filter(row_predicate(texts_of(df, columns, row_id_col, text_col), q))
 
 
+def has_text(df: DataFrame, row_id_col: str = ROW_ID) -> Column:
+    """Whether any data column has a text; without building the row text."""
+    out = F.lit(False)
+    for c in data_columns(df, row_id_col):
+        kind = df.schema[c].dataType
+        one = field(c).isNotNull() if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType)) else F.coalesce(search_text(field(c), kind), F.lit("")) != ""
+        out = out | one
+    return out
+
+
 def row_matches(df: DataFrame, query: str, columns: list[str] | None = None, row_id_col: str = ROW_ID) -> Column:
-    """Whether the query finds a row; a query without terms finds none (as rules do)."""
+    """Whether the query finds a single row; a query without terms finds none (as rules do), and a row without any text is never found."""
     q = compile_query(query)
-    return F.lit(False) if q.blank else row_predicate(texts_of(df, columns, row_id_col), q)
+    return F.lit(False) if q.blank else has_text(df, row_id_col) & row_predicate(texts_of(df, columns, row_id_col), q)
 
 
 def with_row_text(df: DataFrame, columns: list[str] | None = None, row_id_col: str = ROW_ID, text_col: str = "__text") -> DataFrame:

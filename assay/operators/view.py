@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -106,16 +106,31 @@ def query_rows(
     df: DataFrame, annotations: DataFrame, rules: DataFrame | list[dict], query: str = "", flag: str | None = None, columns: list[str] | None = None,
     key: str | None = None, descending: bool = False, offset: int = 0, limit: int = PAGE, row_id_col: str = ROW_ID,
 ) -> tuple[DataFrame, DataFrame]:
-    """(page, totals) of a searched, resolved, filtered and sorted table.
-
-    The search runs before flags are resolved, and tags are only worked out for
-    the rows of the page."""
-    found = search_filter(df, query, columns, row_id_col)
-    flags = resolve(found, annotations, rules, "view", None, row_id_col, "__flag", "__memo", tags=False)
-    kept = flag_filter(flags, flag, "__flag")
-    shown = page(kept.drop("__flag", "__memo"), key, descending, offset, limit, row_id_col)
-    tagged = resolve(shown.drop("pos"), annotations, rules, "view", None, row_id_col).join(shown.select(row_id_col, "pos"), row_id_col)
-    return tagged, totals(df, kept, "__flag")
+    """(page, totals) of a searched, resolved, filtered and sorted table; the page has row records (``records``) with their ``pos``.
+
+    One plan: the search runs before flags are resolved, rules run once, and
+    their matches go with the rows into the top-k."""
+    kept = flag_filter(_resolved_rows(df, annotations, rules, query, columns, row_id_col), flag, "__flag")
+    shown = page(kept, key, descending, offset, limit, row_id_col)
+    data = F.struct(*[field(c) for c in data_columns(df, row_id_col)]).alias("data")
+    return shown.select(field(row_id_col).alias("row_index"), data, F.col("__flag").alias("flag"), F.col("__memo").alias("memo"), "pos"), totals(df, kept, "__flag")
+
+
+def query_page(
+    df: DataFrame, annotations: DataFrame, rules: DataFrame | list[dict], query: str = "", flag: str | None = None, columns: list[str] | None = None,
+    key: str | None = None, descending: bool = False, offset: int = 0, limit: int = PAGE, row_id_col: str = ROW_ID,
+) -> tuple[list[Row], dict[str, int]]:
+    """``query_rows``, done: the page's records and its totals, which are observed in the same pass."""
+    every, some = Observation(), Observation()
+    found = _resolved_rows(df.observe(every, F.count(F.lit(1)).alias("total_rows")), annotations, rules, query, columns, row_id_col)
+    kept = flag_filter(found, flag, "__flag").observe(some, F.count(F.lit(1)).alias("total_filtered_rows"), F.count_if(F.col("__flag") != "").alias("total_flagged"))
+    data = F.struct(*[field(c) for c in data_columns(df, row_id_col)]).alias("data")
+    rows = page(kept, key, descending, offset, limit, row_id_col).select(field(row_id_col).alias("row_index"), data, F.col("__flag").alias("flag"), F.col("__memo").alias("memo"), "pos").collect()
+    return rows, every.get | some.get
+
+
+def _resolved_rows(df: DataFrame, annotations: DataFrame, rules: DataFrame | list[dict], query: str, columns: list[str] | None, row_id_col: str) -> DataFrame:
+    return resolve(search_filter(df, query, columns, row_id_col), annotations, rules, "view", None, row_id_col, "__flag", "__memo")
 
 
 def observed_page(df: DataFrame, flag_col: str = "flag", **how) -> tuple[DataFrame, Observation]:

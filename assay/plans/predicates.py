@@ -8,6 +8,7 @@ stay plain predicates, and read only those columns.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -120,11 +121,28 @@ def matching(texts: Texts, rules: list[dict], array_from: int = ARRAY_FROM) -> C
     return F.transform(found, lambda r: F.struct(r["rule_no"].alias("rule_no"), r["flag"].alias("flag"), r["rank"].alias("rank"), r["tag"].alias("tag")))
 
 
+#: Rules from which on those that share a literal are tried only where it holds.
+SHARED_FROM = 8
+
+
+def _shared(rules: list[dict]) -> dict[Literal | None, list[int]]:
+    """Rules (their numbers, from 1 on) by a literal that all clauses of each have, the most common one first; None for the rest."""
+    every = [set.intersection(*map(set, r["query"].clauses)) for r in rules]
+    counts = Counter(x for some in every for x in some)
+    groups: dict[Literal | None, list[int]] = {}
+    for i, some in enumerate(every, 1):
+        best = max(some, key=lambda x: (counts[x], str(x)), default=None)
+        groups.setdefault(best if best and counts[best] >= SHARED_FROM else None, []).append(i)
+    return groups
+
+
 def with_matching(df: DataFrame, texts: Texts, rules: list[dict], out: str, array_from: int = ARRAY_FROM) -> DataFrame:
     """Adds ``matching`` as a column.
 
     Texts become columns of their own first, so that each is worked out once a
-    row and the predicates over them compile; rules are numbers until the end."""
+    row; rules with a common literal are tried only in rows where it holds.
+    Rules are numbers until the end, in arrays that compile (no lambda looks at
+    the predicates)."""
     rules = [r for r in rules if not r["query"].blank]
     if not rules or len(rules) >= array_from:
         return df.withColumn(out, matching(texts, rules, array_from))
@@ -133,7 +151,22 @@ def with_matching(df: DataFrame, texts: Texts, rules: list[dict], out: str, arra
     made |= {"c_" + c: column_text(texts.df, texts.scopes[c]) for c in sorted({x.column for x in literals if x.column in texts.scopes})}
     names = {k: f"__triage_text_{i}" for i, k in enumerate(made)}
     bound = {k: F.col(n) for k, n in names.items()}
-    hits = F.array_compact(F.array(*[F.when(predicate(texts, r["query"], bound), F.lit(i)) for i, r in enumerate(rules, 1)]))
-    heads = F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("rule_no", "flag", "rank", "tag")]).cast(MATCH) for r in rules])
     wide = df.withColumns({names[k]: v for k, v in made.items()}) if made else df
-    return wide.withColumn(out, F.transform(hits, lambda i: F.element_at(heads, i))).drop(*names.values())
+    none, found = F.array().cast("array<int>"), []
+    for shared, numbers in _shared(rules).items():
+        tests = [F.when(predicate(texts, _without(rules[i - 1]["query"], shared), bound), F.lit(i)).otherwise(0) for i in numbers]
+        some = F.array_remove(F.array(*tests), 0)
+        found.append(some if shared is None else F.when(_literal(texts, shared, bound), some).otherwise(none))
+    wide = wide.withColumn("__triage_hits", F.concat(*found) if len(found) > 1 else found[0])
+    heads = F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("rule_no", "flag", "rank", "tag")]).cast(MATCH) for r in rules])
+    hits = F.col("__triage_hits")  # looked at twice, so it stays a column and compiles
+    matches = F.when(F.size(hits) > 0, F.transform(F.sort_array(hits), lambda i: F.element_at(heads, i))).otherwise(F.array().cast(f"array<{MATCH}>"))
+    return wide.withColumn(out, matches).drop("__triage_hits", *names.values())
+
+
+def _without(query: Query, shared: Literal | None) -> Query:
+    """A query whose clauses need not look at ``shared`` again; one of nothing else always holds then."""
+    if shared is None:
+        return query
+    rest = [tuple(x for x in c if x != shared) for c in query.clauses]
+    return Query(tuple(c or (Literal(None, "", True),) for c in rest))

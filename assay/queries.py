@@ -96,7 +96,7 @@ j AS (SELECT e.event_id, m.m, coalesce(nan.uflag, '') AS uflag, nan.umemo, nan.r
 k AS (SELECT *, {_TOKENS} AS tk, {_HIGH} AS high FROM j),
 r AS (SELECT *, {_TAGGED} AS tagged FROM k)"""
 _RESOLVE = f"WITH {_AN_SQL},{_MATCH_SQL},{_JOINED_SQL}"
-_VIEW = f"{_RESOLVE}, v AS (SELECT event_id, CASE WHEN uflag <> '' THEN uflag ELSE high END AS flag, CASE WHEN uflag = '' AND tagged <> mm THEN tagged ELSE umemo END AS memo FROM r)"
+_VIEW = f"{_RESOLVE}, v AS (SELECT event_id, CASE WHEN uflag <> '' THEN uflag ELSE high END AS flag, CASE WHEN uflag = '' AND tagged <> mm THEN tagged ELSE nullif(umemo, '') END AS memo FROM r)"
 _ROW = "lower(concat_ws(' ', nullif(event_type, ''), user_id::VARCHAR, nullif(props, '')))"
 _EVENT_TEXT = ["event_type", "user_id", "props"]
 
@@ -135,10 +135,14 @@ def c12(s, d):
     return view.flag_filter(rules.resolve(e, _annotations(e), _rules(s), row_id_col="event_id"), "priority").select("event_id", "flag")
 
 
-@query("c13_row_match", "SELECT event_id, contains(event_type, 'error') AND NOT contains(user_id::VARCHAR, '2') AS hit, false AS none FROM events")
+@query(
+    "c13_row_match",
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN false ELSE NOT contains(event_type, 'error') OR (event_id % 4 = 1 AND contains(props, '7')) END AS hit, false AS none FROM events",
+)
 def c13(s, d):
-    e = _events(s, d)
-    return e.select("event_id", search.row_matches(e, "event_type:error -user_id:2", row_id_col="event_id").alias("hit"), search.row_matches(e, " | ", row_id_col="event_id").alias("none"))
+    i = F.col("event_id")
+    e = _events(s, d).select("event_id", F.when(i % 4 > 0, F.col("event_type")).otherwise("").alias("event_type"), F.when(i % 4 == 1, F.col("props")).alias("props"))
+    return e.select("event_id", search.row_matches(e, "-event_type:error|props:7", row_id_col="event_id").alias("hit"), search.row_matches(e, " | ", row_id_col="event_id").alias("none"))
 
 
 # -- annotations and rules ------------------------------------------------------------------------
@@ -208,14 +212,14 @@ _RANK = f"CASE {_NORM} WHEN 'critical' THEN 3 WHEN 'suspicious' THEN 2 WHEN 'saf
 
 
 def _derived_rules(s: SparkSession, d: str) -> DataFrame:
-    """A rule for every brand of parts: rules that grow with a table."""
-    p = _table(s, d, "part")
+    """A rule for every brand and size of parts: rules from a table, as many as it has such pairs."""
+    p = _table(s, d, "part").groupBy("p_brand", "p_size").agg(F.min("p_partkey").cast("int").alias("rule_no"), F.min("p_name").alias("p_name"))
     flag = F.when(F.col("p_size") % 3 == 0, " Safe").when(F.col("p_size") % 3 == 1, "?").otherwise("odd")
-    return p.select(F.col("p_partkey").cast("int").alias("rule_no"), flag.alias("flag"), F.concat(F.lit(" "), "p_brand").alias("tag"), F.when(F.col("p_size") % 5 > 0, F.col("p_name")).otherwise(" ").alias("query"))
+    return p.select("rule_no", flag.alias("flag"), F.concat(F.lit(" "), "p_brand").alias("tag"), F.when(F.col("p_size") % 5 > 0, F.col("p_name")).otherwise(" ").alias("query"))
 
 
-_DERIVED = """(SELECT p_partkey::INT AS rule_no, CASE p_size % 3 WHEN 0 THEN ' Safe' WHEN 1 THEN '?' ELSE 'odd' END AS flag, ' ' || p_brand AS tag,
-  CASE WHEN p_size % 5 > 0 THEN p_name ELSE ' ' END AS query FROM part)"""
+_DERIVED = """(SELECT min(p_partkey)::INT AS rule_no, CASE p_size % 3 WHEN 0 THEN ' Safe' WHEN 1 THEN '?' ELSE 'odd' END AS flag, ' ' || p_brand AS tag,
+  CASE WHEN p_size % 5 > 0 THEN min(p_name) ELSE ' ' END AS query FROM part GROUP BY p_brand, p_size)"""
 
 
 @query("e6_prepare_rules", f"SELECT row_number() OVER (ORDER BY trim(tag), rule_no)::INT AS rule_no, {_NORM} AS flag, trim(tag) AS tag, trim(query) AS query FROM {_DERIVED} WHERE trim(query) <> ''")
@@ -382,7 +386,7 @@ def g6(s, d):
 def flagship(s, d):
     e = _events(s, d)
     got, _ = view.query_rows(e, _annotations(e), _rules(s), "event_type:error|signup|user_id:12", "priority", None, "user_id", True, row_id_col="event_id")
-    return got.select("event_id", "event_type", "user_id", "flag", "memo", "pos")
+    return got.select(F.col("row_index").alias("event_id"), "data.event_type", "data.user_id", "flag", "memo", "pos")
 
 
 # -- columns and functions ------------------------------------------------------------------------
@@ -399,11 +403,12 @@ def b2(s, d):
     return view.visible_columns(_table(s, d, "customer"), ["c_acctbal", "c_nationkey", "nowhere"], "c_custkey")
 
 
-@query("b3_row_record", f"{_VIEW} SELECT event_id AS row_index, event_type AS data_type, user_id AS data_user, flag, memo FROM v JOIN events USING (event_id)")
+@query("b3_row_record", f"{_VIEW} SELECT event_id AS row_index, event_type AS data_flag, user_id AS data_user, props AS data_memo, flag, memo FROM v JOIN events USING (event_id)")
 def b3(s, d):
-    e = _events(s, d)
-    r = view.records(rules.resolve(e, _annotations(e), _rules(s), row_id_col="event_id"), "event_id")
-    return r.select("row_index", F.col("data.event_type").alias("data_type"), F.col("data.user_id").alias("data_user"), "flag", "memo")
+    e = _events(s, d).withColumnsRenamed({"event_type": "flag", "props": "memo"})
+    rs = [(f, t, x.replace("event_type:", "flag:").replace("props:", "memo:")) for f, t, x in RULES]
+    r = view.records(rules.resolve(e, _annotations(e), rules.rules_table(s, rs), row_id_col="event_id", flag_col="f", memo_col="m"), "event_id", "f", "m")
+    return r.select("row_index", F.col("data.flag").alias("data_flag"), F.col("data.user_id").alias("data_user"), F.col("data.memo").alias("data_memo"), "flag", "memo")
 
 
 @query("b4_row_lookup", "SELECT o_orderkey AS pos, s_suppkey, s_name FROM orders JOIN supplier ON s_suppkey = o_orderkey % 150")
@@ -465,11 +470,15 @@ def h11(s, d):
 # -- sources and sinks ----------------------------------------------------------------------------
 
 
-@query("a1_csv_import", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment, 'a \"b\", ' || c_name || chr(10) || 'z' AS q, '2024-01-01' AS w FROM customer")
+@query(
+    "a1_csv_import",
+    "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment, 'a \"b\", ' || c_name || chr(10) || 'z' AS q, '2024-01-01' AS w,"
+    " 9123456789012345678 + c_custkey AS id19, (c_custkey + 92233720368547758070::HUGEINT)::VARCHAR AS id20 FROM customer",
+)
 def a1(s, d):
     path = scratch_path(s, "csv")
-    c = _table(s, d, "customer").withColumns({"q": F.concat(F.lit('a "b", '), "c_name", F.lit("\nz")), "w": F.lit("2024-01-01")})
-    tables.write_csv(c, path)
+    more = {"q": F.concat(F.lit('a "b", '), "c_name", F.lit("\nz")), "w": F.lit("2024-01-01"), "id19": F.lit(9123456789012345678) + F.col("c_custkey"), "id20": (F.lit("92233720368547758070").cast("decimal(38,0)") + F.col("c_custkey")).cast("string")}
+    tables.write_csv(_table(s, d, "customer").withColumns(more), path)
     return tables.read_csv(s, path)
 
 
@@ -483,12 +492,15 @@ def a2(s, d):
     return tables.lift_annotations(x, row_id_col="doc_id")[1]
 
 
-@query("a3_row_ids", "SELECT count(*) AS n, 0::BIGINT AS lo, count(*) - 1 AS hi, count(*) AS ids FROM orders")
+@query("a3_row_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1 AS row_id FROM orders")
 def a3(s, d):
+    """Three CSV files of different sizes: ids go by path, then by place."""
     path = scratch_path(s, "parts")
-    _table(s, d, "orders").repartition(5, "o_orderkey").write.parquet(path)
-    x = tables.with_row_ids(s.read.parquet(path))
-    return x.agg(F.count("*").alias("n"), F.min("__rowid").alias("lo"), F.max("__rowid").alias("hi"), F.count_distinct("__rowid").alias("ids"))
+    o = _table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 1, F.repeat("o_orderstatus", F.lit(50))).otherwise("").alias("filler"))
+    for i in range(3):
+        tables.write_csv(o.filter(F.col("o_orderkey") % 3 == i).repartitionByRange(2, "o_orderkey").sortWithinPartitions("o_orderkey"), f"{path}/{'abc'[i]}")
+    x = tables.with_row_ids(tables.read_csv(s, [f"{path}/{k}" for k in "abc"]))
+    return x.select("o_orderkey", F.col("__rowid").alias("row_id"))
 
 
 @query("a4_a5_dataset", "SELECT * FROM supplier")
@@ -500,11 +512,12 @@ def a45(s, d):
 
 @query("a6_annotation_map", f"WITH {_AN_SQL} SELECT row_id, flag, memo FROM an")
 def a6(s, d):
+    """Files of one JSON object each, with the annotations of a thousand rows."""
     path = scratch_path(s, "map")
-    src_annotations.annotation_map(_annotations(_events(s, d))).write.text(path)
-    lines = s.read.text(path)  # one object a row; a legacy file is one object
-    m = F.from_json("value", "map<string,struct<flag:string,memo:string>>")
-    return lines.select(F.explode(m).alias("k", "v")).select(F.col("k").cast("long").alias("row_id"), "v.flag", "v.memo")
+    a = _annotations(_events(s, d)).select(F.col("row_id").cast("string").alias("k"), F.struct("flag", "memo").alias("v"), F.floor(F.col("row_id") / 1000).alias("file"))
+    maps = a.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v"))), {"ignoreNullFields": "false"}).alias("value"))
+    maps.write.partitionBy("file").text(path)
+    return src_annotations.read_annotation_map(s, path)
 
 
 @query("a7_annotation_table", f"WITH {_AN_SQL} SELECT row_id, flag, memo FROM an")
@@ -519,6 +532,15 @@ def a89(s, d):
     return src_rules.read_rules_lines(s, path)
 
 
+@query("a8_rules_array", f"SELECT row_number() OVER (ORDER BY rule_no)::INT AS rule_no, {_NORM} AS flag, trim(tag) AS tag, trim(query) AS query FROM {_DERIVED}")
+def a8(s, d):
+    """One file with a JSON array of all rules (one for each brand and size of parts)."""
+    path = scratch_path(s, "rules-array")
+    r = F.sort_array(F.collect_list(F.struct("rule_no", "flag", "tag", "query")))
+    _derived_rules(s, d).agg(F.to_json(r).alias("value")).write.text(path)
+    return src_rules.read_rules_json(s, path)
+
+
 @query("a10_a11_rules_csv", f"SELECT row_number() OVER (ORDER BY rule_no)::INT AS rule_no, {_NORM} AS flag, trim(tag) AS tag, trim(query) AS query FROM {_DERIVED} WHERE trim(query) <> ''")
 def a1011(s, d):
     path = scratch_path(s, "rules-csv")

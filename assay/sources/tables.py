@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,12 +17,21 @@ FLAGS = ("critical", "suspicious", "safe")
 CSV_WRITE = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+def broken_fields(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a quoted field may go over a line break: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
     """A CSV with a header; any malformed row is an error.
 
     Without a schema a column is long, double or boolean if all of its values
-    are, else it stays the text as written (dates too).  ``multi_line=False``
-    lets Spark split large files, if no field holds a line break."""
+    are, else it stays the text as written (dates too, and whole numbers beyond
+    64 bits).  Spark splits large files only if no field holds a line break;
+    ``multi_line`` says so, None looks (``broken_fields``)."""
+    if multi_line is None:
+        multi_line = broken_fields(spark, path)
     options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "FAILFAST"}
     if schema is not None:
         return spark.read.options(**options).schema(schema).csv(path)
@@ -31,14 +41,20 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def inferred(text: DataFrame) -> dict[str, str]:
-    """For each string column the narrowest of long, double, boolean and string that holds every value: one pass."""
-    tests = {"long": r"^[+-]?\d{1,18}$", "double": r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", "boolean": r"^(true|false)$"}
+    """For each string column the narrowest of long, double, boolean and string that holds every value: one pass.
+
+    A whole number that is no long makes its column a string: a double would merge different ids."""
+    whole = lambda c: c.rlike(r"^[+-]?\d+$")
+    tests = {
+        "long": lambda c: whole(c) & c.try_cast("long").isNotNull(),
+        "double": lambda c: c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & (~whole(c) | c.try_cast("long").isNotNull()),
+        "boolean": lambda c: c.isin("true", "false"),
+    }
     names = list(enumerate(text.columns))
     if not names:
         return {}
-    got = text.agg(
-        *[F.coalesce(F.bool_and(field(c).rlike(t)), F.lit(False)).alias(f"{k}_{i}") for i, c in names for k, t in tests.items()]
-    ).first()
+    # of a null the tests are null, which bool_and leaves out
+    got = text.agg(*[F.coalesce(F.bool_and(F.when(field(c).isNotNull(), t(field(c)))), F.lit(False)).alias(f"{k}_{i}") for i, c in names for k, t in tests.items()]).first()
     return {c: next((k for k in tests if got[f"{k}_{i}"]), "string") for i, c in names}
 
 
@@ -63,21 +79,32 @@ def lift_annotations(df: DataFrame, prefix: str = PREFIX, row_id_col: str = ROW_
     return df.drop(*reserved), a.filter((F.col("flag") != "") | F.col("memo").isNotNull())
 
 
+def _places(df: DataFrame) -> DataFrame:
+    """``df`` with where each row stands: its file and the start of its split, else its partition, and a number that grows inside them."""
+    try:
+        where = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+    except AnalysisException:  # no files are read: partitions are in order
+        where = df.withColumns({"__file": F.lit(""), "__start": F.shiftright(F.monotonically_increasing_id(), 33)})
+    return where.withColumn("__m", F.monotonically_increasing_id())
+
+
 def with_row_ids(df: DataFrame, row_id_col: str = ROW_ID) -> DataFrame:
-    """Ids 0..n-1 in the order of the rows: partition sizes are summed up and added to places inside partitions.
-
-    Two passes over ``df``, no shuffle of rows and no global sort; ``df`` has to
-    give the same partitions twice, as a table scan does."""
-    raw = df.withColumn("__m", F.monotonically_increasing_id())
-    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = raw.groupBy(part.cast("int").alias("p")).agg(F.count("*").alias("n"))
-    # one row per partition of the input
-    before = {r["p"]: r["b"] for r in sizes.select("p", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b")).collect()}
-    base = F.lit(0).cast("long")
-    if before:
-        top = max(before) + 1
-        base = F.element_at(F.array(*[F.lit(int(before.get(i, 0))) for i in range(top)]).cast("array<long>"), part.cast("int") + 1)
-    return raw.select((base + place).cast("long").alias(row_id_col), *[field(c) for c in df.columns])
+    """Ids 0..n-1 in the order of the rows: files by path, rows as they stand in them.
+
+    Sizes of splits are summed up in that order and joined to the rows as a
+    small table.  Two passes over ``df``, no shuffle of rows and no global sort;
+    ``df`` has to give the same splits twice, as a table scan does, and a row
+    whose split is not found again is an error."""
+    key = ["__file", "__start"]
+    raw = _places(df)
+    sizes = raw.groupBy(*key).agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
+    # one row per split of the input
+    before = F.coalesce(F.sum("__n").over(W.orderBy(*key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    base = sizes.select(*key, "__n", "__first", before)
+    place = F.col("__m") - F.col("__first")
+    found = (place >= 0) & (place < F.col("__n"))
+    row_id = F.when(found, F.col("__before") + place).otherwise(F.raise_error(F.lit("the input has other splits than before")).cast("long"))
+    return raw.join(base, key, "left").select(row_id.cast("long").alias(row_id_col), *[field(c) for c in df.columns])
 
 
 def write_dataset(df: DataFrame, path: str) -> None:

@@ -96,3 +96,29 @@ def test_list_texts(spark):
     kind = df.schema["v"].dataType
     got = [tuple(r) for r in df.select(tx.search_text(F.col("v"), kind), tx.display_text(F.col("v"), kind)).collect()]
     assert got == [("1,2.5", "[1.0,null,2.5]"), (None, "[null]"), (None, "[]"), (None, "")]
+
+
+def test_empty_rows_and_memos(spark):
+    data = spark.createDataFrame([(0, None, None), (1, "", None), (2, "a", None), (3, None, 1)], "__rowid long, msg string, n int")
+    notes = spark.createDataFrame([(2, "safe", ""), (1, "", "")], A.SCHEMA)
+    rules = R.rules_table(spark, [("critical", "t", "-x")])
+    got = {m: {r[0]: (r["flag"], r["memo"]) for r in R.resolve(data, notes, rules, m).collect()} for m in ("view", "preview")}
+    assert got["preview"] == {0: ("", None), 1: ("", ""), 2: ("safe", "[t]"), 3: ("critical", "[t]")}
+    assert got["view"] == {0: ("critical", "[t]"), 1: ("critical", "[t]"), 2: ("safe", None), 3: ("critical", "[t]")}
+
+
+def test_data_columns_named_flag_and_memo(spark):
+    data = spark.createDataFrame([(0, "orig", "mine", "error"), (1, "x", None, "ok")], "__rowid long, flag string, memo string, msg string")
+    notes = spark.createDataFrame([(1, "safe", "m")], A.SCHEMA)
+    rules = R.rules_table(spark, [("critical", "t", "msg:error")])
+    with pytest.raises(ValueError):
+        R.resolve(data, notes, rules)
+    page, totals = V.query_rows(data, notes, rules, key="msg", descending=True)
+    want = [(1, ("x", None, "ok"), "safe", "m", 1), (0, ("orig", "mine", "error"), "critical", "[t]", 2)]
+    assert [(r["row_index"], tuple(r["data"]), r["flag"], r["memo"], r["pos"]) for r in page.orderBy("pos").collect()] == want
+    rows, seen = V.query_page(data, notes, rules, "orig", flag="critical")
+    assert [tuple(r["data"]) for r in rows] == [("orig", "mine", "error")]
+    assert seen == {"total_rows": 2, "total_filtered_rows": 1, "total_flagged": 1}
+    assert totals.first().asDict() == {"total_rows": 2, "total_filtered_rows": 2, "total_flagged": 2}
+    one = V.row_at(data, 1).collect()
+    assert [r["msg"] for r in one] == ["ok"]

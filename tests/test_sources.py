@@ -80,3 +80,26 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 10 and out.filter(F.col("flag") == "critical").count() == 9
+
+
+def test_whole_numbers_keep_all_digits(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a,b,c,d\n9223372036854775807,9223372036854775808,1.5,-9223372036854775808\n9223372036854775806,1,9223372036854775807,\n,,,\n")
+    x = T.read_csv(spark, str(tmp_path / "n.csv"))
+    assert dict(x.dtypes) == {"a": "bigint", "b": "string", "c": "double", "d": "bigint"}
+    assert [r["a"] for r in x.collect()] == [9223372036854775807, 9223372036854775806, None]
+
+
+def test_line_breaks_in_fields_are_looked_for(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n"x ""y"", z",1\nw,2\n')
+    (tmp_path / "b.csv").write_text('a,b\n"x\ny",1\nw,2\n')
+    assert not T.broken_fields(spark, str(tmp_path / "a.csv")) and T.broken_fields(spark, str(tmp_path / "b.csv"))
+    assert [r["a"] for r in T.read_csv(spark, str(tmp_path / "a.csv")).collect()] == ['x "y", z', "w"]
+    assert [r["a"] for r in T.read_csv(spark, str(tmp_path / "b.csv")).collect()] == ["x\ny", "w"]
+
+
+def test_ids_follow_paths(spark, tmp_path):
+    for name, n in (("c", 5), ("a", 3), ("b", 900)):
+        (tmp_path / f"{name}.csv").write_text("v\n" + "".join(f"{name}{i}\n" for i in range(n)))
+    x = T.with_row_ids(T.read_csv(spark, [str(tmp_path / f"{k}.csv") for k in "bca"]))
+    want = [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(900)] + [f"c{i}" for i in range(5)]
+    assert [r["v"] for r in x.orderBy("__rowid").collect()] == want
