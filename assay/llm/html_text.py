@@ -8,11 +8,13 @@ order and labels each as main text or not, so that a block is seen in the
 context of all others.  The labelled blocks are joined in page order.
 
 The model is trained in numpy.  Its examples are the blocks of a bounded sample
-of the pages, labelled by what their nearest telling ancestor says, and as many
-pages composed of the sample's words in other frames (``FRAMES``), so that it
-does not depend on one site's markup.
+of the pages, labelled by what their nearest telling ancestor says, and pages
+composed of the sample's words in other frames (``FRAMES_MAIN``, ``FRAMES_REST``),
+a third of them with opaque class names or without telling elements, so
+that it does not depend on one site's markup.
 
-Defined results: null, empty and tag-free pages are handled (plain text is one
+Defined results: text in elements that are hidden is none; an unclosed quote or
+tag ends at the next tag; null, empty and tag-free pages are handled (plain text is one
 block of main text); repeated rows are repeated; an empty table gives no rows.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,21 +31,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_VALUE, mix, modest_batches, prefix_hash, range_hash, words_of
-from .labelled import hash_sample
+from .labelled import stored_sample
 
 #: Pages that are learned from, at most; buckets of path tokens and of words.
-TRAIN_PAGES, PATHS, WORDS = 400, 2048, 1024
-DIM_PATH, DIM_WORD, NUMBERS, HIDDEN = 24, 4, 5, 16
+TRAIN_PAGES, PATHS, WORDS = 400, 4096, 8192
+DIM_PATH, DIM_WORD, NUMBERS, HIDDEN = 24, 4, 6, 16
 
+#: Every alternative takes what it has looked at, and a tag ends at the next ``<`` at the latest, so the scan is linear.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(template|noscript|svg|iframe)\b[^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^<>]*+>?.*?(?:</\1\s*>|\Z)|<(template|noscript|svg|iframe)\b[^<>]*+>?"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"<]*\"|'[^'<]*'|[^<>])*+)>?|<[!?/][^<>]*+>?",
     re.S | re.I,
 )
 #: Elements that are skipped up to their closing tag; without one, or as ``<svg/>``, only the tag is.
 _CLOSING = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("template", "noscript", "svg", "iframe")}
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_UNSEEN = re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|\S*?)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Words of a class name: parts of camel case, runs of letters, numbers.
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Innermost path tokens that a block keeps.
+DEEPEST = 60
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -57,34 +67,50 @@ REST = frozenset(
 )
 
 
-@dataclass
+@dataclass(order=True)
 class Block:
     text: str
     path: tuple[str, ...]
     linked: int  # characters inside links
+    turn: int = 0  # whether it stands in another element than the block before it
+
+
+def with_turns(blocks: list[Block]) -> list[Block]:
+    """Sets ``turn`` of the blocks of one page: another path, its last element left out."""
+    before = None
+    for b in blocks:
+        i = next((i for i in range(len(b.path) - 1, -1, -1) if b.path[i][0] not in ".!"), 0)
+        b.turn = int(before is not None and b.path[:i] != before)
+        before = b.path[:i]
+    return blocks
 
 
 _tags: dict[tuple[str, str], tuple[str, ...]] = {}
+#: A path token of elements that a reader does not see.
+HIDES = "!hidden"
 
 
 def _names(tag: str, attrs: str) -> tuple[str, ...]:
     """Path tokens of one element; few different ones occur, so they are kept."""
     got = _tags.get((tag, attrs))
     if got is None:
-        words = [w for m in _ATTR.finditer(attrs) for w in _SPLIT.split((m[2] or m[3] or m[4] or "").lower()) if w]
+        words = [w.lower() for m in _ATTR.finditer(attrs) for w in _PARTS.findall(m[2] or m[3] or m[4] or "")]
         got = (tag, *["." + w for w in words])
+        if tag not in ("html", "body", "main", "article") and (_HIDDEN.search(_QUOTED.sub('""', attrs)) or _UNSEEN.search(attrs)):
+            got = (*got, HIDES)
         if len(_tags) < 50_000:
             _tags[tag, attrs] = got
     return got
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks of a page in order, character references decoded, white space made single."""
+    """Leaf blocks of a page in order, character references decoded, white space made single; text that is not shown has none."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     path: tuple[str, ...] | None = None
-    linked = links = 0
+    linked = unseen = 0
+    open_: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal path, linked
@@ -97,17 +123,24 @@ def blocks_of(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal path, linked
+        if unseen:
+            return
         if path is None and not text.isspace():
-            path = tuple(n for tag, names in stack if tag not in ("html", "body") for n in names)
+            path = tuple(n for tag, names in stack[-DEEPEST:] if tag not in ("html", "body") for n in names)[-DEEPEST:]
         parts.append(text)
-        if links:
+        if open_["a"]:
             linked += len(text)
 
     def pop(i: int) -> None:
-        nonlocal links
-        links -= sum(tag == "a" for tag, _ in stack[i:])
+        nonlocal unseen
+        for tag, names in stack[i:]:
+            open_[tag] -= 1
+            unseen -= names[-1] == HIDES
         del stack[i:]
 
+    def innermost(tag: str) -> int:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1) if open_[tag] else -1
+
     at = 0
     unclosed: set[str] = set()
     while m := _TOKEN.search(page, at):
@@ -127,29 +160,31 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if m[3]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            i = innermost(tag)
             if i >= 0:
                 pop(i)
             continue
         if tag in _ENDS_P:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
+            i = innermost("p")
             if i >= 0:
                 pop(i)
         if tag in _SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
                 if stack[i][0] in _SIBLINGS[tag]:
                     pop(i)
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        if tag in VOID or m[5].endswith("/"):
+        if tag in VOID:  # a slash at the end of any other tag means nothing
             continue
-        stack.append((tag, _names(tag, m[5])))
-        links += tag == "a"
+        names = _names(tag, m[5])
+        stack.append((tag, names))
+        open_[tag] += 1
+        unseen += names[-1] == HIDES
     if at < len(page):
         add(page[at:])
     flush()
-    return out
+    return with_turns(out)
 
 
 def silver(block: Block) -> int:
@@ -179,18 +214,46 @@ FRAMES_REST = [
 ]
 
 
-def composed(words: list[str], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
-    """A page of the sample's words in some of FRAMES_MAIN and FRAMES_REST."""
+#: What often stands around main text, whatever the language of the page.
+AROUND = [
+    "Home", "Contact", "About us", "Log in", "Sign in", "Sign up", "Search", "Menu", "Share", "Tweet", "Share on Facebook", "Reply", "Like", "Report", "Read more", "Next", "Previous", "Back to top",
+    "Related articles", "You may also like", "Popular posts", "Leave a comment", "3 comments", "Posted by anna on 3 May 2021 at 10:14", "Great post, thanks for sharing!", "I do not agree with this at all.",
+    "We use cookies to improve your experience. By using this site you accept them.", "Accept all cookies", "Subscribe to our newsletter", "Enter your email address", "Advertisement", "Sponsored", "Buy now",
+    "Terms of service", "Privacy policy", "Copyright 2024 Example Ltd. All rights reserved.", "\u00a9 2023 example.com", "All rights reserved", "Follow us", "Tags: news, life", "Skip to content",
+]
+
+
+def composed(words: list[str], rng: np.random.Generator, around: list[str] | None = None) -> tuple[list[Block], list[int]]:
+    """A page of the sample's main words in one of FRAMES_MAIN, and of what stands around it in some of FRAMES_REST.
+
+    Many pages lose their names: classes become opaque ones, or all elements
+    plain ones, so that order, lengths, links and words have to tell."""
+    around = around or AROUND
     text = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
     out: list[Block] = []
     y: list[int] = []
+    names = rng.random()  # under 0.35 opaque classes, in most of these no telling elements either
+    opaque: dict[str, str] = {}
+
+    def path(tokens: tuple[str, ...]) -> tuple[str, ...]:
+        if names >= 0.35:
+            return tokens
+        got = []
+        for t in tokens:
+            if t[0] == ".":
+                if t not in opaque:
+                    opaque[t] = ".x" + str(rng.integers(1000))
+                got.append(opaque[t])
+            else:
+                got.append("div" if names >= 0.12 and t in ("article", "main", "nav", "header", "footer", "aside", "section", "form") else t)
+        return tuple(got)
 
     def rest(inside: tuple[str, ...] = ()) -> None:
         frame = (*inside, *FRAMES_REST[rng.integers(len(FRAMES_REST))].split())
         leaf = [("ul", "li", "a"), ("p",), (), ("div",), ("span",), ("h3",)][rng.integers(6)]
         for _ in range(rng.integers(1, 7)):
-            t = text(int(rng.integers(1, 30)))
-            out.append(Block(t, (*frame, *leaf), len(t) if "a" in leaf else 0))
+            t = around[rng.integers(len(around))] if rng.random() < 0.7 else text(int(rng.integers(1, 12)))
+            out.append(Block(t, path((*frame, *leaf)), len(t) if "a" in leaf else 0))
             y.append(0)
 
     for _ in range(rng.integers(0, 4)):
@@ -198,13 +261,13 @@ def composed(words: list[str], rng: np.random.Generator) -> tuple[list[Block], l
     wrap = ("div", ".wrapper") if rng.random() < 0.3 else ()
     frame = (*wrap, *FRAMES_MAIN[rng.integers(len(FRAMES_MAIN))].split())
     for leaf in [("h1",)] * int(rng.random() < 0.8) + [[("p",), ("p",), ("p",), ("div",), ("ul", "li"), ("h2",), ("blockquote", "p"), ("p", "b"), ()][rng.integers(9)] for _ in range(rng.integers(1, 12))]:
-        out.append(Block(text(int(rng.integers(1, 60))), (*frame, *leaf), 0))
+        out.append(Block(text(int(rng.integers(1, 60))), path((*frame, *leaf)), 0))
         y.append(1)
-        if rng.random() < 0.08:
+        if rng.random() < 0.08 and names >= 0.35:
             rest(frame)
     for _ in range(rng.integers(0, 4)):
         rest()
-    return out, y
+    return with_turns(out), y
 
 
 def _hash(token: str, size: int) -> int:
@@ -247,7 +310,7 @@ def inputs(blocks: list[Block]) -> Inputs:
     size = np.diff(off) - 1.0
     words = np.diff(first)
     stops = np.concatenate([[0], np.cumsum(np.isin(data, (33, 44, 46, 63)))])
-    number = np.column_stack([np.log1p(size) / 5, np.log1p(words) / 4, [b.linked / max(1, len(b.text)) for b in blocks], np.minimum(1, (stops[off[1:]] - stops[off[:-1]]) / np.maximum(1, words)), np.ones(len(blocks))])
+    number = np.column_stack([np.log1p(size) / 5, np.log1p(words) / 4, [b.linked / max(1, len(b.text)) for b in blocks], np.minimum(1, (stops[off[1:]] - stops[off[:-1]]) / np.maximum(1, words)), [b.turn for b in blocks], np.ones(len(blocks))])
     return Inputs(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(i) for i in ids])]), w, first, number)
 
 
@@ -268,7 +331,7 @@ class Labeller:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         d, h = DIM_PATH + DIM_WORD + NUMBERS, HIDDEN
-        self.p = {"path": rng.normal(0, 0.3, (PATHS, DIM_PATH)), "word": rng.normal(0, 0.1, (WORDS, DIM_WORD)), "out": rng.normal(0, 0.3, 2 * h + d), "bias": np.zeros(1)}
+        self.p = {"path": rng.normal(0, 0.05, (PATHS, DIM_PATH)), "word": rng.normal(0, 0.02, (WORDS, DIM_WORD)), "out": rng.normal(0, 0.3, 2 * h + d), "bias": np.zeros(1)}
         for k in ("f", "b"):
             self.p["x" + k], self.p["h" + k] = rng.normal(0, d**-0.5, (d, 4 * h)), rng.normal(0, h**-0.5, (h, 4 * h))
             self.p["c" + k] = np.concatenate([np.ones(h), np.zeros(3 * h)])  # forget gates start open
@@ -375,30 +438,33 @@ class Labeller:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
                     self.p[k] -= rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+        for k in ("path", "word"):  # what was never learned from says nothing
+            self.p[k][(s[k] == 0).all(axis=1)] = 0
 
 
-def fit(pages: DataFrame, limit: int = TRAIN_PAGES, composed_pages: int = 600, most_blocks: int = 300) -> Labeller:
-    """Trained on about ``limit`` pages, chosen by hash, of up to ``most_blocks`` blocks, and ``composed_pages`` composed ones.
+def fit(pages: DataFrame, limit: int = TRAIN_PAGES, composed_pages: int = 2500, stretch: int = 300) -> Labeller:
+    """Trained on about ``limit`` pages, chosen by hash, and ``composed_pages`` composed ones.
 
-    Only the sampled pages' blocks come to the driver."""
+    Only the sampled pages' blocks come to the driver; a long page is learned from whole, in stretches of blocks."""
+    modest_batches(pages.sparkSession)
     rows = pages.filter("html is not null").select(F.col("page_id").alias("doc_id"), "html")
-    chosen = hash_sample(rows.select("doc_id"), limit).distinct()
 
     def run(batches):
         for batch in batches:
             out = []
             for page in batch.column(0).to_pylist():
-                b = blocks_of(page)
-                if 0 < len(b) <= most_blocks:
-                    out.append([{"text": x.text, "path": list(x.path), "linked": x.linked} for x in b])
+                b = [{"text": x.text, "path": list(x.path), "linked": x.linked} for x in blocks_of(page)]
+                out += [b[i : i + stretch] for i in range(0, len(b), stretch)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.string())), ("linked", pa.int32())])))], names=["b"])
 
-    got = rows.join(F.broadcast(chosen), "doc_id").select("html").mapInArrow(run, "b array<struct<text:string,path:array<string>,linked:int>>").orderBy("b").collect()
-    real = [[Block(x["text"], tuple(x["path"]), x["linked"]) for x in r["b"]] for r in got]
-    words = [w for bs in real[:200] for b in bs for w in b.text.split()[:200]] or ["word"]
+    got = stored_sample(rows, limit, "sample-pages", "html").select("html").mapInArrow(run, "b array<struct<text:string,path:array<string>,linked:int>>").toArrow().column(0).to_pylist()
+    real = sorted(with_turns([Block(x["text"], tuple(x["path"]), x["linked"]) for x in b]) for b in got)
+    marked = [(b, [silver(x) for x in b]) for b in real]
+    words = [w for bs, ys in marked for x, y in zip(bs, ys, strict=True) if y for w in x.text.split()] or ["word"]
+    around = AROUND + [x.text for bs, ys in marked for x, y in zip(bs, ys, strict=True) if not y and len(x.text) < 80][: 4 * len(AROUND)]
     rng = np.random.default_rng(9)
     model = Labeller()
-    model.train([(b, [silver(x) for x in b]) for b in real] + [composed(words, rng) for _ in range(composed_pages)])
+    model.train(2 * marked + [composed(words, rng, around) for _ in range(composed_pages)])
     return model
 
 

@@ -367,3 +367,66 @@ def test_icons_do_not_swallow_the_page():
         assert [b.text for b in html_text.blocks_of(f"<p>a</p><{tag} x='1'><p>b</p><p>c</p>")] == ["a", "b", "c"]
         assert [b.text for b in html_text.blocks_of(f"<p>a</p><{tag} x='1'>no</{tag.upper()} ><p>c</p>")] == ["a", "c"]
     assert [b.text for b in html_text.blocks_of("<p>a</p><script>if (b) <p>c</p>")] == ["a"]
+
+
+def test_scanning_pages_is_linear():
+    import time
+
+    for bad in ("<a ", "<a href=\"x ", "<!--", "<script ", "<svg>", "<div>", "<p><div></p>", "</p>", "<a title='", "<li>", "<![", "<b><i>", "&amp;<"):
+        start = time.time()
+        html_text.blocks_of(bad * (1_000_000 // len(bad)))
+        assert time.time() - start < 6, bad
+    start = time.time()
+    assert html_text.blocks_of("<a " * 333_333) == [] and time.time() - start < 1
+
+
+def test_broken_and_hidden_markup():
+    text = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert text('<p><a href="x>link</a> end</p><p>next</p>') == ["link end", "next"]
+    assert text('<p><a title="a > b" href=y>link</a></p>') == ["link"]
+    assert html_text.blocks_of("<p><a href=/x/>link</a> end")[0].linked == 4
+    assert text("<p>a</p><div hidden><p>b</p></div><p>c</p>") == ["a", "c"]
+    assert text("<p>a</p><div style='color:red; display: none'>b<p>c</p></div>d<span style=display:none>e</span>f") == ["a", "df"]
+    assert text("<p class='hidden-xs' data-hidden='1'>a</p><p aria-hidden='false'>b</p>") == ["a", "b"]
+    assert html_text.blocks_of("<div class='userComments pageFooter XMLBody2'>x</div>")[0].path == ("div", ".user", ".comments", ".page", ".footer", ".xml", ".body", ".2")
+
+
+def test_pages_of_other_sites(spark):
+    """Camel case, opaque class names and elements that tell nothing."""
+    model = html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    words = "the storm moved over the hills and the village waited for the rain that everybody had hoped for since the spring ".split()
+    body = [" ".join(words[i:] + words[:i]) + "." for i in (0, 3, 7, 11)]
+    paragraphs = "".join(f"<p>{b}</p>" for b in body)
+    nav = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Home", "News", "Contact", "Search"))
+    pages = [
+        f"<div class='siteNav'><ul>{nav}</ul></div><div class='postBody'>{paragraphs}</div><div class='userComments'><div>Great post, thanks!</div><div>Reply</div></div><div class='pageFooter'>Copyright 2024. All rights reserved.</div>",
+        f"<div class='q1'><ul>{nav}</ul></div><div class='q2'>{paragraphs}</div><div class='q3'><div>Great post, thanks for sharing!</div><div>Reply</div></div><div class='q4'>Copyright 2024 Example Ltd. All rights reserved.</div>",
+        f"<div><ul>{nav}</ul></div><div>{paragraphs}</div><div>Share on Facebook</div><div>Privacy policy</div><div>Copyright 2024</div>",
+    ]
+    rows = spark.createDataFrame([(i, None, h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    for r in html_text.extract(rows, model).collect():
+        assert r["text"] == " ".join(body), (r["page_id"], r["text"])
+
+
+def test_labels_by_hand():
+    """The bidirectional pass over pages of different lengths, by plain Python over one page at a time."""
+    rng = np.random.default_rng(3)
+    pages = [html_text.composed(["a", "bb", "c."], rng)[0] for _ in range(5)] + [[html_text.Block("x", (), 0)], []]
+    m = html_text.Labeller()
+    x = html_text.inputs([b for bs in pages for b in bs])
+    at = np.concatenate([[0], np.cumsum([len(b) for b in pages])])
+    got = m.probabilities(x, at)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        v = m.vectors(x)[lo:hi]
+        states = {}
+        for way, steps in (("f", range(hi - lo)), ("b", range(hi - lo - 1, -1, -1))):
+            h, c = np.zeros(html_text.HIDDEN), np.zeros(html_text.HIDDEN)
+            for t in steps:
+                f, i, o, g = np.split(v[t] @ m.p["x" + way] + m.p["c" + way] + h @ m.p["h" + way], 4)
+                c = sig(f) * c + sig(i) * np.tanh(g)
+                h = sig(o) * np.tanh(c)
+                states[way, t] = h
+        for t in range(hi - lo):
+            z = np.concatenate([states["f", t], states["b", t], v[t]]) @ m.p["out"] + m.p["bias"][0]
+            assert abs(got[lo + t] - sig(z)) < 1e-9
