@@ -34,11 +34,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import modest_batches, slices
+from .common import materialize, modest_batches, slices
 from .labelled import crc_mod, stored_sample
 
 #: Documents that are learned from, at most.
-TRAIN_DOCS = 3_000
+TRAIN_DOCS = 1_500
 BITS, DIM = 17, 16
 #: Share of clean texts of each length that may be rejected, as calibrated.
 LOST = 0.003
@@ -258,8 +258,9 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, limit: int = TRAIN
     modest_batches(docs.sparkSession)
     able = docs.filter(F.col("lang").isNotNull() & (crc_mod(modulus) != held_out))
     sample = stored_sample(able.select("doc_id", "text", "lang"), limit, "sample-lang")
-    got = sample.filter("text is not null").select("text", "lang").mapInArrow(_examples, _EXAMPLES).toArrow().to_pydict()
-    rows = sorted(zip(*got.values(), strict=True), key=lambda r: (r[0] or "", r[1:]))
+    made = materialize(sample.filter("text is not null").select("text", "lang").mapInArrow(_examples, _EXAMPLES), "examples")
+    # file by file, so that the driver holds the examples once
+    rows = sorted((tuple(r) for r in made.toLocalIterator()), key=lambda r: (r[0] or "", r[1:]))
     if not any(r[0] is not None for r in rows):
         return None
     return train([(a, b, c, np.frombuffer(u, "<u4"), np.frombuffer(s, "<f4"), n) for a, b, c, u, s, n in rows])
