@@ -128,35 +128,34 @@ def with_recipes(docs: DataFrame, recipe: str, sha: str, clash: frozenset[bytes]
     return docs.mapInArrow(run, schema)
 
 
-def grouped_rows(docs: DataFrame, keep_text: bool, least: int = 512, mean: int = 2048, most: int = 8192) -> tuple[DataFrame, dict[str, str]]:
-    """Every row of ``docs`` with its group, as (table, names of the columns row, recipe, sha, keep and size in it).
-
-    Rows are stored with their recipes and a number once, and everything after
-    that reads this table, so that numbers of different scans never meet.  Of a
-    group the row with the smallest doc_id, then the smallest number, stays."""
+def _identified(docs: DataFrame, least: int = 512, mean: int = 2048, most: int = 8192) -> tuple[DataFrame, str, str]:
+    """``docs`` with its recipes and digests, and the names of these two columns."""
     modest_batches(docs.sparkSession)
-    name = {k: unused(docs, k) for k in ("row", "recipe", "sha", "keep", "size")}
+    recipe, sha = unused(docs, "recipe"), unused(docs, "sha")
     clash = frozenset(bytes(r["h"]) for r in clashing_hashes(chunk_table(docs, least, mean, most)).collect())  # none, or accidents of 128 bits
-    made = with_recipes(docs, name["recipe"], name["sha"], clash, least, mean, most).withColumn(name["row"], F.monotonically_increasing_id())
-    rows = materialize(made if keep_text else made.drop("text"), "recipes")
-    groups = rows.groupBy(name["recipe"]).agg(F.min(F.struct("doc_id", name["row"])).alias(name["keep"]), F.count("*").alias(name["size"]))
-    return rows.join(groups, name["recipe"]), name
+    return with_recipes(docs, recipe, sha, clash, least, mean, most), recipe, sha
 
 
 def exact_groups(docs: DataFrame, **chunks: int) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``; one row of a group is kept."""
-    rows, name = grouped_rows(docs.select("doc_id", "text"), False, **chunks)
-    keep = F.col(name["keep"])
-    return rows.select(
-        "doc_id", keep["doc_id"].alias("keep_id"), F.col(name["size"]).alias("group_size"), (F.col(name["row"]) == keep[name["row"]]).alias("kept"), F.col(name["sha"]).alias("text_sha256")
-    )
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``; one row of a group is kept.
+
+    Rows are stored with their recipes and a number once, and everything after
+    that reads this table, so that numbers of different scans never meet.  Of a
+    group the row with the smallest doc_id, then the smallest number, stays."""
+    made, recipe, sha = _identified(docs.select("doc_id", "text"), **chunks)
+    rows = materialize(made.drop("text").withColumn("row", F.monotonically_increasing_id()), "recipes")
+    groups = rows.groupBy(recipe).agg(F.min(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
+    return rows.join(groups, recipe).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.col(sha).alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    rows, name = grouped_rows(docs, True)
-    stays = rows.filter(F.col(name["row"]) == F.col(name["keep"])[name["row"]])
-    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group, with all its columns: the one with the smallest doc_id, of several the smallest text as it is written.
+
+    One aggregation: copies go in the task that reads them, before anything moves."""
+    made, recipe, _ = _identified(docs)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = made.groupBy(recipe).agg(F.min_by(F.struct(*columns), F.struct("doc_id", "text")).alias("kept"))
+    return kept.select("kept.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
