@@ -251,19 +251,36 @@ def train(examples: list[tuple], epochs: int = 3, rate: float = 0.5, seed: int =
     return model
 
 
+_MODEL = "langs array<string>, scores binary, bias binary, temperature binary, threshold binary"
+
+
+def _trained(batches):
+    """All examples → one row, the model; no row without an example of a language."""
+    rows = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+    rows.sort(key=lambda r: (r[0] or "", r[1:]))
+    if not any(r[0] is not None for r in rows):
+        return
+    m = train([(a, b, c, np.frombuffer(u, "<u4"), np.frombuffer(s, "<f4"), n) for a, b, c, u, s, n in rows])
+    arrays = [pa.array([x.tobytes()], pa.binary()) for x in (m.scores, m.bias, m.temperature, m.threshold)]
+    yield pa.RecordBatch.from_arrays([pa.array([m.langs], pa.list_(pa.string())), *arrays], names=["langs", "scores", "bias", "temperature", "threshold"])
+
+
 def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, limit: int = TRAIN_DOCS) -> Model | None:
     """A model from a bounded sample of the labelled documents that may be learned from; None without any.
 
-    Bags of the sample's whole texts, of stretches of them and of noise are made in tasks and collected."""
+    Bags of the sample's whole texts, of stretches of them and of noise are made in
+    tasks and stored; one task learns from them, as their number is bounded by
+    ``limit`` whatever the input, and only the model comes to the driver."""
     modest_batches(docs.sparkSession)
     able = docs.filter(F.col("lang").isNotNull() & (crc_mod(modulus) != held_out))
     sample = stored_sample(able.select("doc_id", "text", "lang"), limit, "sample-lang")
     made = materialize(sample.filter("text is not null").select("text", "lang").mapInArrow(_examples, _EXAMPLES), "examples")
-    # file by file, so that the driver holds the examples once
-    rows = sorted((tuple(r) for r in made.toLocalIterator()), key=lambda r: (r[0] or "", r[1:]))
-    if not any(r[0] is not None for r in rows):
+    got = made.coalesce(1).mapInArrow(_trained, _MODEL).first()
+    if got is None:
         return None
-    return train([(a, b, c, np.frombuffer(u, "<u4"), np.frombuffer(s, "<f4"), n) for a, b, c, u, s, n in rows])
+    scores, bias = np.frombuffer(got["scores"], np.float32), np.frombuffer(got["bias"], np.float64)
+    # calibration writes to the ranges of a model, so these are copies
+    return Model(list(got["langs"]), scores.reshape(1 << BITS, len(bias)), bias, np.array(np.frombuffer(got["temperature"])), np.array(np.frombuffer(got["threshold"])))
 
 
 def judged(model: Model | None, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> tuple[list[str], list[float], list[bool]]:
