@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_components, materialize, modest_batches, partitions_for, set_fingerprint, shingle_sets, slices
+from .common import connected_components, local_components, materialize, modest_batches, partitions_for, set_fingerprint, shingle_sets, slices, unused
 
 _HOT_DF = np.uint32(0xFFFFFFFF)
 
@@ -374,18 +374,20 @@ def ngram_components(docs: DataFrame, size: int = 5, tile: int = 256, part_grams
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
-
-    Of a component in which no row has a doc_id, one row stays."""
-    if not docs.filter("doc_id is null").isEmpty():
-        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-        comps = ngram_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__in"))
-        rows = rows.join(comps, "__row")
-        best = rows.groupBy("__in").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__row")).alias("__best"))
-        stays = F.when(F.col("__best.no"), F.col("__row") == F.col("__best.__row")).otherwise(F.col("doc_id") == F.col("__best.doc_id"))
-        return rows.join(best, "__in").filter(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
-    stay = ngram_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    """One row of each component, with all its columns: the one with the smallest doc_id.
+
+    Where doc_ids are null or repeated, rows are numbered in a stored table and
+    known by their number, so that texts of one doc_id are compared as well; of
+    a component the smallest doc_id that is not null stays, of several rows one.
+    Rows without words link with nothing, so all of them stay."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").isEmpty():
+        stay = ngram_components(docs).filter("doc_id = component_id").select("doc_id")
+        return docs.join(stay, "doc_id", "left_semi")
+    row, group, best = (unused(docs, c) for c in ("row", "in", "best"))
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    comps = ngram_components(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias(group))
+    of = comps.join(rows.select(row, "doc_id"), row).groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias(best))
+    return rows.join(of.select(F.col(f"{best}.{row}").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,3 +312,16 @@ def test_null_ids(spark):
     assert sorted(got, key=lambda r: (r[0] or 0, r[4])) == sorted([(d or None, *r) for d, *r in brute_strip([(d or 0, t.encode()) for d, t in rows])], key=lambda r: (r[0] or 0, r[4]))
     assert len(mixing.taken_words(df).collect()) == len(rows)
     assert {r["text"] for r in mixing.mixed(df).collect()} == {t for _, t in rows}
+
+
+def test_near_copies_of_one_doc_id(spark):
+    """Rows of one doc_id are compared with each other; columns that are named like helpers stay as they are."""
+    words = [f"w{i}" for i in range(60)]
+    near, far = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    rows = [(5, near), (5, " ".join([*words[:58], "x", "y"])), (5, far), (5, ""), (5, ""), (3, far), (8, " ".join(["z", *words[1:]])), (9, None), (9, None), (4, "ab"), (4, "ab")]
+    df = spark.createDataFrame([(d, t, "r", 1) for d, t in rows], "doc_id long, text string, __row string, __in int")
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns and {(r["__row"], r["__in"]) for r in got.collect()} == {("r", 1)}
+    kept = sorted((r["doc_id"], r["text"] or "") for r in got.collect())
+    assert len(kept) == 7 and [k for k in kept if k[1] in ("", "ab") or k[1] == far] == [(3, far), (4, "ab"), (5, ""), (5, ""), (9, ""), (9, "")]
+    assert [d for d, t in kept if t.split()[1:2] in (["w1"], ["w0"])] == [5]
