@@ -23,22 +23,33 @@ from assay.llm.common import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is learned from a bounded sample of ``docs``; null texts, texts without letters and rejected ones go.
+
+    Repeated rows share one fate; very long texts are read whole; without a language to learn, all texts with letters stay."""
     return language_id.accepted(docs, language_id.fit(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, the one with the smallest doc_id (null first, ties by text); null and empty texts are one group."""
     return exact_dedup.without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked texts, the one with the smallest doc_id that is not null; texts without words all stay.
+
+    Repeated doc_ids are separate rows, so near copies under one doc_id go too."""
     return ngram_join.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as at least half of it is taken by the mix, so none, once or up to three times; a null source is a source, the last one.
+
+    Documents without words are never taken; rows of one doc_id come as often as the one that is taken most."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document (null and empty texts: the end token alone); longer texts than a sequence are cut, repeated rows are packed each."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
