@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, resampling, substring_dedup, toxicity
+from . import ann, collocations, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, resampling, substring_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_quality": quality.op9,
     "op10_best_fit_packing": packing.op10,
+    "op11_collocations": collocations.op11,
     "op13_importance_resampling": resampling.op13,
 }
 
@@ -23,5 +24,6 @@ SQL = {
     "op3_source_mixing": mixing.OP3_SQL,
     "op4_suffix_array_dedup": substring_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op13_importance_resampling": resampling.OP13_SQL,
 }
