@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, collocations, exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, resampling, substring_dedup, toxicity
+from . import ann, collocations, exact_dedup, html_text, language_id, mixing, ngram_join, packing, pii, quality, resampling, substring_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9,
     "op10_best_fit_packing": packing.op10,
     "op11_collocations": collocations.op11,
+    "op12_personal_data": pii.op12,
     "op13_importance_resampling": resampling.op13,
 }
 
