@@ -8,10 +8,11 @@ word) have been seen often enough, and stays so for one full cycle, so that each
 shard counts once.  Nothing enumerates candidates: an occurrence is counted if
 its subphrases have reached the threshold, so only phrases that occur are held.
 
-What has reached it is a table of ``SLOTS`` bytes, indexed by hash, with the
-round of each slot: its size does not depend on the data, so it goes to every
-task.  Phrases that share a slot only start earlier; they are still counted for
-one full cycle, so counts are exact whatever the slots.  Beyond some ten million
+What has reached it stands in two tables of 2^``SLOT_BITS`` bytes, indexed by
+different bits of the hash, with the round of each slot: their size does not
+depend on the data, so they go to every task.  Phrases that share both slots
+with frequent ones only start earlier; they are still counted for one full
+cycle, so counts are exact whatever the slots.  Beyond some ten million
 frequent phrases the slots fill up and sort out less (more is counted and
 shuffled), which costs time, not results.
 
@@ -80,8 +81,10 @@ def phrases(data: np.ndarray, off: np.ndarray, lang: np.ndarray) -> tuple[np.nda
     return starts, ends, row, out
 
 
-def _slot(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> U64(64 - bits)).astype(np.int64)
+def _looked_up(tables: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What both tables say of each hash: the highest bits index one, the lowest the other."""
+    bits = tables.shape[1].bit_length() - 1
+    return tables[0][(h >> U64(64 - bits)).astype(np.int64)], tables[1][(h & U64((1 << bits) - 1)).astype(np.int64)]
 
 
 def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def _texts(batch: pa.RecordBatch):
         yield langs[lo:hi], _LOWER[data], off, codes[lo:hi]
 
 
-def shard_counts(shard: DataFrame, reached: np.ndarray, now: int, cycle: int, bits: int) -> DataFrame:
+def shard_counts(shard: DataFrame, reached: np.ndarray, now: int, cycle: int) -> DataFrame:
     """k, h, start, n: how often the active phrases of all lengths stand in one shard, in round ``now``.
 
     ``start`` is the round in which a phrase became active: words in the first
@@ -117,15 +120,17 @@ def shard_counts(shard: DataFrame, reached: np.ndarray, now: int, cycle: int, bi
                         [pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(start[on][i].astype(np.int32)), pa.array(n.astype(np.int64))], names=["k", "h", "start", "n"]
                     )
                     first = np.full(len(first), NEVER, np.int64)
-                    first[at] = reached[_slot(h, bits)]
+                    first[at] = np.maximum(*_looked_up(reached, h))
 
     return shard.select("lang", "text").mapInArrow(run, "k int, h long, start int, n long")
 
 
-def _slots(rows: DataFrame, bits: int) -> np.ndarray:
-    """The slots of some phrases: 2^bits at most, so they fit the driver."""
-    slot = F.shiftrightunsigned("h", 64 - bits).cast("int").alias("slot")
-    return np.array([r["slot"] for r in rows.select(slot).distinct().collect()], np.int64)
+def _slots(rows: DataFrame, bits: int) -> list[np.ndarray]:
+    """The slots of some phrases in both tables: 2^bits each at most, so they fit the driver."""
+    high, low = F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND((1 << bits) - 1)
+    both = rows.select(F.explode(F.array(high.cast("int"), (low + (1 << bits)).cast("int"))).alias("slot")).distinct().toArrow()
+    slots = both.column(0).to_numpy()
+    return [slots[slots < 1 << bits], slots[slots >= 1 << bits] - (1 << bits)]
 
 
 def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
@@ -140,10 +145,10 @@ def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bi
     folder = f"{shared_dir(spark)}/tables/collocations-{uuid.uuid4().hex}"
     numbered.write.partitionBy("shard").parquet(f"{folder}/texts")
     stored = spark.read.schema(numbered.schema).parquet(f"{folder}/texts")
-    reached = np.full(1 << bits, NEVER, np.uint8)
+    reached = np.full((2, 1 << bits), NEVER, np.uint8)
     state, now, last = None, 0, cycle - 1
     while now <= last:
-        rows = shard_counts(stored.filter(F.col("shard") == now % cycle), reached.copy(), now, cycle, bits).withColumn("before", F.lit(0).cast("long"))
+        rows = shard_counts(stored.filter(F.col("shard") == now % cycle), reached.copy(), now, cycle).withColumn("before", F.lit(0).cast("long"))
         if state is not None:
             rows = rows.unionByName(state.select("k", "h", "start", "n", F.col("n").alias("before")))
         over = F.col("start") + cycle - 1 <= now
@@ -152,9 +157,9 @@ def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bi
         sums.write.mode("overwrite").parquet(path)
         state = spark.read.schema("k int, h long, start int, n long, before long, over boolean").parquet(path)
         slots = _slots(state.filter((F.col("k") < LONGEST) & (F.col("n") >= least) & (F.col("before") < least)), bits)
-        fresh = slots[reached[slots] == NEVER] if len(slots) else slots
-        reached[fresh] = now
-        last = max(last, now + cycle if len(fresh) else 0)  # what starts in the next round needs all shards
+        for table, some in zip(reached, slots, strict=True):
+            table[some[table[some] == NEVER]] = now
+        last = max(last, now + cycle if len(slots[0]) else 0)  # what starts in the next round needs all shards
         now += 1
     return state.select("k", "h", "n"), stored
 
@@ -163,8 +168,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits
     """(lang, k, phrase, f of all phrases of one to four words that are found ``least`` times; lang, n of its words)."""
     hashes, stored = frequent_hashes(docs, least, cycle, bits)
     slots = _slots(hashes, bits)
-    wanted = np.zeros(1 << bits, bool)
-    wanted[slots] = True
+    wanted = np.zeros((2, 1 << bits), bool)
+    for table, some in zip(wanted, slots, strict=True):
+        table[some] = True
 
     def run(batches):
         for batch in batches:
@@ -174,7 +180,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits
                 rows = np.bincount(row, minlength=len(langs)).tolist()
                 yield _rows(langs, [0] * len(langs), [0] * len(langs), [b""] * len(langs), rows)
                 for k, (at, h) in enumerate(found, 1):
-                    on = wanted[_slot(h, bits)]
+                    on = np.logical_and(*_looked_up(wanted, h))
                     u, i, n = _counted(h[on])
                     first = at[on][i]
                     a, b = starts[first].tolist(), ends[first + k - 1].tolist()
