@@ -1,7 +1,7 @@
 """Rules: a query that flags and tags the rows it finds, as a table (rule_no, flag, tag, query).
 
-Rules are few (``MOST_RULES``), their queries compile on the driver; rows are
-never moved for them.
+Rules are few (``MOST_RULES``), their queries compile on the driver to an index
+from literals to rules (``plans.predicates``); rows are never moved for them.
 """
 
 from __future__ import annotations
@@ -57,14 +57,14 @@ def compiled(rules: DataFrame | list[dict]) -> list[dict]:
     return out
 
 
-def matched_rules(df: DataFrame, rules: DataFrame | list[dict], columns: list[str] | None = None, row_id_col: str = ROW_ID, **how) -> Column:
+def matched_rules(df: DataFrame, rules: DataFrame | list[dict], columns: list[str] | None = None, row_id_col: str = ROW_ID) -> Column:
     """Array of (rule_no, flag, rank, tag) of the rules that find a row, in stored order."""
-    return matching(texts_of(df, columns, row_id_col), compiled(rules), **how)
+    return matching(texts_of(df, columns, row_id_col), compiled(rules))
 
 
-def rule_matches(df: DataFrame, rules: DataFrame | list[dict], columns: list[str] | None = None, row_id_col: str = ROW_ID, **how) -> DataFrame:
+def rule_matches(df: DataFrame, rules: DataFrame | list[dict], columns: list[str] | None = None, row_id_col: str = ROW_ID) -> DataFrame:
     """(row id, rule_no, flag, tag): a row for every rule that finds a row."""
-    m = with_matching(df, texts_of(df, columns, row_id_col), compiled(rules), "__triage_matches", **how)
+    m = with_matching(df, texts_of(df, columns, row_id_col), compiled(rules), "__triage_matches")
     return m.select(F.col(row_id_col), F.explode("__triage_matches").alias("m")).select(row_id_col, "m.rule_no", "m.flag", "m.tag")
 
 
@@ -74,7 +74,7 @@ def _tokens(matches: Column) -> Column:
 
 def resolve(
     df: DataFrame, annotations: DataFrame, rules: DataFrame | list[dict], mode: str = "view", columns: list[str] | None = None,
-    row_id_col: str = ROW_ID, flag_col: str = "flag", memo_col: str = "memo", tags: bool = True, **how,
+    row_id_col: str = ROW_ID, flag_col: str = "flag", memo_col: str = "memo", tags: bool = True,
 ) -> DataFrame:
     """Adds the effective flag and the memo with the tags of matching rules.
 
@@ -86,7 +86,7 @@ def resolve(
     if clash := {flag_col, memo_col} & set(df.columns):
         raise ValueError(f"data columns {sorted(clash)}: give the flag and the memo other names (flag_col, memo_col)")
     j = join_annotations(df, annotations, row_id_col)
-    j = with_matching(j, texts_of(df, columns, row_id_col), compiled(rules), "__triage_matches", **how)
+    j = with_matching(j, texts_of(df, columns, row_id_col), compiled(rules), "__triage_matches")
     if mode == "preview":
         j = j.withColumn("__triage_matches", F.when(has_text(df, row_id_col), F.col("__triage_matches")).otherwise(F.array().cast(f"array<{MATCH}>")))
     m, user, memo = F.col("__triage_matches"), F.col("__triage_user_flag"), F.coalesce("__triage_user_memo", F.lit(""))
@@ -107,8 +107,8 @@ def resolve(
     return j.withColumns({flag_col: flag, memo_col: text}).drop("__triage_matches", "__triage_annotated", "__triage_user_flag", "__triage_user_memo")
 
 
-def rule_applied_records(df: DataFrame, annotations: DataFrame, rules: DataFrame | list[dict], row_id_col: str = ROW_ID, **how) -> DataFrame:
+def rule_applied_records(df: DataFrame, annotations: DataFrame, rules: DataFrame | list[dict], row_id_col: str = ROW_ID) -> DataFrame:
     """One row: rows without a user flag that any rule finds, in all data columns."""
     rest = unflagged_rows(df, annotations, row_id_col)
-    hit = with_matching(rest, texts_of(df, None, row_id_col), compiled(rules), "__triage_matches", **how)
+    hit = with_matching(rest, texts_of(df, None, row_id_col), compiled(rules), "__triage_matches")
     return hit.agg(F.count_if(F.size("__triage_matches") > 0).alias("ioc_applied_records"))

@@ -8,6 +8,8 @@ stay plain predicates, and read only those columns.
 from __future__ import annotations
 
 import json
+import os
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable
 
@@ -77,96 +79,119 @@ def row_predicate(texts: Texts, query: Query) -> Column:
     return F.exists(F.array(texts.struct(query.literals)), lambda b: predicate(texts, query, b))
 
 
-#: Rules from which on the rules travel as one array instead of a predicate each:
-#: predicates compile and are several times as fast, but the plan grows with them.
-ARRAY_FROM = 1000
-
-_RULES = "array<struct<rule_no:int,flag:string,rank:int,tag:string,clauses:array<array<struct<c:string,t:string,n:boolean>>>>>"
 MATCH = "struct<rule_no:int,flag:string,rank:int,tag:string>"
-
-
-def matching(texts: Texts, rules: list[dict], array_from: int = ARRAY_FROM) -> Column:
+_CLAUSE = "struct<r:int,p:array<int>,n:array<int>>"
+
+
+def _escaped(text: str) -> str:
+    return "".join(c if c.isalnum() or ord(c) > 127 else "\\x{%x}" % ord(c) for c in text)
+
+
+def _trie_pattern(terms: list[str]) -> str:
+    """A regular expression for the longest of some terms that starts at a place.
+
+    Terms share their beginnings, so that a place is left after the first
+    character that no term goes on with, however many terms there are."""
+
+    def branch(some: list[str]) -> str:
+        """``some`` are distinct and sorted."""
+        ends, groups = some[0] == "", {}
+        for t in some[ends:]:
+            groups.setdefault(t[0], []).append(t)
+        made = []
+        for group in groups.values():
+            shared = os.path.commonprefix([group[0], group[-1]])
+            made.append(_escaped(shared) + (branch([t[len(shared) :] for t in group]) if len(group) > 1 else ""))
+        return "(?:" + "|".join(made) + ")" + ("?" if ends else "") if made else ""
+
+    return branch(sorted(set(terms)))
+
+
+class RuleIndex:
+    """Rules as an index from literals to clauses, built on the driver.
+
+    Every distinct (column, term) is looked for once in a row: all terms of a
+    column are one trie, of which a scan of the text gives the longest term at
+    every place; the terms it starts with are there too.  What is found leads to
+    the clauses that have it as their key (of a clause's positive literals the
+    one in the fewest clauses), and these are decided by what else was found.
+    Clauses without positive literals are always looked at.  So the work for a
+    row follows its text and its finds, not the number of rules."""
+
+    def __init__(self, texts: Texts, rules: list[dict]):
+        self.rules, self.ids = rules, {}
+        clauses, uses = [], Counter()
+        for r, rule in enumerate(rules, 1):
+            for clause in rule["query"].clauses:
+                known = lambda x: bool(x.term) and (x.column is None or x.column in texts.scopes)
+                if all(known(x) or x.negated for x in clause):
+                    pos, neg = ({self.ids.setdefault((x.column, x.term), len(self.ids)) for x in clause if known(x) and x.negated == no} for no in (False, True))
+                    clauses.append({"r": r, "p": sorted(pos), "n": sorted(neg)})
+                    uses.update(pos)
+        self.always = [c for c in clauses if not c["p"]]
+        self.keyed: list[list[dict]] = [[] for _ in self.ids]
+        for c in clauses:
+            if c["p"]:
+                key = min(c["p"], key=lambda i: (uses[i], i))
+                self.keyed[key].append(c | {"p": [i for i in c["p"] if i != key]})
+        self.terms: dict[str | None, dict[str, int]] = {}
+        for (column, term), i in self.ids.items():
+            self.terms.setdefault(column, {})[term] = i
+
+    def _found(self, column: str | None, text: Column) -> Column:
+        """Numbers of the literals of one column that its text holds."""
+        terms = self.terms[column]
+        every = F.array_distinct(F.regexp_extract_all(text, F.lit("(?=(" + _trie_pattern(list(terms)) + "))"), F.lit(1)))
+        size = 1 << max(0, len(terms) - 1).bit_length()
+        buckets: list[dict[str, list[int]]] = [{} for _ in range(size)]
+        for t in terms:
+            buckets[zlib.crc32(t.encode()) % size][t] = [terms[t[:n]] for n in range(1, len(t) + 1) if t[:n] in terms]
+        table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<int>>>")
+        return F.flatten(F.transform(every, lambda t: F.element_at(F.get(table, F.crc32(t.cast("binary")) % size), t)))
+
+    def finds(self, text_of: Callable[[str | None], Column]) -> Column:
+        """Numbers of all literals that a row holds."""
+        some = [self._found(c, text_of(c)) for c in self.terms]
+        return F.array_distinct(F.concat(*some)) if some else F.array().cast("array<int>")
+
+    def holding(self, found: Column) -> Column:
+        """Numbers (from 1 on) of the rules that hold, upward."""
+        keyed = F.from_json(F.lit(json.dumps(self.keyed)), f"array<array<{_CLAUSE}>>")
+        always = F.from_json(F.lit(json.dumps(self.always)), f"array<{_CLAUSE}>")
+        led_to = F.flatten(F.transform(found, lambda i: F.get(keyed, i)))
+        tried = F.concat(always, led_to) if self.always else led_to
+        holds = lambda c: F.forall(c["p"], lambda i: F.array_contains(found, i)) & ~F.exists(c["n"], lambda i: F.array_contains(found, i))
+        return F.sort_array(F.array_distinct(F.transform(F.filter(tried, holds), lambda c: c["r"])))
+
+    def matches(self, numbers: Column) -> Column:
+        heads = F.from_json(F.lit(json.dumps([{k: r[k] for k in ("rule_no", "flag", "rank", "tag")} for r in self.rules])), f"array<{MATCH}>")
+        return F.transform(numbers, lambda i: F.element_at(heads, i))
+
+
+def matching(texts: Texts, rules: list[dict]) -> Column:
     """Array of (rule_no, flag, rank, tag) of the rules whose query holds, in stored order.
 
     ``rules`` are dicts with these keys and a compiled ``query``.  The plan's
-    size does not grow with the rules in the array form: they are one literal."""
+    size does not grow with the rules: they are literals."""
     rules = [r for r in rules if not r["query"].blank]
-    empty = F.array().cast(f"array<{MATCH}>")
     if not rules:
-        return empty
-    literals = [x for r in rules for x in r["query"].literals]
-    if len(rules) < array_from:
-
-        def one_by_one(b: Column) -> Column:
-            head = lambda r: F.struct(*[F.lit(r[k]).alias(k) for k in ("rule_no", "flag", "rank", "tag")]).cast(MATCH)
-            return F.filter(F.array(*[F.when(predicate(texts, r["query"], b), head(r)) for r in rules]), lambda x: x.isNotNull())
-
-        return with_texts(texts, literals, one_by_one)
-    data = [
-        {k: r[k] for k in ("rule_no", "flag", "rank", "tag")} | {"clauses": [[{"c": x.column, "t": x.term, "n": x.negated} for x in c] for c in r["query"].clauses]}
-        for r in rules
-    ]
-    known = sorted({x.column for x in literals if x.column in texts.scopes})
-    row = texts.row() if any(x.column is None for x in literals) else F.lit("")
-    names = F.create_map(*[v for c in known for v in (F.lit(c), F.coalesce(column_text(texts.df, texts.scopes[c]), F.lit("")))]) if known else F.lit(None).cast("map<string,string>")
-    bound = F.array(F.struct(row.alias("t"), names.alias("m")))
-
-    def holds(x: Column, b: Column) -> Column:
-        text = F.when(x["c"].isNull(), b["t"]).otherwise(F.try_element_at(b["m"], x["c"]))
-        hit = (x["t"] != "") & F.coalesce(F.contains(text, x["t"]), F.lit(False))
-        return hit != x["n"]
-
-    rule_array = F.from_json(F.lit(json.dumps(data)), _RULES)
-    found = F.transform(bound, lambda b: F.filter(rule_array, lambda r: F.exists(r["clauses"], lambda c: F.forall(c, lambda x: holds(x, b)))))[0]
-    return F.transform(found, lambda r: F.struct(r["rule_no"].alias("rule_no"), r["flag"].alias("flag"), r["rank"].alias("rank"), r["tag"].alias("tag")))
-
-
-#: Rules from which on those that share a literal are tried only where it holds.
-SHARED_FROM = 8
-
-
-def _shared(rules: list[dict]) -> dict[Literal | None, list[int]]:
-    """Rules (their numbers, from 1 on) by a literal that all clauses of each have, the most common one first; None for the rest."""
-    every = [set.intersection(*map(set, r["query"].clauses)) for r in rules]
-    counts = Counter(x for some in every for x in some)
-    groups: dict[Literal | None, list[int]] = {}
-    for i, some in enumerate(every, 1):
-        best = max(some, key=lambda x: (counts[x], str(x)), default=None)
-        groups.setdefault(best if best and counts[best] >= SHARED_FROM else None, []).append(i)
-    return groups
-
-
-def with_matching(df: DataFrame, texts: Texts, rules: list[dict], out: str, array_from: int = ARRAY_FROM) -> DataFrame:
+        return F.array().cast(f"array<{MATCH}>")
+    index = RuleIndex(texts, rules)
+    literals = [Literal(c, t) for c, t in index.ids]
+    found = with_texts(texts, literals, lambda b: index.finds(lambda c: F.coalesce(b["t"] if c is None else b["c_" + c], F.lit(""))))
+    return F.transform(F.array(found), lambda f: index.matches(index.holding(f)))[0]
+
+
+def with_matching(df: DataFrame, texts: Texts, rules: list[dict], out: str) -> DataFrame:
     """Adds ``matching`` as a column.
 
-    Texts become columns of their own first, so that each is worked out once a
-    row; rules with a common literal are tried only in rows where it holds.
-    Rules are numbers until the end, in arrays that compile (no lambda looks at
-    the predicates)."""
+    What is looked at more than once (the finds, the numbers of the rules that
+    hold) is a column of its own, so that it is worked out once a row."""
     rules = [r for r in rules if not r["query"].blank]
-    if not rules or len(rules) >= array_from:
-        return df.withColumn(out, matching(texts, rules, array_from))
-    literals = [x for r in rules for x in r["query"].literals]
-    made = {"t": texts.row()} if any(x.column is None for x in literals) else {}
-    made |= {"c_" + c: column_text(texts.df, texts.scopes[c]) for c in sorted({x.column for x in literals if x.column in texts.scopes})}
-    names = {k: f"__triage_text_{i}" for i, k in enumerate(made)}
-    bound = {k: F.col(n) for k, n in names.items()}
-    wide = df.withColumns({names[k]: v for k, v in made.items()}) if made else df
-    none, found = F.array().cast("array<int>"), []
-    for shared, numbers in _shared(rules).items():
-        tests = [F.when(predicate(texts, _without(rules[i - 1]["query"], shared), bound), F.lit(i)).otherwise(0) for i in numbers]
-        some = F.array_remove(F.array(*tests), 0)
-        found.append(some if shared is None else F.when(_literal(texts, shared, bound), some).otherwise(none))
-    wide = wide.withColumn("__triage_hits", F.concat(*found) if len(found) > 1 else found[0])
-    heads = F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("rule_no", "flag", "rank", "tag")]).cast(MATCH) for r in rules])
-    hits = F.col("__triage_hits")  # looked at twice, so it stays a column and compiles
-    matches = F.when(F.size(hits) > 0, F.transform(F.sort_array(hits), lambda i: F.element_at(heads, i))).otherwise(F.array().cast(f"array<{MATCH}>"))
-    return wide.withColumn(out, matches).drop("__triage_hits", *names.values())
-
-
-def _without(query: Query, shared: Literal | None) -> Query:
-    """A query whose clauses need not look at ``shared`` again; one of nothing else always holds then."""
-    if shared is None:
-        return query
-    rest = [tuple(x for x in c if x != shared) for c in query.clauses]
-    return Query(tuple(c or (Literal(None, "", True),) for c in rest))
+    if not rules:
+        return df.withColumn(out, matching(texts, rules))
+    index = RuleIndex(texts, rules)
+    text_of = lambda c: F.coalesce(texts.row() if c is None else column_text(texts.df, texts.scopes[c]), F.lit(""))
+    wide = df.withColumn("__triage_found", index.finds(text_of))
+    wide = wide.withColumn("__triage_holding", index.holding(F.col("__triage_found")))
+    return wide.withColumn(out, index.matches(F.col("__triage_holding"))).drop("__triage_found", "__triage_holding")

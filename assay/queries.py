@@ -175,6 +175,19 @@ def d2_many(s, d):
     return out.select("event_id", F.size("m").cast("long").alias("n"), F.array_max(F.transform("m", lambda r: r["rank"])).alias("top"))
 
 
+@query(
+    "d2_two_thousand_rules",
+    f"""WITH e AS MATERIALIZED (SELECT event_id, user_id::VARCHAR AS u, event_type AS t, props AS p, {_ROW} AS x FROM events), i AS (SELECT unnest(range(2000)) AS i),
+hit AS (SELECT event_id, i, (contains(u, i::VARCHAR) AND NOT contains(p, (i % 10)::VARCHAR)) OR (contains(t, 'er') AND contains(x, 'error ' || i)) OR (i = 7 AND NOT contains(t, 'e')) AS hit FROM e, i)
+SELECT event_id, count(*) AS n, min(i + 1)::INT AS first_rule, sum(i + 1)::BIGINT AS all_rules FROM hit WHERE hit GROUP BY event_id""",
+)
+def d2_two_thousand(s, d):
+    """Scoped terms that hold each other, negated terms, phrases over columns and one rule of a negation alone."""
+    e = _table(s, d, "events").select("event_id", "event_type", "user_id", "props")
+    made = rules.rules_table(s, [("safe", f"t{i}", f'"error {i}" event_type:er|user_id:{i} -props:{i % 10}' + ("|-event_type:e" if i == 7 else "")) for i in range(2000)])
+    return rules.rule_matches(e, made, row_id_col="event_id").groupBy("event_id").agg(F.count("*").alias("n"), F.min("rule_no").alias("first_rule"), F.sum("rule_no").alias("all_rules"))
+
+
 @query("d3_unflagged_rows", f"WITH {_AN_SQL} SELECT event_id FROM events WHERE event_id NOT IN (SELECT row_id FROM nan WHERE uflag <> '')")
 def d3(s, d):
     e = _events(s, d)

@@ -95,10 +95,10 @@ def test_three_forms_agree(spark, logs):
     atoms = ["ws0", "4", "a", "-enc", "eventid:46", "com:ws", "user:", "-x", "|", " ", '"a b"', 'data:"a|b"', "ok:true|", "-ok:false", "nope:1", "é", "-com:WS01", "score:1", "n"]
     queries = ["".join(rng.choice(atoms) + rng.choice([" ", "", "|", " "]) for _ in range(rng.randint(1, 6))) for _ in range(60)]
     rules = R.compiled(R.rules_table(spark, [("safe", str(i), q) for i, q in enumerate(queries)]))
-    for form in ({"array_from": 10_000}, {"array_from": 0}):
-        got = {(r["__rowid"], r["rule_no"]) for r in R.rule_matches(logs, rules, **form).collect()}
-        want = {(row[0], i) for row in ROWS for i, q in enumerate(queries, 1) if plain_eval(q, row, False)}
-        assert got == want, form
+    want = {(row[0], i) for row in ROWS for i, q in enumerate(queries, 1) if plain_eval(q, row, False)}
+    assert {(r["__rowid"], r["rule_no"]) for r in R.rule_matches(logs, rules).collect()} == want
+    column = logs.select("__rowid", R.matched_rules(logs, rules).alias("m")).collect()
+    assert {(r["__rowid"], m["rule_no"]) for r in column for m in r["m"]} == want
     flags = logs.select("__rowid", *[S.row_matches(logs, q).alias(f"q{i}") for i, q in enumerate(queries[:12])]).collect()
     for r in flags:
         for i, q in enumerate(queries[:12]):
@@ -135,3 +135,30 @@ def test_rules_with_a_common_literal(spark, logs):
     assert sorted(got) == sorted((row[0], i) for row in ROWS for i, q in enumerate(queries, 1) if plain_eval(q, row, False))
     for row in {r for r, _ in got}:
         assert [n for r, n in got if r == row] == sorted(n for r, n in got if r == row)
+
+
+def test_thousands_of_rules(spark, logs):
+    """Terms that begin alike, hold each other, hold marks of regular expressions, in scopes and without, negated and not."""
+    rng = random.Random(8)
+    parts = ["a", "aa", "aab", "ab", "b", "4", "46", "462", "4624", "4625", "624", "(", ")", "[a-z]", ".", "\\\\d", "^", "$", "ws0", "ws01", "ws02", "ws", "é", "élan", "enc", "-enc", "hoge", "hoge:fuga", "zz", "z", "1,024", "+", "*", "?", "{2}", "\\x"]
+    queries = []
+    for _ in range(3000):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            t = rng.choice(parts) + (rng.choice(parts) if rng.random() < 0.3 else "")
+            words.append(rng.choice(["", "", "-"]) + rng.choice(["", "", "com:", "command:", "eventid:", "nowhere:", "data:"]) + t + rng.choice(["", "", "|"]))
+        queries.append(" ".join(words))
+    rules = R.compiled(R.rules_table(spark, [("safe", str(i), q) for i, q in enumerate(queries)]))
+    got = {(r["__rowid"], r["rule_no"]) for r in R.rule_matches(logs, rules).collect()}
+    want = {(row[0], i) for row in ROWS for i, q in enumerate(queries, 1) if plain_eval(q, row, False)}
+    assert got == want and len(want) > 1000
+
+
+def test_rules_compile_whatever_their_number(spark, logs):
+    """The plan does not grow with the rules, and nothing falls back to another path."""
+    sizes = {}
+    for n in (10, 2000):
+        rules = R.compiled(R.rules_table(spark, [("safe", "t", f"command:x{i} {i}") for i in range(n)]))
+        plan = R.rule_matches(logs, rules)._jdf.queryExecution().optimizedPlan()
+        sizes[n] = plan.treeString().count("regexp_extract_all")
+    assert sizes[10] == sizes[2000]
