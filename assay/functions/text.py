@@ -22,17 +22,55 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _fewer(number: Column, size: Column) -> Column:
+    """(digits, point) with one digit fewer where that still is the same double, else as given."""
+    digits, point = number["d"], number["p"]
+    n = F.length(digits)
+    head = F.substring(digits, F.lit(1), n - 1)
+    up = (head.cast("decimal(20,0)") + 1).cast("decimal(20,0)").cast("string")
+    is_it = lambda d: F.coalesce(F.concat(d, F.lit("E"), (point - n + 1).cast("string")).try_cast("double") == size, F.lit(False))
+    down_made = F.struct(F.rtrim(head, F.lit("0")).alias("d"), point.alias("p"))
+    up_made = F.struct(F.rtrim(up, F.lit("0")).alias("d"), (point + F.length(up) - n + 1).alias("p"))
+    last = F.substring(digits, -1, 1)
+    # of a 5 whole numbers tell on which side of it they are
+    beyond = F.concat(digits, F.repeat(F.lit("0"), point - n)).try_cast("decimal(38,0)") <= size.try_cast("long").cast("decimal(38,0)")
+    nearer = (last > "5") | ((last == "5") & ((size < 9e15) | F.coalesce(beyond, F.lit(True))))
+    # the language's own text may have a digit too many: a 16th or later one, and the second one of the smallest doubles
+    long = (n >= 16) | ((n == 2) & (size < 1e-300))
+    return F.when(long & nearer & is_it(up), up_made).when(long & is_it(head), down_made).when(long & is_it(up), up_made).otherwise(number)
+
+
+def _shifted(size: Column) -> Column:
+    """The shortest digits of a positive double with the point moved to its place, without decimals in between."""
+    s = size.cast("string")
+    whole, part = F.regexp_extract(s, r"^(\d+)", 1), F.regexp_extract(s, r"\.(\d+)", 1)
+    power = F.coalesce(F.nullif(F.regexp_extract(s, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    every = F.concat(whole, part)
+    digits = F.ltrim(every, F.lit("0"))
+    point = F.length(whole) + power - (F.length(every) - F.length(digits))
+    bound = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  each step looks at the last one several times
+    number = F.struct(F.rtrim(digits, F.lit("0")).alias("d"), point.alias("p"))
+    for _ in range(2):
+        number = bound(number, lambda x: _fewer(x, size))
+
+    def written(x: Column) -> Column:
+        d, at, n = x["d"], x["p"], F.length(x["d"])
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), d)
+        return F.when(at <= 0, small).when(at >= n, F.concat(d, F.repeat(F.lit("0"), at - n))).otherwise(F.concat(F.substring(d, F.lit(1), at), F.lit("."), F.substring(d, at + 1, n)))
+
+    return bound(number, written)
+
+
 def plain_double(c: Column) -> Column:
-    """Shortest decimal text of a double, without exponent and without a trailing ``.0``."""
+    """Shortest decimal text of a double, without exponent and without a trailing ``.0``, however large or small."""
     x = c.cast("double")
     s = x.cast("string")
-    dec = s.try_cast("decimal(38,18)").cast("string")
-    stripped = F.regexp_replace(F.regexp_replace(dec, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    exact = stripped.try_cast("double") == x
     special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
     short = F.when(F.endswith(s, F.lit(".0")), F.substr(s, F.lit(1), F.length(s) - 2)).otherwise(s)
-    # only texts with an exponent take the long way
-    return F.when(~F.contains(s, F.lit("E")) & ~F.isnan(x) & (F.abs(x) < float("inf")), short).otherwise(F.coalesce(special, F.when(F.coalesce(exact, F.lit(False)), stripped), F.regexp_replace(s, r"\.0$", "")))
+    # only texts with an exponent or very many digits take the long way
+    plain = ~F.contains(s, F.lit("E")) & (F.length(s) < 17)
+    signed = F.concat(F.when(x < 0, "-").otherwise(""), _shifted(F.abs(x)))
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.when(plain, short).otherwise(signed)).otherwise(special)
 
 
 def search_text(c: Column, kind: T.DataType) -> Column:

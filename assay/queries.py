@@ -53,7 +53,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return _table(spark, sf_dir, "events")
 
 
 def _annotations(events: DataFrame) -> DataFrame:
@@ -113,6 +113,9 @@ def _search(name: str, table: str, key: str, text: str, where: str, columns: lis
 _search("c1_search_filter", "events", "event_id", "event_type:error|purchase user_id:12", "contains(event_type, 'error') OR (contains(event_type, 'purchase') AND contains(user_id::VARCHAR, '12'))")
 _search("c1_search_blank", "events", "event_id", ' "  " | ', "true")
 _search("c2_term", "events", "event_id", "ERROR 7", f"contains({_ROW}, 'error') AND contains({_ROW}, '7')", _EVENT_TEXT)
+# every column: times and doubles too, as their texts
+_ALL = "lower(concat_ws(' ', ts::VARCHAR, user_id::VARCHAR, nullif(event_type, ''), regexp_replace(value::VARCHAR, '\\.0$', ''), nullif(props, '')))"
+_search("c2_all_columns", "events", "event_id", '"-01-0" 3.1|"click 5"|value:99 -ts:00', f"(contains({_ALL}, '-01-0') AND contains({_ALL}, '3.1')) OR contains({_ALL}, 'click 5') OR (contains(value::VARCHAR, '99') AND NOT contains(ts::VARCHAR, '00'))")
 _search("c3_scoped_term", "orders", "o_orderkey", "http://x|O_OrderStatus:f", "contains(lower(o_orderstatus), 'f')")
 _search("c3_unknown_column", "pages", "page_id", "http://example", "false", ["url"])
 _search("c4_phrase", "orders", "o_orderkey", '"4-NOT SPECIFIED"', "contains(lower(o_orderpriority), '4-not specified')", ["o_orderpriority"])
@@ -452,6 +455,21 @@ def h3(s, d):
     return e.select("c_custkey", t("c_acctbal").alias("a"), t("big").alias("big"), t("c_nationkey").alias("n"), t("b").alias("b"))
 
 
+@query(
+    "h3_extreme_doubles",
+    r"""WITH x AS (SELECT c_custkey, (c_custkey || '.' || c_nationkey || 'e' || ((c_custkey % 63) * 10 - 322))::DOUBLE AS v FROM customer),
+    p AS (SELECT c_custkey, regexp_extract(v::VARCHAR, '^(\d+)(?:\.(\d+))?(?:e([+-]\d+))?$', ['i', 'f', 'e']) AS m FROM x),
+    q AS (SELECT c_custkey, m.i || m.f AS a, length(m.i) + coalesce(nullif(m.e, '')::INT, 0) AS p FROM p),
+    r AS (SELECT c_custkey, rtrim(ltrim(a, '0'), '0') AS d, p - (length(a) - length(ltrim(a, '0'))) AS p FROM q)
+    SELECT c_custkey, CASE WHEN p <= 0 THEN '0.' || repeat('0', -p) || d WHEN p >= length(d) THEN d || repeat('0', p - length(d)) ELSE d[:p] || '.' || d[p + 1:] END AS t FROM r""",
+)
+def h3_extreme(s, d):
+    c = _table(s, d, "customer")
+    v = F.concat("c_custkey", F.lit("."), "c_nationkey", F.lit("e"), (F.col("c_custkey") % 63 * 10 - 322).cast("string")).cast("double")
+    e = c.select("c_custkey", v.alias("v"))
+    return e.select("c_custkey", tx.search_text(F.col("v"), e.schema["v"].dataType).alias("t"))
+
+
 @query("h4_row_text", f"SELECT event_id, {_ROW} AS t FROM events")
 def h4(s, d):
     return search.with_row_text(_table(s, d, "events"), _EVENT_TEXT, "event_id", "t").select("event_id", "t")
@@ -565,7 +583,7 @@ def a1011(s, d):
     "a12_export",
     f"{_RESOLVE}, x AS (SELECT event_id, CASE WHEN annotated THEN uflag ELSE high END AS flag, tagged AS memo FROM r)"
     " SELECT (flag = 'safe')::INT AS \"triage-safe\", (flag = 'suspicious')::INT AS \"triage-suspicious\", (flag = 'critical')::INT AS \"triage-critical\", memo AS \"triage-memo\","
-    " user_id, event_type, value, props FROM x JOIN events USING (event_id)",
+    " events.* EXCLUDE (event_id) FROM x JOIN events USING (event_id)",
 )
 def a12(s, d):
     e = _events(s, d)
