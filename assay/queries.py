@@ -513,6 +513,15 @@ def a1(s, d):
     return tables.read_csv(s, path)
 
 
+@query("a1_multi_line_csv", "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) AS row_id FROM documents")
+def a1_multi_line(s, d):
+    """Texts with line breaks, quotes and commas in them, in files that are split wherever it may be."""
+    path = scratch_path(s, "texts")
+    tables.write_csv(_table(s, d, "documents").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id"), path)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    return tables.read_csv(s, path, schema=kinds, row_id_col="row_id")
+
+
 @query(
     "a2_lift_annotations",
     "SELECT doc_id AS row_id, CASE WHEN toxic = 1 THEN 'critical' WHEN quality = 0 THEN 'suspicious' ELSE '' END AS flag, CASE WHEN doc_id % 5 = 0 THEN 'm' END AS memo FROM labels"

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import field, search_text, trim_all
 from ..operators.search import ROW_ID
+from . import csv_splits
 
 #: Prefix of the reserved columns ``<prefix>-safe``, ``-suspicious``, ``-critical`` and ``-memo``.
 PREFIX = "triage"
@@ -23,21 +24,44 @@ def broken_fields(spark: SparkSession, path: str | list[str]) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, multi_line: bool | None = None, row_id_col: str | None = None) -> DataFrame:
     """A CSV with a header; any malformed row is an error.
 
     Without a schema a column is long, double or boolean if all of its values
     are, else it stays the text as written (dates too, and whole numbers beyond
-    64 bits).  Spark splits large files only if no field holds a line break;
-    ``multi_line`` says so, None looks (``broken_fields``)."""
+    64 bits).  ``multi_line`` says whether fields hold line breaks, None looks
+    (``broken_fields``); such files are split too (``csv_splits``), unless quotes
+    stand inside fields that are not quoted: then a file is one task.
+    ``row_id_col`` names a column for row ids, 0..n-1 in the order of the rows."""
     if multi_line is None:
         multi_line = broken_fields(spark, path)
+    if multi_line:
+        made = csv_splits.records(spark, path)
+        if csv_splits.well_formed(made):
+            return _parsed(spark, path, made, schema, row_id_col)
     options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "FAILFAST"}
     if schema is not None:
-        return spark.read.options(**options).schema(schema).csv(path)
-    text = spark.read.options(**options, inferSchema=False).csv(path)
-    kinds = inferred(text)
-    return text.select(*[field(c).cast(kinds[c]).alias(c) if kinds[c] != "string" else field(c) for c in text.columns])
+        rows = spark.read.options(**options).schema(schema).csv(path)
+    else:
+        rows = _typed(spark.read.options(**options, inferSchema=False).csv(path))
+    return with_row_ids(rows, row_id_col) if row_id_col else rows
+
+
+def _typed(text: DataFrame, but: str | None = None) -> DataFrame:
+    kinds = inferred(text.drop(but) if but else text)
+    return text.select(*[field(c).cast(kinds[c]).alias(c) if kinds.get(c, "string") != "string" else field(c) for c in text.columns])
+
+
+def _parsed(spark: SparkSession, path: str | list[str], made: DataFrame, schema: T.StructType | str | None, row_id_col: str | None) -> DataFrame:
+    """The fields of records that are put together already."""
+    names = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(path).columns
+    given = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema) if schema else T.StructType([T.StructField(c, T.StringType()) for c in names])
+    rows = csv_splits.numbered(made, "__csv_row")
+    fields = F.from_csv("text", given.toDDL(), {"escape": '"', "mode": "FAILFAST", "multiLine": "true"})
+    # the struct is a column of its own: it is parsed once a row, not once a field
+    out = rows.select("__csv_row", fields.alias("__csv")).select(F.col("__csv_row").alias(row_id_col or "__csv_row"), "__csv.*")
+    out = out if schema is not None else _typed(out, row_id_col or "__csv_row")
+    return out if row_id_col else out.drop("__csv_row")
 
 
 def inferred(text: DataFrame) -> dict[str, str]:
@@ -118,7 +142,7 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 def import_csv(spark: SparkSession, path: str, dataset: str, prefix: str = PREFIX, **how) -> tuple[DataFrame, DataFrame]:
     """CSV → (stored dataset with row ids, its lifted annotations)."""
-    data, annotations = lift_annotations(with_row_ids(read_csv(spark, path, **how)), prefix)
+    data, annotations = lift_annotations(read_csv(spark, path, row_id_col=ROW_ID, **how), prefix)
     write_dataset(data, f"{dataset}/data")
     return read_dataset(spark, f"{dataset}/data"), annotations
 

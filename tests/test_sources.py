@@ -1,3 +1,5 @@
+import csv
+
 from pyspark.sql import functions as F
 
 from assay.operators import annotations as A
@@ -103,3 +105,45 @@ def test_ids_follow_paths(spark, tmp_path):
     x = T.with_row_ids(T.read_csv(spark, [str(tmp_path / f"{k}.csv") for k in "bca"]))
     want = [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(900)] + [f"c{i}" for i in range(5)]
     assert [r["v"] for r in x.orderBy("__rowid").collect()] == want
+
+
+def _messy(rng, n):
+    """Records whose fields hold line breaks, quotes, commas, both line ends and nothing at all."""
+    parts = ["a", "b c", '""', ",", "\n", "\r\n", "\n\n", "é", "x" * 40]
+    for i in range(n):
+        long = rng.random() < 0.01
+        quoted = "".join(rng.choice(parts) for _ in range(rng.randint(0, 600 if long else 6)))
+        yield f'{i},"{quoted}",{rng.choice(["", "p", "q r"])}'
+
+
+def test_line_breaks_in_fields_are_read_by_many_tasks(spark, tmp_path):
+    import random
+
+    rng = random.Random(12)
+    for name, n, end in (("a", 4000, "\n"), ("b", 3, "\n"), ("c", 900, "\r\n")):
+        (tmp_path / f"{name}.csv").write_bytes(("id,t,u" + end + end.join(_messy(rng, n)) + (end if name == "a" else "")).encode())
+    paths = [str(tmp_path / f"{k}.csv") for k in "abc"]
+    want = [r for p in paths for r in list(csv.reader(open(p, newline="", encoding="utf-8")))[1:]]  # noqa: SIM115
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = spark.read.options(header=True, multiLine=True, escape='"').csv(paths)
+    try:
+        for size in ("1777", "20000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = T.read_csv(spark, paths, row_id_col="r")
+            assert dict(got.dtypes) == {"r": "bigint", "id": "bigint", "t": "string", "u": "string"}
+            rows = got.orderBy("r").collect()
+            assert [r["r"] for r in rows] == list(range(4903))
+            assert [r["id"] for r in rows] == [*range(4000), *range(3), *range(900)]
+            assert [[str(r["id"]), r["t"] or "", r["u"] or ""] for r in rows] == want  # as written, line ends of both kinds too
+            # Spark's own reading of whole files writes all line ends in fields as line feeds
+            unix = lambda t: t and t.replace("\r\n", "\n")
+            assert sorted(((r["id"], unix(r["t"]), r["u"]) for r in rows), key=repr) == sorted(((int(r["id"]), unix(r["t"]), r["u"]) for r in whole.collect()), key=repr)
+            if size == "1777":
+                assert got.rdd.getNumPartitions() > 50  # and the longest fields go over several splits
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quotes_inside_plain_fields_fall_back(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n5" x,1\n"y\nz",2\n6" w,3\n')
+    assert sorted(r["a"] for r in T.read_csv(spark, str(tmp_path / "a.csv")).collect()) == ['5" x', '6" w', "y\nz"]
