@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import normalize_flag
 from ..functions.text import field, sort_key
+from ..sources.scratch import scratch_path
 from .rules import resolve
 from .search import ROW_ID, data_columns, search_filter
 
@@ -70,12 +71,37 @@ def page(df: DataFrame, key: str | None = None, descending: bool = False, offset
     """One page of the sorted table with ``pos`` (from 1 on): a top-k, not a full sort.
 
     Without a known key the rows keep the order of their ids.  Far pages keep
-    offset + limit rows; ``page_after`` does not."""
+    offset + limit rows; ``page_at`` and ``page_after`` do not."""
     order = _order(descending and key in df.columns, row_id_col)
     rows = _keyed(df, key).orderBy(*order).offset(offset).limit(max(1, limit))
     return rows.withColumn("pos", F.row_number().over(W.orderBy(*order)) + offset).drop(_SORT)
 
 
+def page_at(df: DataFrame, key: str | None = None, descending: bool = False, offset: int = 0, limit: int = PAGE, row_id_col: str = ROW_ID, ranges: int | None = None) -> DataFrame:
+    """``page`` for far offsets, by order statistics: no task keeps the rows before the page.
+
+    Sort keys and row ids alone are dealt into ranges of the order, as a stored
+    table; the counts of the ranges tell which of them the page lies in; only
+    these are sorted, and only the page's rows are fetched from ``df``.  Row ids
+    are distinct."""
+    spark = df.sparkSession
+    order = _order(descending and key in df.columns, row_id_col)
+    slim = _keyed(df, key).select(_SORT, field(row_id_col))
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "order")
+    slim.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    before, some, at = 0, [], None
+    for r in dealt.groupBy("__range").count().orderBy("__range").collect():  # a row for each range
+        if before < offset + max(1, limit) and before + r["count"] > offset:
+            some.append(r["__range"])
+            at = before if at is None else at
+        before += r["count"]
+    rows = dealt.filter(F.col("__range").isin(some)).orderBy(*order).offset(offset - (at or 0)).limit(max(1, limit))
+    rows = rows.select(field(row_id_col), (F.row_number().over(W.orderBy(*order)) + offset).alias("pos"))
+    return df.join(F.broadcast(rows), row_id_col).select(*[field(c) for c in df.columns], "pos")  # ``limit`` rows
+
+
 def page_after(df: DataFrame, last: dict, key: str | None = None, descending: bool = False, limit: int = PAGE, row_id_col: str = ROW_ID) -> DataFrame:
     """The page after a row of which ``last`` has the key's value and the row id: a filter and a top-k, however far."""
     if key is None or key not in df.columns:

@@ -17,7 +17,7 @@ from .operators import annotations as an
 from .operators import profile, rules, search, summary, view
 from .sources import annotations as src_annotations
 from .sources import rules as src_rules
-from .sources import tables
+from .sources import export, tables
 from .sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +365,10 @@ _sorted("g3_stable_ties", False, 3000, 500)
 _sorted("g5_page", True, 4000, 250)
 
 
+QUERIES["g5_page_at"] = lambda s, d: view.page_at(_mixed(s, d), "k", True, 4000, 250, "event_id", 16).select("event_id", "k", "pos")
+SQL["g5_page_at"] = SQL["g5_page"]
+
+
 @query("g1_sort_keys", f"WITH {_KEYS} SELECT event_id, c, n, t FROM z")
 def g1_keys(s, d):
     m = _mixed(s, d)
@@ -599,6 +603,22 @@ def a12(s, d):
     return tables.export_frame(rules.resolve(e, _annotations(e), _rules(s), "export", row_id_col="event_id"), row_id_col="event_id")
 
 
+@query(
+    "a12_ordered_export",
+    f"{_RESOLVE}, x AS (SELECT event_id, CASE WHEN annotated THEN uflag ELSE high END AS flag, tagged AS memo FROM r)"
+    " SELECT (row_number() OVER (ORDER BY event_id) - 1) AS at, (flag = 'safe')::INT AS safe, (flag = 'suspicious')::INT AS suspicious, (flag = 'critical')::INT AS critical, nullif(memo, '') AS memo, event_id AS id, user_id, event_type"
+    " FROM x JOIN events USING (event_id)",
+)
+def a12_ordered(s, d):
+    """A stored dataset of many files, exported in order without a sort over its rows, and read again."""
+    e, path = _events(s, d), scratch_path(s, "export")
+    tables.write_dataset(e.withColumn("id", F.col("event_id")).repartitionByRange(7, "event_id").sortWithinPartitions("event_id"), f"{path}/data")
+    export.write_export(s, f"{path}/data", _annotations(e), _rules(s), f"{path}/out", row_id_col="event_id")
+    back = tables.read_csv(s, f"{path}/out/*", row_id_col="at")
+    flags = {f"triage-{x}": x for x in ("safe", "suspicious", "critical")}
+    return back.select("at", *[F.col(f"`{k}`").cast("int").alias(v) for k, v in flags.items()], F.col("`triage-memo`").alias("memo"), "id", "user_id", "event_type")
+
+
 @query("a12_a2_round_trip", f"{_RESOLVE}, x AS (SELECT event_id, CASE WHEN annotated THEN uflag ELSE high END AS flag, nullif(trim(tagged), '') AS memo FROM r) SELECT event_id, flag, memo FROM x WHERE flag <> '' OR memo IS NOT NULL")
 def a12_a2(s, d):
     e, path = _events(s, d), scratch_path(s, "export")

@@ -147,15 +147,17 @@ def import_csv(spark: SparkSession, path: str, dataset: str, prefix: str = PREFI
     return read_dataset(spark, f"{dataset}/data"), annotations
 
 
-def export_frame(resolved: DataFrame, prefix: str = PREFIX, row_id_col: str = ROW_ID, flag_col: str = "flag", memo_col: str = "memo", drop_reserved: bool = False) -> DataFrame:
+def export_frame(resolved: DataFrame, prefix: str = PREFIX, row_id_col: str = ROW_ID, flag_col: str = "flag", memo_col: str = "memo", drop_reserved: bool = False, ordered: bool = False) -> DataFrame:
     """The annotated table in row order: three 0/1 columns, the memo, then the data columns.
 
     ``resolved`` has the flag and memo of ``resolve(..., mode="export")``.
-    ``drop_reserved`` leaves out data columns named flag or memo as well."""
+    ``drop_reserved`` leaves out data columns named flag or memo as well;
+    ``ordered`` says that the rows are in order already (``sources.export``)."""
     out = {row_id_col, flag_col, memo_col, *(("flag", "memo") if drop_reserved else ())}
     flags = [(field(flag_col) == x).cast("int").alias(f"{prefix}-{x}") for x in ("safe", "suspicious", "critical")]
     memo = F.coalesce(field(memo_col), F.lit("")).alias(f"{prefix}-memo")
-    return resolved.orderBy(row_id_col).select(*flags, memo, *[field(c) for c in resolved.columns if c not in out])
+    rows = resolved if ordered else resolved.orderBy(row_id_col)
+    return rows.select(*flags, memo, *[field(c) for c in resolved.columns if c not in out])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -147,3 +147,26 @@ def test_line_breaks_in_fields_are_read_by_many_tasks(spark, tmp_path):
 def test_quotes_inside_plain_fields_fall_back(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n5" x,1\n"y\nz",2\n6" w,3\n')
     assert sorted(r["a"] for r in T.read_csv(spark, str(tmp_path / "a.csv")).collect()) == ['5" x', '6" w', "y\nz"]
+
+
+def test_ordered_export_moves_no_rows(spark, tmp_path):
+    from assay.sources import export as X
+
+    data = spark.range(5000).select(F.col("id").alias("__rowid"), F.concat(F.lit("msg,\n"), F.col("id").cast("string")).alias("msg"), (F.col("id") % 7).alias("n"))
+    data.repartitionByRange(6, "__rowid").sortWithinPartitions("__rowid").write.parquet(str(tmp_path / "data"))
+    notes = spark.createDataFrame([(3, "safe", "m"), (4000, "", "x")], A.SCHEMA)
+    rules = R.rules_table(spark, [("critical", "t", "n:3"), ("safe", "from", "from:0")])
+    frame = X.ordered_export(spark, str(tmp_path / "data"), notes, rules)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
+    X.write_export(spark, str(tmp_path / "data"), notes, rules, str(tmp_path / "out"))
+    back = T.read_csv(spark, str(tmp_path / "out/*"), row_id_col="r")
+    rows = back.orderBy("r").collect()
+    assert [r["msg"] for r in rows] == [f"msg,\n{i}" for i in range(5000)] and back.columns[1:] == ["triage-safe", "triage-suspicious", "triage-critical", "triage-memo", "msg", "n"]
+    assert [i for i, r in enumerate(rows) if r["triage-critical"]] == [i for i in range(3, 5000, 7) if i not in (3, 4000)]
+    assert rows[3]["triage-memo"] == "m [t]" and rows[3]["triage-safe"] == 1
+    # ids that are not stored in runs are sorted
+    spark.read.parquet(str(tmp_path / "data")).repartition(5).write.parquet(str(tmp_path / "mixed"))
+    X.write_export(spark, str(tmp_path / "mixed"), notes, rules, str(tmp_path / "out2"))
+    again = T.read_csv(spark, str(tmp_path / "out2/*"), row_id_col="r").orderBy("r").collect()
+    assert again == rows
