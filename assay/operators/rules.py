@@ -65,7 +65,8 @@ def matched_rules(df: DataFrame, rules: DataFrame | list[dict], columns: list[st
 def rule_matches(df: DataFrame, rules: DataFrame | list[dict], columns: list[str] | None = None, row_id_col: str = ROW_ID) -> DataFrame:
     """(row id, rule_no, flag, tag): a row for every rule that finds a row."""
     m = with_matching(df, texts_of(df, columns, row_id_col), compiled(rules), "__triage_matches")
-    return m.select(F.col(row_id_col), F.explode("__triage_matches").alias("m")).select(row_id_col, "m.rule_no", "m.flag", "m.tag")
+    # an inner explode would put a filter with all of the matching, written out several times, below itself
+    return m.select(F.col(row_id_col), F.explode_outer("__triage_matches").alias("m")).filter("m is not null").select(row_id_col, "m.rule_no", "m.flag", "m.tag")
 
 
 def _tokens(matches: Column) -> Column:

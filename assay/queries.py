@@ -635,3 +635,13 @@ def a13(s, d):
     x, path = _table(s, d, "supplier"), scratch_path(s, "profile")
     profile.column_profile(x.drop("s_acctbal"), "s_suppkey").write.parquet(path)
     return profile.load_profile(x, s.read.parquet(path), "s_suppkey")
+
+
+@query("a13_kept_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", greatest({len(c)}, max(length({t})))::BIGINT AS max_chars FROM orders" for c, t in (("o_custkey", "o_custkey::VARCHAR"), ("o_orderstatus", "o_orderstatus"), ("o_totalprice", "o_totalprice::VARCHAR"), ("o_orderpriority", "o_orderpriority"))))
+def a13_kept(s, d):
+    """A dataset that grows: the second profile reads the files that came after the first one."""
+    o, path = _table(s, d, "orders").drop("o_orderdate"), scratch_path(s, "grows")
+    o.filter("o_orderkey % 3 > 0").write.parquet(f"{path}/data")
+    profile.kept_profile(s, f"{path}/data", f"{path}/profile", "o_orderkey")
+    o.filter("o_orderkey % 3 = 0").write.mode("append").parquet(f"{path}/data")
+    return profile.kept_profile(s, f"{path}/data", f"{path}/profile", "o_orderkey")[0]

@@ -170,3 +170,20 @@ def test_ordered_export_moves_no_rows(spark, tmp_path):
     X.write_export(spark, str(tmp_path / "mixed"), notes, rules, str(tmp_path / "out2"))
     again = T.read_csv(spark, str(tmp_path / "out2/*"), row_id_col="r").orderBy("r").collect()
     assert again == rows
+
+
+def test_profiles_read_new_files_only(spark, tmp_path):
+    data, store = str(tmp_path / "data"), str(tmp_path / "store")
+    made = lambda rows: spark.createDataFrame(rows, "__rowid long, a string, b double").coalesce(1)
+    made([(0, "x" * 9, 1.0), (1, None, 22.5)]).write.parquet(data)
+    got, read = P.kept_profile(spark, data, store)
+    assert {tuple(r) for r in got.collect()} == {("a", 9), ("b", 4)} and len(read) == 1
+    got, read = P.kept_profile(spark, data, store)
+    assert {tuple(r) for r in got.collect()} == {("a", 9), ("b", 4)} and read == []
+    made([(2, "y" * 12, 123456.5)]).write.mode("append").parquet(data)
+    got, read = P.kept_profile(spark, data, store)
+    assert {tuple(r) for r in got.collect()} == {("a", 12), ("b", 8)} and len(read) == 1
+    # all files are others now
+    made([(2, "z", 1.5)]).write.mode("overwrite").parquet(data)
+    got, read = P.kept_profile(spark, data, store)
+    assert {tuple(r) for r in got.collect()} == {("a", 1), ("b", 3)} and len(read) == 1
