@@ -24,7 +24,7 @@ def column_profile(df: DataFrame, row_id_col: str = ROW_ID) -> DataFrame:
 _FILES = "file string, modified timestamp, column string, max_chars long"
 
 
-def _same_path(c: Column) -> Column:
+def same_path(c: Column) -> Column:
     """Paths without the number of slashes after the scheme, which sources write differently."""
     return F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
 
@@ -32,7 +32,7 @@ def _same_path(c: Column) -> Column:
 def dataset_files(spark: SparkSession, dataset: str) -> DataFrame:
     """file, path, modified: the files of a stored dataset; nothing in them is read."""
     listed = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", recursiveFileLookup="true").load(dataset)
-    return listed.select(_same_path(F.col("path")).alias("file"), "path", F.col("modificationTime").alias("modified"))
+    return listed.select(same_path(F.col("path")).alias("file"), "path", F.col("modificationTime").alias("modified"))
 
 
 def file_profiles(spark: SparkSession, paths: list[str], row_id_col: str = ROW_ID) -> DataFrame:
@@ -40,7 +40,7 @@ def file_profiles(spark: SparkSession, paths: list[str], row_id_col: str = ROW_I
     df = spark.read.parquet(*paths)
     names = data_columns(df, row_id_col)
     longest = [F.coalesce(F.max(display_length(field(c), df.schema[c].dataType)), F.lit(0)).cast("long").alias(str(i)) for i, c in enumerate(names)]
-    by_file = df.groupBy(_same_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_modification_time").alias("modified")).agg(*longest)
+    by_file = df.groupBy(same_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_modification_time").alias("modified")).agg(*longest)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.greatest(F.col(f"`{i}`"), F.lit(len(c))).alias("max_chars")) for i, c in enumerate(names)])
     return by_file.select("file", "modified", F.explode(pairs).alias("p")).select("file", "modified", "p.column", "p.max_chars")
 

@@ -17,7 +17,7 @@ from .operators import annotations as an
 from .operators import profile, rules, search, summary, view
 from .sources import annotations as src_annotations
 from .sources import rules as src_rules
-from .sources import export, tables
+from .sources import export, searchable, tables
 from .sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,14 @@ _search("c10_empty_negated", "events", "event_id", "-event_type: error", f"conta
 _search("c11_column_subset", "part", "p_partkey", '"economy small ring"|p_brand:17', "contains(lower(p_type) || ' ' || lower(p_name), 'economy small ring') OR contains(lower(p_brand), '17')", ["p_type", "nowhere", "p_name"])
 
 
+@query("c2_stored_text", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'token =') OR (contains(lower(text), 'idiot') AND NOT contains(lower(text), 'der') AND contains(source, '1'))")
+def c2_stored(s, d):
+    """A dataset with stored row text in many files; rare terms open few of them."""
+    path = scratch_path(s, "searchable")
+    searchable.write_searchable(_table(s, d, "documents").select("doc_id", "text", "source").repartitionByRange(20, "doc_id"), path, row_id_col="doc_id")
+    return searchable.search_stored(s, path, '"token ="|idiot -der source:1', row_id_col="doc_id").select("doc_id", "source")
+
+
 @query("c12_flag_filter", f"{_VIEW} SELECT event_id, flag FROM v WHERE flag IN ('suspicious', 'critical')")
 def c12(s, d):
     e = _events(s, d)

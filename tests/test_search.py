@@ -162,3 +162,24 @@ def test_rules_compile_whatever_their_number(spark, logs):
         plan = R.rule_matches(logs, rules)._jdf.queryExecution().optimizedPlan()
         sizes[n] = plan.treeString().count("regexp_extract_all")
     assert sizes[10] == sizes[2000]
+
+
+def test_stored_text_skips_files(spark, tmp_path):
+    from assay.sources import searchable as X
+
+    rows = [(i, f"Word{i // 50} common é{i % 3} 🙂x", f"c{i % 5}", i * 1.5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "__rowid long, a string, b string, v double")
+    path = str(tmp_path / "set")
+    X.write_searchable(df.repartitionByRange(20, "__rowid"), path)
+    every = len(X.files_to_read(spark, path, ""))
+    assert every >= 20
+    for query, most in (("word7", 3), ("word7|word13", 5), ("word3 é1", 3), ("a:word19", 2), ("-word7", every), ("nowhere here", 0), ("common", every), ('"é2 🙂x c1"', every), ("ab|word1", every), ("word4 -common", 3)):
+        want = ids(S.search_filter(df, query))
+        assert ids(X.search_stored(spark, path, query)) == want, query
+        read = len(X.files_to_read(spark, path, query))
+        assert read <= most and (read > 0 or not want), query
+    # files that the index does not know are read
+    S.with_row_text(spark.createDataFrame([(5000, "late word7", "c", 0.5)], df.schema)).write.mode("append").parquet(f"{path}/data")
+    assert ids(X.search_stored(spark, path, "late word7")) == [5000]
+    assert len(X.index_files(spark, path)) >= 1 and len(X.index_files(spark, path)) <= 1  # a file without rows stays unknown
+    assert ids(X.search_stored(spark, path, "late")) == [5000]
