@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import flags as fl
 from .functions import text as tx
 from .operators import annotations as an
-from .operators import profile, rules, search, summary, view
+from .operators import profile, recount, rules, search, summary, view
 from .sources import annotations as src_annotations
 from .sources import rules as src_rules
 from .sources import export, searchable, tables
@@ -323,6 +323,21 @@ def f5(s, d):
     return rules.rule_applied_records(e, _annotations(e), _rules(s), row_id_col="event_id")
 
 
+@query(
+    "f5_recount_after_edits",
+    f"{_RESOLVE}, {_EDITS}, after AS (SELECT row_id, flag FROM an WHERE row_id NOT IN (SELECT row_id FROM ed) UNION ALL SELECT row_id, x.flag FROM ed),"
+    f" flagged AS (SELECT row_id FROM after WHERE {_NORM} <> '') SELECT count(*) FILTER (uflag = '') AS before, count(*) FILTER (event_id NOT IN (SELECT row_id FROM flagged)) AS after FROM r WHERE len(m) > 0",
+)
+def f5_recount(s, d):
+    """Counts before and after edits from stored hits: the data are matched once."""
+    e, store = _events(s, d), scratch_path(s, "hits")
+    notes, edits = _annotations(e), _edits(e)
+    recount.keep_hits(e, _rules(s), store, "event_id")
+    before = recount.kept_count(s, _rules(s), notes, store).select(F.col("ioc_applied_records").alias("before"))
+    change = recount.count_change(s, _rules(s), notes, edits, store)
+    return view.one_row(before, change).select("before", (F.col("before") + F.col("change")).alias("after"))
+
+
 @query(
     "f6_column_profile",
     " UNION ALL ".join(f"SELECT '{c}' AS \"column\", greatest({len(c)}, max(length({t})))::BIGINT AS max_chars FROM customer" for c, t in (("c_name", "c_name"), ("c_nationkey", "c_nationkey::VARCHAR"), ("c_acctbal", "c_acctbal::VARCHAR"), ("c_mktsegment", "c_mktsegment"))),

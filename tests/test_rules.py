@@ -154,3 +154,27 @@ def test_far_pages_by_order_statistics(spark):
             for ranges in (1, 9):
                 got = [(r["pos"], r["__rowid"], r["v"]) for r in V.page_at(df, key, way, offset, limit, ranges=ranges).orderBy("pos").collect()]
                 assert got == [(r["pos"], r["__rowid"], r["v"]) for r in V.page(df, key, way, offset, limit).orderBy("pos").collect()]
+
+
+def test_counts_are_kept_up_to_date(spark, tmp_path):
+    from assay.operators import recount as C
+
+    words = ["error", "low", "none", "view", "error low"]
+    df = spark.createDataFrame([(i, words[i * 7 % 5], i % 11) for i in range(20_000)], "__rowid long, msg string, n int").repartitionByRange(8, "__rowid")
+    notes = spark.createDataFrame([(i, ["safe", "", "bogus", "?"][i % 4], "m") for i in range(0, 20_000, 9)], A.SCHEMA)
+    store, n = str(tmp_path / "store"), lambda x: x.first()[0]
+    rules = [("safe", "l", "low n:3"), ("critical", "e", "error -n:1"), ("safe", "z", " | ")]
+    table = R.rules_table(spark, rules)
+    assert len(C.keep_hits(df, table, store)) == 2
+    assert n(C.kept_count(spark, table, notes, store)) == n(R.rule_applied_records(df, notes, table))
+    edits = spark.createDataFrame([(i * 37 % 20_000, ["critical", "", " ", "odd"][i % 4], None, i) for i in range(100)] + [(37, "", None, 1000), (10**9, "safe", None, 1)], A.SCHEMA + ", seq long")
+    after = A.apply_edits(notes, edits)
+    full = n(R.rule_applied_records(df, after, table))
+    assert n(C.kept_count(spark, table, notes, store)) + n(C.count_change(spark, table, notes, edits, store)) == full
+    plan = C.count_change(spark, table, notes, edits, store)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(row_id" in plan
+    # one rule goes, one is new, one has another tag: only the new one is matched
+    changed = R.rules_table(spark, [("safe", "other", "low n:3"), ("safe", "v", "view|none n:10")])
+    assert len(C.keep_hits(df, changed, store)) == 1 and C.keep_hits(df, changed, store) == []
+    assert n(C.kept_count(spark, changed, after, store)) == n(R.rule_applied_records(df, after, changed))
+    assert n(C.kept_count(spark, R.rules_table(spark, rules[2:]), after, store)) == 0
