@@ -233,36 +233,54 @@ def _among(key: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 
 def _count(width: int):
-    """Pieces and windows of each key of popular minimizers in a slice."""
+    """Of each text its keys of popular minimizers, with their pieces and windows."""
 
     def run(batches):
         for batch in batches:
-            for _, _, _, (key, _, n, _, flag) in _pieces(batch, width):
+            for lo, _, off, (key, _, n, owner, flag) in _pieces(batch, width):
                 pick = flag & POPULAR > 0
-                key, same, pieces = np.unique(key[pick], return_inverse=True, return_counts=True)
-                windows = np.bincount(same, n[pick], len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pieces.astype(np.int64)), pa.array(windows)], names=["key", "pieces", "windows"])
+                key, n, owner = key[pick], n[pick], owner[pick]
+                order = np.lexsort((key, owner))
+                key, n, owner = key[order], n[order], owner[order]
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
+                at = pa.array(owner[first])
+                windows = np.add.reduceat(n, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+                pieces = np.diff(np.append(first, len(key)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(key[first].view(np.int64)), pa.array(pieces.astype(np.int64)), pa.array(windows)],
+                    names=["doc_id", "tid", "key", "pieces", "windows"],
+                )
 
     return run
 
 
-def hot_keys(open_: DataFrame, width: int, most: int) -> tuple[np.ndarray, int]:
-    """The keys with more than ``most`` pieces, counted exactly, and the number of their windows.
+def hot_keys(open_: DataFrame, width: int, most: int) -> tuple[DataFrame, int]:
+    """(doc_id, tid, hot: the keys of each text that have more than ``most`` pieces, counted exactly), and the number of their windows.
+
+    All pieces of a key have one minimizer, so only popular minimizers are
+    looked at.  Hot keys grow with the data, so they stay a table: a text gets
+    its own, by a join, and only a number comes to the driver."""
+    of_text = materialize(open_.filter("popular > 0").mapInArrow(_count(width), "doc_id long, tid long, key long, pieces long, windows long"), "popular-keys")
+    over = of_text.groupBy("key").agg(F.sum("pieces").alias("all_pieces"), F.sum("windows").alias("all_windows")).filter(F.col("all_pieces") > most)
+    over = materialize(over, "hot-keys")
+    windows = over.agg(F.coalesce(F.sum("all_windows"), F.lit(0))).first()[0]
+    return of_text.join(over, "key", "left_semi").groupBy("doc_id", "tid").agg(F.collect_set("key").alias("hot")), int(windows)
+
 
-    All pieces of a key have one minimizer, so only popular minimizers are looked at."""
-    counts = open_.filter("popular > 0").mapInArrow(_count(width), "key long, pieces long, windows long").groupBy("key")
-    got = counts.agg(F.sum("pieces").alias("pieces"), F.sum("windows").alias("windows")).filter(F.col("pieces") > most).select("key", "windows").toPandas()
-    return np.sort(got["key"].to_numpy(np.int64).view(np.uint64)), int(got["windows"].sum())
+def _hot_in(batch: pa.RecordBatch, lo: int, off: np.ndarray) -> np.ndarray:
+    """The hot keys of the texts of a slice, sorted: the last column of the batch."""
+    some = batch.column(batch.num_columns - 1).slice(lo, len(off) - 1).flatten()
+    return np.unique(some.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
-def _cut(shards: int, width: int, hot: np.ndarray):
+def _cut(shards: int, width: int):
     """(shard, key, bytes) of each piece whose key is not hot."""
 
     def run(batches):
         for batch in batches:
             ids, tids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, data, off, pieces in _pieces(batch, width):
-                cold = ~_among(pieces[0], hot)
+                cold = ~_among(pieces[0], _hot_in(batch, lo, off))
                 key, first, n, owner, flag = (x[cold] for x in pieces)
                 if not len(key):
                     continue
@@ -335,14 +353,14 @@ DONE, ASKS, KNOWN = 0, 1, 2
 WINDOWS = 1 << 18
 
 
-def _deal_windows(parts: int, width: int, hot: np.ndarray):
+def _deal_windows(parts: int, width: int):
     """The windows of hot keys, each dealt out by a digest of all its bytes: one of each kind in a slice, and runs that are settled there."""
 
     def run(batches):
         for batch in batches:
             ids, tids = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             for lo, data, off, pieces in _pieces(batch, width):
-                pick = _among(pieces[0], hot)
+                pick = _among(pieces[0], _hot_in(batch, lo, off))
                 _, first, n, owner, flag = (x[pick] for x in pieces)
                 if not len(n):
                     continue
@@ -457,18 +475,20 @@ def strip_repeats(docs: DataFrame, width: int = 200, part_bytes: int = 40 << 20,
     n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = partitions_for(total, part_bytes)
     most = shard_bytes // (4 * width)  # pieces of a key: a quarter of a shard
-    hot = hot_minimizers(docs, width, n_docs)
-    dealt = t.select("doc_id", "tid", "text").mapInArrow(_deal(parts, width, hot), _SEG)
+    popular_ones = hot_minimizers(docs, width, n_docs)
+    dealt = t.select("doc_id", "tid", "text").mapInArrow(_deal(parts, width, popular_ones), _SEG)
     judged = dealt.groupBy("part").applyInArrow(_judge(parts, most), _PACKED)
     marks = materialize(judged.groupBy("dest").applyInArrow(_by_document, _OF_DOCUMENT), "marks")
     cost, popular = marks.agg(F.coalesce(F.sum("cost"), F.lit(0)), F.coalesce(F.sum("popular"), F.lit(0))).first()
     shards = partitions_for(cost, shard_bytes)
     key = ["doc_id", "tid"]
-    open_ = t.join(marks.filter("cost > 0").select(*key, "segs", "popular"), key).select("doc_id", "tid", "text", "segs", "popular")
-    keys, windows = hot_keys(open_, width, most) if popular else (np.zeros(0, np.uint64), 0)
-    sorted_ = open_.mapInArrow(_cut(shards, width, keys), _PIECE).groupBy("shard").applyInArrow(_sort_shard(parts, width), _PACKED)
-    if len(keys):
-        dealt = open_.filter("popular > 0").mapInArrow(_deal_windows(partitions_for(windows, 200_000), width, keys), _WINDOW)
+    segs = marks.filter("cost > 0").select(*key, "segs", "popular")
+    hot, windows = hot_keys(t.join(segs, key).select("doc_id", "tid", "text", "segs", "popular"), width, most) if popular else (None, 0)
+    segs = segs.join(hot, key, "left") if windows else segs.withColumn("hot", F.lit(None).cast("array<long>"))
+    open_ = t.join(segs, key).select("doc_id", "tid", "text", "segs", "popular", "hot")
+    sorted_ = open_.mapInArrow(_cut(shards, width), _PIECE).groupBy("shard").applyInArrow(_sort_shard(parts, width), _PACKED)
+    if windows:
+        dealt = open_.filter("hot is not null").mapInArrow(_deal_windows(partitions_for(windows, 200_000), width), _WINDOW)
         sorted_ = sorted_.union(dealt.groupBy("part").applyInArrow(_judge_windows(parts), _PACKED))
     found = materialize(sorted_.groupBy("dest").applyInArrow(_by_document, _OF_DOCUMENT), "runs")
     whole = t.join(marks.select(*key, F.col("segs").alias("marks")), key, "left").join(found.select(*key, F.col("segs").alias("runs")), key, "left")
