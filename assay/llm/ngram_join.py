@@ -38,6 +38,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, local_components, materialize, modest_batches, partitions_for, set_fingerprint, shingle_sets, slices, unused
 
 _HOT_DF = np.uint32(0xFFFFFFFF)
+#: Ranges of n-grams that a slice of texts is dealt to; more of them are dealt out in a second step.
+COARSE = 1024
+#: N-grams that the second step deals out together.
+DEAL_GRAMS = 2_000_000
 
 
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -101,7 +105,9 @@ _BLOCK = "part int, high binary, low binary, owner binary, keys binary, sizes bi
 _NAMES = ["part", "high", "low", "owner", "keys", "sizes"]
 
 
-def _deal(parts: int, size: int, hot: np.ndarray, ambiguous: frozenset[int]):
+def _deal(parts: int, size: int, hot: np.ndarray, ambiguous: frozenset[int], coarse: int):
+    """Blocks of the n-grams of each slice, by which of ``coarse`` ranges their part of ``parts`` is in."""
+
     def run(batches):
         for batch in batches:
             for _, _, data, off in slices(batch):
@@ -125,18 +131,74 @@ def _deal(parts: int, size: int, hot: np.ndarray, ambiguous: frozenset[int]):
                     if is_hot.any():  # these stay with their class: a block for each, without owners
                         for k in np.unique(owner[is_hot]):
                             mine = g[begin[k] : begin[k + 1]][is_hot[begin[k] : begin[k + 1]]]
-                            rows.append((int(key[k].view(np.uint64) % np.uint64(parts)), b"", mine.tobytes(), b"", key[k].tobytes(), n[k].tobytes()))
+                            rows.append((int(key[k].view(np.uint64) % np.uint64(parts)) * coarse // parts, b"", mine.tobytes(), b"", key[k].tobytes(), n[k].tobytes()))
                         g, owner = g[~is_hot], owner[~is_hot]
                 order = np.argsort(g, kind="stable")
                 g, owner = g[order], owner[order]
-                part = ((g >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-                for p in range(parts):
-                    a, b = cuts[p], cuts[p + 1]
-                    if b > a:
-                        rows.append((p, *_packed(g[a:b], owner[a:b], key, n)))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=_NAMES)
+                rows += _by_part(_parts_of(g, parts) * np.int64(coarse) // np.int64(parts), g, owner, key, n)
+                yield _blocks(rows)
+
+    return run
+
+
+def _parts_of(g: np.ndarray, parts: int) -> np.ndarray:
+    return (((g >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_part(part: np.ndarray, g: np.ndarray, owner: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """A block for each part that occurs; n-grams and parts are sorted."""
+    cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    return [(int(part[a]), *_packed(g[a:b], owner[a:b], key, n)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=_NAMES)
+
+
+def _merged(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks with owners as one: keys and sizes of the classes, sorted n-grams and the owner of each."""
+    gs, ks, keys, sizes, base = [], [], [], [], 0
+    for high, low, owner, key, size in blocks:
+        h = np.frombuffer(high, np.uint16)
+        g = np.zeros((len(h), 8), np.uint8)
+        g[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+        gs.append(g.view(np.uint64).ravel() | (h.astype(np.uint64) << np.uint64(48)))
+        ks.append(np.frombuffer(owner, np.uint16 if len(owner) == 2 * len(h) else np.uint32).astype(np.int32) + np.int32(base))
+        keys.append(np.frombuffer(key, np.int64))
+        sizes.append(np.frombuffer(size, np.uint32))
+        base += len(keys[-1])
+    key, at, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    size = np.concatenate(sizes)[at]
+    g = np.concatenate(gs)
+    owner = same.astype(np.int32)[np.concatenate(ks)]
+    del gs, ks, same
+    order = np.argsort(g, kind="stable")
+    return key, size, g[order], owner[order]
+
+
+def _deal_again(parts: int, grams: int):
+    """Blocks of coarse ranges → blocks of parts, made of about ``grams`` n-grams together."""
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            hot = []
+            for row in zip(*[batch.column(i).to_pylist() for i in range(1, len(_NAMES))], strict=True):
+                if not row[2]:  # hot n-grams of one class
+                    hot.append((int(np.frombuffer(row[3], np.uint64)[0] % np.uint64(parts)), *row))
+                    continue
+                held.append(row)
+                count += len(row[0]) // 2
+                if count >= grams:
+                    key, n, g, owner = _merged(held)
+                    yield _blocks(_by_part(_parts_of(g, parts), g, owner, key, n))
+                    held, count = [], 0
+            if hot:
+                yield _blocks(hot)
+        if held:
+            key, n, g, owner = _merged(held)
+            yield _blocks(_by_part(_parts_of(g, parts), g, owner, key, n))
 
     return run
 
@@ -148,30 +210,17 @@ def _gather(dests: int):
     """Blocks of one range of n-grams → the n-grams of more than one class, packed for ``dests`` groups of classes."""
 
     def run(table: pa.Table) -> pa.Table:
-        gs, ks, keys, sizes, base = [], [], [], [], 0
+        some: list[tuple] = []
         own: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # (key, n, n-gram, frequency) of each entry
-        for high, low, owner, key, size in zip(*[table.column(c).to_pylist() for c in _NAMES[1:]], strict=True):
-            k, n = np.frombuffer(key, np.int64), np.frombuffer(size, np.uint32)
-            if not owner:  # hot n-grams of one class
-                g = np.frombuffer(low, np.uint64)
-                own.append((np.full(len(g), k[0]), np.full(len(g), n[0]), g, np.full(len(g), _HOT_DF)))
+        for block in zip(*[table.column(c).to_pylist() for c in _NAMES[1:]], strict=True):
+            if block[2]:
+                some.append(block)
                 continue
-            h = np.frombuffer(high, np.uint16)
-            g = np.zeros((len(h), 8), np.uint8)
-            g[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-            gs.append(g.view(np.uint64).ravel() | (h.astype(np.uint64) << np.uint64(48)))
-            ks.append(np.frombuffer(owner, np.uint16 if len(owner) == 2 * len(h) else np.uint32).astype(np.int32) + np.int32(base))
-            keys.append(k)
-            sizes.append(n)
-            base += len(k)
-        if gs:
-            key, at, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            size = np.concatenate(sizes)[at]
-            g = np.concatenate(gs)
-            owner = same.astype(np.int32)[np.concatenate(ks)]
-            del gs, ks, same
-            order = np.argsort(g, kind="stable")
-            g, owner = g[order], owner[order]
+            g, k, n = np.frombuffer(block[1], np.uint64), np.frombuffer(block[3], np.int64), np.frombuffer(block[4], np.uint32)  # hot n-grams of one class
+            own.append((np.full(len(g), k[0]), np.full(len(g), n[0]), g, np.full(len(g), _HOT_DF)))
+        if some:
+            key, size, g, owner = _merged(some)
+            del some
             new = np.concatenate([[True], g[1:] != g[:-1]])
             alone = new & np.concatenate([new[1:], [True]])
             g, owner = g[~alone], owner[~alone]
@@ -205,8 +254,17 @@ def _gather(dests: int):
 
 
 def shared_grams(docs: DataFrame, parts: int, size: int, hot: np.ndarray, ambiguous: frozenset[int]) -> DataFrame:
-    """N-grams that classes share with others, from each range of n-grams, packed by groups of classes."""
-    blocks = docs.select("text").mapInArrow(_deal(parts, size, hot, ambiguous), _BLOCK)
+    """N-grams that classes share with others, from each range of n-grams, packed by groups of classes.
+
+    A slice of texts is dealt to at most ``COARSE`` ranges, so that its blocks
+    stay long however many parts there are.  With more parts the blocks of one
+    range meet in a few tasks, which deal them to the range's parts, many
+    slices together."""
+    coarse = min(parts, COARSE)
+    blocks = docs.select("text").mapInArrow(_deal(parts, size, hot, ambiguous, coarse), _BLOCK)
+    if parts > coarse:
+        spread = -(-parts // (4 * coarse))  # tasks a range: about four parts' n-grams each
+        blocks = blocks.repartition(coarse * spread, "part", F.pmod(F.xxhash64("low"), F.lit(spread))).mapInArrow(_deal_again(parts, DEAL_GRAMS), _BLOCK)
     return blocks.groupBy("part").applyInArrow(_gather(parts), _SHARED)
 
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import same
 from pyspark.sql import functions as F
@@ -73,6 +74,33 @@ def test_ngram_join_hot_grams(spark, monkeypatch):
     assert sorted(tuple(r) for r in ngram_join.ngram_components(df, tile=8).collect()) == brute_components(texts(df))
 
 
+def test_ngram_join_deals_twice(spark, monkeypatch):
+    """More parts than a slice is dealt to: the second step gives the same rows, with and without hot n-grams."""
+    df = near_copies(spark)
+    want = brute_components(texts(df))
+    monkeypatch.setattr(ngram_join, "COARSE", 3)
+    monkeypatch.setattr(ngram_join, "DEAL_GRAMS", 500)
+    assert sorted(tuple(r) for r in ngram_join.ngram_components(df, part_grams=200).collect()) == want
+    every = np.concatenate([shingle_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for _, t in texts(df)])
+    g, c = np.unique(every, return_counts=True)
+    monkeypatch.setattr(ngram_join, "hot_grams", lambda *a, **k: g[c > 5])
+    assert sorted(tuple(r) for r in ngram_join.ngram_components(df, part_grams=200).collect()) == want
+
+
+def test_blocks_of_a_slice_do_not_grow_with_the_parts():
+    rng = random.Random(4)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(2_000)] for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(w) for w in words]})
+    none = np.zeros(0, np.uint64)
+    few, many = (list(ngram_join._deal(parts, 5, none, frozenset(), ngram_join.COARSE)(iter([batch]))) for parts in (ngram_join.COARSE, 1_000_000))
+    assert sum(b.num_rows for b in many) <= ngram_join.COARSE
+    assert sum(b.nbytes for b in many) < 1.1 * sum(b.nbytes for b in few)
+    again = list(ngram_join._deal_again(1_000_000, 1 << 20)(iter(many)))
+    parts = [p for b in again for p in b.column(0).to_pylist()]
+    grams = [len(x) // 2 for b in again for x in b.column(1).to_pylist()]
+    assert sum(grams) == 60 * 1_996 and len(set(parts)) > 100_000
+
+
 @pytest.mark.parametrize("module,name", [(ngram_join, "op1"), (mixing, "op3"), (substring_dedup, "op4"), (exact_dedup, "op5")])
 def test_against_sql(spark, sf, duck, module, name):
     same(getattr(module, name)(spark, sf), duck.execute(getattr(module, name.upper() + "_SQL")))
