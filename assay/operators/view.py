@@ -134,8 +134,9 @@ def query_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """(page, totals) of a searched, resolved, filtered and sorted table; the page has row records (``records``) with their ``pos``.
 
-    One plan: the search runs before flags are resolved, rules run once, and
-    their matches go with the rows into the top-k."""
+    The search runs before flags are resolved, and rule matches go with the rows
+    into the top-k.  Both frames are lazy, so each that is used scans the table;
+    ``query_page`` gets both in one pass."""
     kept = flag_filter(_resolved_rows(df, annotations, rules, query, columns, row_id_col), flag, "__flag")
     shown = page(kept, key, descending, offset, limit, row_id_col)
     data = F.struct(*[field(c) for c in data_columns(df, row_id_col)]).alias("data")

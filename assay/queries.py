@@ -432,6 +432,21 @@ def flagship(s, d):
     return got.select(F.col("row_index").alias("event_id"), "data.event_type", "data.user_id", "flag", "memo", "pos")
 
 
+@query(
+    "g5_page_with_totals",
+    f"{_VIEW}, hits AS (SELECT v.event_id, user_id, flag FROM v JOIN events USING (event_id)"
+    " WHERE contains(event_type, 'error') OR contains(event_type, 'signup') OR contains(user_id::VARCHAR, '12')),"
+    " p AS (SELECT event_id, flag, row_number() OVER (ORDER BY user_id DESC, event_id)::INT AS pos FROM hits)"
+    " SELECT event_id, flag, pos, (SELECT count(*) FROM events) AS total_rows, (SELECT count(*) FROM hits) AS total_filtered_rows,"
+    " (SELECT count(*) FROM hits WHERE flag <> '') AS total_flagged FROM p WHERE pos > 100 AND pos <= 350",
+)
+def g5_totals(s, d):
+    e = _events(s, d)
+    rows, seen = view.query_page(e, _annotations(e), _rules(s), "event_type:error|signup|user_id:12", None, None, "user_id", True, 100, row_id_col="event_id")
+    got = s.createDataFrame([(r["row_index"], r["flag"], r["pos"]) for r in rows], "event_id long, flag string, pos int")  # one page
+    return got.select("*", *[F.lit(seen[c]).cast("long").alias(c) for c in ("total_rows", "total_filtered_rows", "total_flagged")])
+
+
 # -- columns and functions ------------------------------------------------------------------------
 
 
