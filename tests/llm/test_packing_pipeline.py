@@ -148,5 +148,5 @@ def test_registered_queries(spark, sf):
     import __spark_entry__ as e
 
     got = e.queries()
-    assert {k.split("_")[0] for k in got if k.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in got
+    assert {k.split("_")[0] for k in got if k.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in got
     assert "pipeline" not in e.oracle_sql()
