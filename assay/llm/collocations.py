@@ -45,6 +45,8 @@ LEAST = 30
 SHARDS = 3
 SLOT_BITS = 22
 NEVER = 255
+#: As many as Spark allows a table.
+MOST_BUCKETS = 100_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -138,30 +140,41 @@ def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bi
 
     The state holds the phrases that are not through their cycle and those that
     are and came often enough; it is written anew each round, in turn to two
-    folders, so that two of them stand at a time."""
+    tables, so that two of them stand at a time.  They are bucketed by
+    phrase, into as many buckets as a shuffle has partitions: what a shard holds
+    moves to its buckets once, and the state is added to it where it stands."""
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang"), F.lit("und"))
     numbered = docs.filter(F.length("text") > 0).select(lang.alias("lang"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(cycle)).cast("int").alias("shard"))
-    folder = f"{shared_dir(spark)}/tables/collocations-{uuid.uuid4().hex}"
+    run = uuid.uuid4().hex
+    folder = f"{shared_dir(spark)}/tables/collocations-{run}"
     numbered.write.partitionBy("shard").parquet(f"{folder}/texts")
     stored = spark.read.schema(numbered.schema).parquet(f"{folder}/texts")
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
     reached = np.full((2, 1 << bits), NEVER, np.uint8)
     state, now, last = None, 0, cycle - 1
-    while now <= last:
-        rows = shard_counts(stored.filter(F.col("shard") == now % cycle), reached.copy(), now, cycle).withColumn("before", F.lit(0).cast("long"))
-        if state is not None:
-            rows = rows.unionByName(state.select("k", "h", "start", "n", F.col("n").alias("before")))
-        over = F.col("start") + cycle - 1 <= now
-        sums = rows.groupBy("k", "h", "start").agg(F.sum("n").alias("n"), F.sum("before").alias("before")).withColumn("over", over).filter(~F.col("over") | (F.col("n") >= least))
-        path = f"{folder}/state-{now % 2}"
-        sums.write.mode("overwrite").parquet(path)
-        state = spark.read.schema("k int, h long, start int, n long, before long, over boolean").parquet(path)
-        slots = _slots(state.filter((F.col("k") < LONGEST) & (F.col("n") >= least) & (F.col("before") < least)), bits)
-        for table, some in zip(reached, slots, strict=True):
-            table[some[table[some] == NEVER]] = now
-        last = max(last, now + cycle if len(slots[0]) else 0)  # what starts in the next round needs all shards
-        now += 1
-    return state.select("k", "h", "n"), stored
+    try:
+        while now <= last:
+            added = shard_counts(stored.filter(F.col("shard") == now % cycle), reached.copy(), now, cycle)
+            sums = added.groupBy("h", "k", "start").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("long"))
+            if state is not None:
+                both = sums.unionByName(state.select("h", "k", "start", "n", F.col("n").alias("before")))
+                sums = both.groupBy("h", "k", "start").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+            over = F.col("start") + cycle - 1 <= now
+            table = f"collocations_{run}_{now % 2}"
+            kept = sums.withColumn("over", over).filter(~F.col("over") | (F.col("n") >= least))
+            kept.write.mode("overwrite").bucketBy(buckets, "h", "k", "start").option("path", f"{folder}/state-{now % 2}").saveAsTable(table)
+            state = spark.table(table)
+            slots = _slots(state.filter((F.col("k") < LONGEST) & (F.col("n") >= least) & (F.col("before") < least)), bits)
+            for marks, some in zip(reached, slots, strict=True):
+                marks[some[marks[some] == NEVER]] = now
+            last = max(last, now + cycle if len(slots[0]) else 0)  # what starts in the next round needs all shards
+            now += 1
+        done = spark.read.schema(state.schema).parquet(f"{folder}/state-{(now - 1) % 2}")
+    finally:  # the files stay, they are read from their folder
+        for turn in (0, 1):
+            spark.sql(f"DROP TABLE IF EXISTS collocations_{run}_{turn}")
+    return done.select("k", "h", "n"), stored
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
