@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix, modest_batches, prefix_hash, range_hash, shared_dir, slices
+from .common import U64, materialize, mix, modest_batches, partitions_for, prefix_hash, range_hash, shared_dir, slices
 
 LONGEST = 4
 LEAST = 30
 SHARDS = 3
 SLOT_BITS = 22
 NEVER = 255
+#: Bytes of stored texts that one task counts: phrases are summed up in a task before they move, the better the more it reads.
+TASK_BYTES = 32 << 20
 #: As many as Spark allows a table.
 MOST_BUCKETS = 100_000
 
@@ -135,6 +137,13 @@ def _slots(rows: DataFrame, bits: int) -> list[np.ndarray]:
     return [slots[slots < 1 << bits], slots[slots >= 1 << bits] - (1 << bits)]
 
 
+def _tasks(texts: DataFrame, task_bytes: int) -> DataFrame:
+    """Stored texts in tasks of about ``task_bytes``, by the sizes of their files."""
+    files = texts.select("_metadata.file_path", "_metadata.file_size").distinct()
+    size = files.agg(F.sum("file_size")).first()[0] or 0
+    return texts.coalesce(partitions_for(size, task_bytes))
+
+
 def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
     """(k, h, n of the phrases that are found ``least`` times, the stored texts by shard).
 
@@ -155,7 +164,7 @@ def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bi
     state, now, last = None, 0, cycle - 1
     try:
         while now <= last:
-            added = shard_counts(stored.filter(F.col("shard") == now % cycle), reached.copy(), now, cycle)
+            added = shard_counts(_tasks(stored.filter(F.col("shard") == now % cycle), TASK_BYTES), reached.copy(), now, cycle)
             sums = added.groupBy("h", "k", "start").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("long"))
             if state is not None:
                 both = sums.unionByName(state.select("h", "k", "start", "n", F.col("n").alias("before")))
@@ -201,7 +210,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits
                     texts = [b" ".join(raw[x:y].split()) for x, y in zip(a, b, strict=True)]
                     yield _rows([langs[x] for x in row[first].tolist()], [k] * len(u), u.view(np.int64), texts, n.tolist())
 
-    seen = stored.select("lang", "text").mapInArrow(run, "lang string, k int, h long, phrase string, f long")
+    seen = _tasks(stored, TASK_BYTES).select("lang", "text").mapInArrow(run, "lang string, k int, h long, phrase string, f long")
     seen = materialize(seen.groupBy("lang", "k", "h", "phrase").agg(F.sum("f").alias("f")), "collocations-texts")
     words = seen.filter("k = 0").select("lang", F.col("f").alias("n"))
     named = seen.filter("k > 0").join(hashes.withColumnRenamed("n", "counted"), ["k", "h"])
