@@ -209,6 +209,37 @@ def test_recall(spark, sf):
     assert hit >= 0.9 * 20 * len(want)
 
 
+def rows_of(kind, n=3000, d=48):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, d))
+    if kind == "lengths":  # the nearest are long vectors of any list
+        x *= rng.lognormal(0, 1.5, (n, 1))
+    elif kind == "shifted":  # a common direction, and products that differ little
+        x = 10 * x[0] + 0.01 * x
+    elif kind == "tails":
+        x = rng.standard_cauchy((n, d))
+    elif kind == "copies":  # near copies of a few vectors
+        x = x[rng.integers(0, 7, n)] + 1e-3 * x
+    elif kind == "sparse":
+        x *= rng.random((n, d)) < 0.05
+        x[:, 0] += 1e-3
+    elif kind == "opposed":  # queries look away from all other rows
+        x = np.abs(x)
+        x[::20] *= -1
+    return x
+
+
+@pytest.mark.parametrize("kind", ["lengths", "shifted", "tails", "copies", "sparse", "opposed"])
+def test_nearest_of_other_rows(spark, kind):
+    rows = [(i, v.tolist()) for i, v in enumerate(rows_of(kind))]
+    got = by_query(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 20 == 0))
+    want = neighbours(rows)
+    assert set(got) == {q for q, _ in want}
+    lost = {q: [s for s, i in found if i not in {r[2] for r in got[q]}] for q, found in want}
+    found = 1 - sum(map(len, lost.values())) / (20 * len(want))
+    assert found == 1, (kind, found)
+
+
 def test_few_vectors(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(v, F.col("vec_id") % 20 == 0).collect())
