@@ -136,7 +136,7 @@ _search("c11_column_subset", "part", "p_partkey", '"economy small ring"|p_brand:
 def c2_stored(s, d):
     """A dataset with stored row text in many files; rare terms open few of them."""
     path = scratch_path(s, "searchable")
-    searchable.write_searchable(_table(s, d, "documents").select("doc_id", "text", "source").repartitionByRange(20, "doc_id"), path, row_id_col="doc_id")
+    searchable.write_searchable(tables.in_ranges(_table(s, d, "documents").select("doc_id", "text", "source"), "doc_id", 20), path, row_id_col="doc_id")
     return searchable.search_stored(s, path, '"token ="|idiot -der source:1', row_id_col="doc_id").select("doc_id", "source")
 
 
@@ -559,7 +559,7 @@ def a1(s, d):
 def a1_multi_line(s, d):
     """Texts with line breaks, quotes and commas in them, in files that are split wherever it may be."""
     path = scratch_path(s, "texts")
-    tables.write_csv(_table(s, d, "documents").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id"), path)
+    tables.write_csv(tables.in_ranges(_table(s, d, "documents"), "doc_id", 3).sortWithinPartitions("doc_id"), path)
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
     return tables.read_csv(s, path, schema=kinds, row_id_col="row_id")
 
@@ -580,7 +580,7 @@ def a3(s, d):
     path = scratch_path(s, "parts")
     o = _table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 1, F.repeat("o_orderstatus", F.lit(50))).otherwise("").alias("filler"))
     for i in range(3):
-        tables.write_csv(o.filter(F.col("o_orderkey") % 3 == i).repartitionByRange(2, "o_orderkey").sortWithinPartitions("o_orderkey"), f"{path}/{'abc'[i]}")
+        tables.write_csv(tables.in_ranges(o.filter(F.col("o_orderkey") % 3 == i), "o_orderkey", 2).sortWithinPartitions("o_orderkey"), f"{path}/{'abc'[i]}")
     x = tables.with_row_ids(tables.read_csv(s, [f"{path}/{k}" for k in "abc"]))
     return x.select("o_orderkey", F.col("__rowid").alias("row_id"))
 
@@ -650,7 +650,7 @@ def a12(s, d):
 def a12_ordered(s, d):
     """A stored dataset of many files, exported in order without a sort over its rows, and read again."""
     e, path = _events(s, d), scratch_path(s, "export")
-    tables.write_dataset(e.withColumn("id", F.col("event_id")).repartitionByRange(7, "event_id").sortWithinPartitions("event_id"), f"{path}/data")
+    tables.write_dataset(tables.in_ranges(e.withColumn("id", F.col("event_id")), "event_id", 7).sortWithinPartitions("event_id"), f"{path}/data")
     export.write_export(s, f"{path}/data", _annotations(e), _rules(s), f"{path}/out", row_id_col="event_id")
     back = tables.read_csv(s, f"{path}/out/*", row_id_col="at")
     flags = {f"triage-{x}": x for x in ("safe", "suspicious", "critical")}

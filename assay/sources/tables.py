@@ -18,6 +18,20 @@ FLAGS = ("critical", "suspicious", "safe")
 CSV_WRITE = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+#: Bytes of values, about, that one file is to hold: more than a split of a file that is read.
+FILE_BYTES = 256 << 20
+
+
+def in_ranges(df: DataFrame, key: str, least: int = 1) -> DataFrame:
+    """``df`` by ranges of a column, as many as its values need at ``FILE_BYTES`` each, ``least`` at least.
+
+    So no task has to take or write more of a longer table; one pass adds up the lengths of the texts."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    of_row = sum((F.coalesce(F.octet_length(field(c)), F.lit(0)) for c in texts), F.lit(8 * (len(df.columns) - len(texts))).cast("long"))
+    size = df.agg(F.sum(of_row)).first()[0] or 0
+    return df.repartitionByRange(max(least, -(-size // FILE_BYTES)), field(key))
+
+
 def broken_fields(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether a quoted field may go over a line break: some line has an odd number of quotes."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))

@@ -187,3 +187,25 @@ def test_profiles_read_new_files_only(spark, tmp_path):
     made([(2, "z", 1.5)]).write.mode("overwrite").parquet(data)
     got, read = P.kept_profile(spark, data, store)
     assert {tuple(r) for r in got.collect()} == {("a", 1), ("b", 3)} and len(read) == 1
+
+
+def test_files_of_longer_tables_are_more(spark, sf, monkeypatch):
+    """A query that stores a table writes more files of a longer one, not longer files."""
+    from assay import queries as Q
+
+    written = []
+    write = T.write_csv
+    monkeypatch.setattr(T, "FILE_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(T, "write_csv", lambda df, path: (written.append(df.rdd.getNumPartitions()), write(df, path)))
+    rows = Q.a1_multi_line(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert written[0] >= size >> 16 > 3
+    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    assert [tuple(r) for r in rows.select("row_id", "doc_id").orderBy("row_id").collect()] == list(enumerate(sorted(ids)))
+
+
+def test_ranges_of_any_table(spark):
+    odd = spark.createDataFrame([(1, None, "é"), (2, "b", "c")], "id long, `a.b` string, c string")
+    assert T.in_ranges(odd, "id", 2).count() == 2 and T.in_ranges(odd, "a.b").count() == 2
+    assert T.in_ranges(odd.limit(0), "id", 3).count() == 0
