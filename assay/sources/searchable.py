@@ -7,12 +7,18 @@ have all trigrams of all its positive terms; the others are not opened.  Files
 that the index does not know (those without rows too), or knows as they were
 before, are always read, and every row is still tested, so the rows found are
 those of a full search.
+
+Trigrams are three UTF-16 units and are taken with numpy: a pass marks the buckets of each
+batch in an array of ``BUCKETS``, so that what a task hands on does not grow with
+its texts.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +29,11 @@ from ..operators.search import ROW_ID, data_columns, search_filter, with_row_tex
 from ..plans.query import Query, compile_query
 
 BUCKETS = 1 << 16
+#: Bytes of texts that are decoded together, about; UTF-16 units whose trigrams are taken together.
+SLICE_BYTES, SLICE_UNITS = 4 << 20, 1 << 18
 TEXT = "__text"
+#: Folder of the index; another way to make buckets needs another name.
+_FOLDER = "trigrams-utf16"
 _INDEX = "file string, modified timestamp, bucket int"
 
 
@@ -35,22 +45,60 @@ def write_searchable(df: DataFrame, dataset: str, columns: list[str] | None = No
 
 def _index(spark: SparkSession, dataset: str) -> DataFrame:
     try:
-        return spark.read.schema(_INDEX).parquet(f"{dataset}/trigrams")
+        return spark.read.schema(_INDEX).parquet(f"{dataset}/{_FOLDER}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _INDEX)
 
 
+def _buckets(units: np.ndarray) -> np.ndarray:
+    """The bucket of the trigram that starts at each UTF-16 unit but the last two."""
+    u = units.astype(np.uint32)
+    return ((u[:-2] * np.uint32(0x9E3779B1) + u[1:-1] * np.uint32(0x85EBCA6B) + u[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(16)
+
+
+def _units(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, modified, bucket) of (file, modified, text): each bucket once for a file whose rows come one after another.
+
+    Texts are looked at as one, a line each; the trigrams where they meet can only make a file read."""
+
+    def taken(at, has):
+        found = np.append(np.flatnonzero(has), -1)  # -1: the file is in the index
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.string()), pa.array([at[1]] * len(found), pa.int64()), pa.array(found, pa.int32())], names=["file", "modified", "bucket"])
+
+    at, has = None, None
+    for batch in batches:
+        texts, n = batch.column(2), batch.num_rows
+        files, step = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), max(1, SLICE_BYTES * n // max(1, texts.nbytes))
+        starts = [i for i in range(n) if i == 0 or files[i] != files[i - 1]]
+        for a, b in zip(starts, [*starts[1:], n], strict=True):
+            if files[a] != at:
+                if at:
+                    yield taken(at, has)
+                at, has = files[a], np.zeros(BUCKETS, bool)
+            for i in range(a, b, step):
+                # bytes that are no UTF-8 are in no term
+                units = _units(b"\n".join(texts.slice(i, min(step, b - i)).drop_null().to_pylist()).decode(errors="replace"))
+                for j in range(0, len(units), SLICE_UNITS):
+                    has[_buckets(units[j : j + SLICE_UNITS + 2])] = True
+    if at:
+        yield taken(at, has)
+
+
 def index_files(spark: SparkSession, dataset: str) -> list[str]:
     """Adds the trigrams of files that are not in the index yet, and returns these files. One pass over their texts alone."""
     known = _index(spark, dataset).select("file", "modified").distinct()
     new = [r["path"] for r in dataset_files(spark, f"{dataset}/data").join(known, ["file", "modified"], "left_anti").collect()]  # names of files
     if new:
-        grams = F.array_distinct(F.transform(F.regexp_extract_all(TEXT, F.lit("(?s)(?=(...))"), F.lit(1)), lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int")))
-        at = [same_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_modification_time").alias("modified")]
-        rows = spark.read.parquet(*new).select(*at, F.explode(F.concat(grams, F.array(F.lit(-1)))).alias("bucket"))  # -1: the file is in the index
-        rows.distinct().sortWithinPartitions("bucket").write.mode("append").parquet(f"{dataset}/trigrams")
+        at = [same_path(F.col("_metadata.file_path")).alias("file"), F.unix_micros("_metadata.file_modification_time").alias("modified")]
+        rows = spark.read.parquet(*new).select(*at, F.col(TEXT).cast("binary")).mapInArrow(_marked, "file string, modified long, bucket int")
+        rows = rows.withColumn("modified", F.timestamp_micros("modified"))
+        rows.distinct().sortWithinPartitions("bucket").write.mode("append").parquet(f"{dataset}/{_FOLDER}")
     return new
 
 
@@ -59,7 +107,7 @@ def _wanted(query: Query, scoped: bool) -> list[set[int]] | None:
     out = []
     for clause in query.clauses:
         terms = [x.term for x in clause if not x.negated and (x.column is None or scoped)]
-        out.append({zlib.crc32(t[i : i + 3].encode()) % BUCKETS for t in terms for i in range(len(t) - 2)})
+        out.append({int(b) for t in terms for b in _buckets(_units(t))})
     return out if all(out) else None
 
 

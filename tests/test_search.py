@@ -183,3 +183,37 @@ def test_stored_text_skips_files(spark, tmp_path):
     assert ids(X.search_stored(spark, path, "late word7")) == [5000]
     assert len(X.index_files(spark, path)) >= 1 and len(X.index_files(spark, path)) <= 1  # a file without rows stays unknown
     assert ids(X.search_stored(spark, path, "late")) == [5000]
+
+
+def test_index_hands_on_buckets_not_trigrams(spark, tmp_path, monkeypatch):
+    """What is shuffled for the index is bounded by the files, whatever their texts."""
+    from assay.sources import searchable as X
+
+    counted, frame = [], type(spark.range(1))
+    distinct = frame.distinct
+    monkeypatch.setattr(frame, "distinct", lambda df: (counted.append(df.count()), distinct(df))[1])
+    df = spark.range(20000).select(F.col("id").alias("__rowid"), F.concat(F.lit("many trigrams of one text, "), F.col("id").cast("string")).alias("a"))
+    X.write_searchable(df.repartitionByRange(2, "__rowid"), str(tmp_path / "set"))
+    assert max(counted) <= 2 * (X.BUCKETS + 1)
+
+
+def test_stored_text_of_odd_texts(spark, tmp_path, monkeypatch):
+    """Texts longer than a slice, bytes that are no UTF-8, no texts at all, an index from before, and another time zone."""
+    from assay.sources import searchable as X
+
+    monkeypatch.setattr(X, "SLICE_UNITS", 5)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        path = str(tmp_path / "set")
+        rows = [(i, ("x" * i + f"needle{i}e🙂🙂 ") if i % 3 else None) for i in range(60)]
+        df = spark.createDataFrame(rows, "__rowid long, a string")
+        bad = spark.range(100, 101).select(F.col("id").alias("__rowid"), F.unhex(F.lit("80FF")).cast("string").alias("a")).withColumn("a", F.concat("a", F.lit("after bad")))
+        df = df.union(bad)
+        X.write_searchable(df.repartitionByRange(4, "__rowid"), path)
+        (tmp_path / "set" / "trigrams").mkdir()
+        for query in ("needle7e", "needle58e🙂", '"🙂🙂"', '"after bad"', "needle3e", "xxneedle2e"):
+            assert ids(X.search_stored(spark, path, query)) == ids(S.search_filter(df, query)), query
+        assert len(X.files_to_read(spark, path, "needle58e")) == 1 and X.index_files(spark, path) == []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
