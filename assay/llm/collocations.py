@@ -8,18 +8,20 @@ word) have been seen often enough, and stays so for one full cycle, so that each
 shard counts once.  Nothing enumerates candidates: an occurrence is counted if
 its subphrases have reached the threshold, so only phrases that occur are held.
 
-What has reached it stands in two tables of 2^``SLOT_BITS`` bytes, indexed by
-different bits of the hash, with the round of each slot: their size does not
-depend on the data, so they go to every task.  Phrases that share both slots
-with frequent ones only start earlier; they are still counted for one full
-cycle, so counts are exact whatever the slots.  Beyond some ten million
+What has reached it stands in two tables of a byte a slot, indexed by different
+bits of the hash, with the round of each slot: they go to every task and have
+2^``LEAST_BITS`` to 2^``MOST_BITS`` slots, more for more text.  Phrases that share
+both slots with frequent ones only start earlier; they are still counted for one
+full cycle, so counts are exact whatever the slots.  Beyond some fifty million
 frequent phrases the slots fill up and sort out less (more is counted and
 shuffled), which costs time, not results.
 
-Phrases are counted by a 64-bit hash.  One more scan finds the texts of those
-that reached the threshold and counts these few by text, which tells apart
-texts that share a hash.  Scores, best cuts, containment and ranks are joins and
-aggregations over that table.
+Phrases are counted by a 64-bit hash.  A task sorts the hashes it finds and hands
+them on in blocks, one for a range of hashes, which are merged with the blocks of
+the rounds before.  One more scan finds the texts of those that reached the
+threshold; a second hash tells apart texts that share the first.  If there are
+such texts, these few are counted by text in another scan.  Scores, best cuts, containment and ranks are joins and aggregations over
+that table.
 
 Defined results: null and empty texts hold no words; a null language is
 ``und``; repeated rows all count; very long texts are read whole; ties of score
@@ -30,70 +32,146 @@ empty table, or one without a phrase that is frequent enough, gives no rows.
 from __future__ import annotations
 
 import uuid
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix, modest_batches, partitions_for, prefix_hash, range_hash, shared_dir, slices
+from .common import U64, materialize, mix, modest_batches, partitions_for, shared_dir, slices
 
 LONGEST = 4
 LEAST = 30
 SHARDS = 3
-SLOT_BITS = 22
+#: Slots of each table: one for so many bytes of stored texts, between two powers of 2.
+SLOT_BYTES = 128
+LEAST_BITS, MOST_BITS = 22, 25
+#: Slots of the tables of the last scan have a bit and no round: so many for each frequent phrase, up to a power of 2.
+WANTED_SLOTS = 16
+MOST_WANTED_BITS = 27
 NEVER = 255
-#: Bytes of stored texts that one task counts: phrases are summed up in a task before they move, the better the more it reads.
+#: Bytes of stored texts that one task reads: phrases are summed up in a task before they move, the better the more it reads.
 TASK_BYTES = 32 << 20
+#: Bytes of stored texts for each range of hashes that is merged apart.
+PART_BYTES = 16 << 20
+#: Hashes and phrases that a task holds before it hands them on.
+HELD = 4 << 20
+HELD_TEXTS = 1 << 20
+#: Slots of each of two tables of the phrases that a task of the last scan has handed on.
+SEEN_BITS = 20
 #: As many as Spark allows a table.
-MOST_BUCKETS = 100_000
-
-_BREAK = np.zeros(256, bool)
-_BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
-_BLANK = _BREAK.copy()
-_BLANK[[9, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_VALUE = np.random.default_rng(411).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-#: Odd factors, one for each place of a word in a phrase of each length.
-_PLACE = mix(np.arange(1, 33, dtype=np.uint64) * U64(0xD6E8FEB86659FD93)).reshape(4, 8) | U64(1)
-
-
-def phrases(data: np.ndarray, off: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(starts, ends, row of each word, [(first word, hash) of the phrases of each length]) of some texts.
-
-    ``lang`` is a hash of each text's language and part of every phrase's hash."""
-    n = len(data)
-    solid = ~_BLANK[data] if n else np.zeros(0, bool)
-    cut = np.zeros(n + 1, bool)
-    cut[off] = True
-    starts = np.flatnonzero(solid & (cut[:-1] | ~np.concatenate(([False], solid[:-1]))))
-    ends = np.flatnonzero(solid & (cut[1:] | ~np.concatenate((solid[1:], [False])))) + 1
-    row = np.searchsorted(off, starts, "right") - 1
-    piece = np.cumsum(_BREAK[data])[starts] + row if n else row  # grows where a break or a text ends
-    w = range_hash(prefix_hash(_VALUE[data]), starts, ends) if n else np.zeros(0, np.uint64)
-    out = []
+MOST_BUCKETS = 1 << 16
+#: Longer words are hashed one by one.
+CHUNKED = 64
+
+_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+#: 0 for bytes of words, 1 for blanks, 2 for breaks between pieces.
+_KIND = bytes(2 if x in b".,;:!?\n\x0b\x0c\r" else x in b"\t " for x in range(256))
+#: The first bytes of eight.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_FACTOR = U64(0x9E3779B97F4A7C15)
+#: For each of two hashes a seed and odd factors, one for each place of a word in a phrase.
+_SEED = (U64(0xD6E8FEB86659FD93), U64(0xA24BAED4963EE407))
+_PLACE = mix(np.arange(1, 9, dtype=np.uint64) * _SEED[0]).reshape(2, 4) | U64(1)
+_LENGTH = mix(np.arange(1, 6, dtype=np.uint64) * _SEED[1])
+
+_BLOCKS = "part int, k int, start int, h binary, n binary"
+_STATE = _BLOCKS + ", fresh array<long>"
+
+
+def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end and text of each word, whether a piece begins with it) of some texts."""
+    kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
+    solid = np.zeros(len(data) + 2, bool)
+    np.equal(kind, 0, out=solid[1:-1])
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = edges[::2].copy(), edges[1::2].copy()
+    cuts = np.unique(off[solid[off] & solid[off + 1]])  # texts that end and begin with a word
+    if len(cuts):
+        starts, ends = (np.insert(x, np.searchsorted(x, cuts), cuts) for x in (starts, ends))
+    first = np.searchsorted(starts, off)
+    begins = np.zeros(len(starts) + 1, bool)
+    begins[first] = True
+    begins[np.searchsorted(starts, np.flatnonzero(kind == 2))] = True
+    return starts, ends, np.repeat(np.arange(len(off) - 1), np.diff(first)), begins[:-1]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple = _SEED[:1]) -> list[np.ndarray]:
+    """A 64-bit hash of each word for each seed, made of eight bytes at a time."""
+    size = ends - starts
+    eights = sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    chunk = eights[starts].view("<u8")[:, 0] & _MASK[np.minimum(size, 8)]
+    out = [mix(size.astype(np.uint64) * seed + chunk) for seed in seeds]
+    at = np.flatnonzero(size > 8)
+    for i in range(8, CHUNKED, 8):
+        if not len(at):
+            break
+        left = size[at] - i
+        chunk = eights[starts[at] + i].view("<u8")[:, 0] & _MASK[np.minimum(left, 8)]
+        for h in out:
+            h[at] = mix(h[at] * _FACTOR + chunk)
+        at = at[left > 8]
+    for i in at.tolist():
+        word = data[starts[i] : ends[i]].tobytes()
+        for which, h in enumerate(out):
+            h[i] = xxhash.xxh3_64_intdigest(word, which)
+    return out
+
+
+def phrases(w: np.ndarray, lang: np.ndarray, begins: np.ndarray, marks: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """k, first words, hashes, later mark of both subphrases and own mark of the phrases of each length whose subphrases are marked.
+
+    A phrase's own mark is not before its subphrases', so that it is seen from the round after its mark on.  Words have no subphrases and -1 for their mark. ``lang`` is a hash of each
+    word's language and part of every phrase's hash."""
+    at, total, after = np.arange(len(w)), lang + w * _PLACE[0, 0], np.full(len(w), -1, np.int16)
     for k in range(1, LONGEST + 1):
-        m = max(0, len(w) - k + 1)
-        at = np.flatnonzero(piece[:m] == piece[k - 1 : k - 1 + m]) if k > 1 else np.arange(m)
-        h = lang[row[at]] if len(at) else np.zeros(0, np.uint64)
-        for j in range(k):
-            h = h + w[at + j] * _PLACE[k - 1, j]
-        out.append((at, mix(h)))
-    return starts, ends, row, out
+        h = mix(total + _LENGTH[k])
+        own = marks(h)
+        if k > 1:  # slots may be marked by others before the subphrases are
+            own = np.maximum(own, after)
+        yield k, at, h, after, own
+        marked = np.full(len(w) + 1, NEVER, np.uint8)
+        marked[at] = own
+        later = np.maximum(own, marked[at + 1])
+        on = np.flatnonzero(later != NEVER)
+        on = on[~begins[at[on] + 1]]
+        at, after = at[on], later[on]
+        if k == LONGEST or not len(at):
+            return
+        total = total[on] + w[at + k] * _PLACE[0, k]
+
+
+def _marks(tables: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The later mark of both slots of each hash: the highest bits index one table, the lowest the other."""
+    bits = tables.shape[1].bit_length() - 1
 
+    def marks(h: np.ndarray) -> np.ndarray:
+        out = tables[0][(h >> U64(64 - bits)).astype(np.int64)]
+        on = np.flatnonzero(out != NEVER)
+        out[on] = np.maximum(out[on], tables[1][(h[on] & U64((1 << bits) - 1)).astype(np.int64)])
+        return out
+
+    return marks
 
-def _looked_up(tables: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What both tables say of each hash: the highest bits index one, the lowest the other."""
-    bits = tables.shape[1].bit_length() - 1
-    return tables[0][(h >> U64(64 - bits)).astype(np.int64)], tables[1][(h & U64((1 << bits) - 1)).astype(np.int64)]
 
+def _wanted(tables: np.ndarray, bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """0 or ``NEVER`` for each hash, from tables of a bit a slot."""
 
-def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, the place of the first of each and how many there are."""
-    return np.unique(h, return_index=True, return_counts=True)
+    def marks(h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), NEVER, np.uint8)
+        on = np.arange(len(h))
+        for table, slot in zip(tables, (lambda h: h >> U64(64 - bits), lambda h: h & U64((1 << bits) - 1)), strict=True):
+            s = slot(h[on]).astype(np.int64)
+            on = on[(table[s >> 3] << (s & 7).astype(np.uint8)) & 128 != 0]
+        out[on] = 0
+        return out
+
+    return marks
 
 
 def _texts(batch: pa.RecordBatch):
@@ -102,56 +180,138 @@ def _texts(batch: pa.RecordBatch):
     known = {x: xxhash.xxh3_64_intdigest(x.encode()) for x in set(langs)}
     codes = np.array([known[x] for x in langs], np.uint64)
     for lo, hi, data, off in slices(batch):
-        yield langs[lo:hi], _LOWER[data], off, codes[lo:hi]
+        yield langs[lo:hi], np.frombuffer(data.tobytes().translate(_LOWER), np.uint8), off, codes[lo:hi]
+
+
+def _packed(h: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted hashes, their first bytes together and so on, as these compress; their numbers in as few bytes as the largest takes."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8).T).tobytes(), n.astype(np.min_scalar_type(n.max())).tobytes()
 
 
-def shard_counts(shard: DataFrame, reached: np.ndarray, now: int, cycle: int) -> DataFrame:
-    """k, h, start, n: how often the active phrases of all lengths stand in one shard, in round ``now``.
+def _unpacked(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    out = np.ascontiguousarray(np.frombuffer(h, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return out, np.frombuffer(n, f"u{len(n) // len(out)}").astype(np.int64)
+
+
+def _blocks(found: dict[tuple[int, int], list[np.ndarray]], parts: int) -> pa.RecordBatch:
+    """What a task has found, counted: a row for each length, first round and range of hashes."""
+    firsts = np.arange(parts, dtype=np.uint64) * U64((1 << 64) // parts if parts > 1 else 0)
+    rows = []
+    for (k, start), hashes in found.items():
+        u, n = np.unique(np.concatenate(hashes), return_counts=True)
+        edges = [*np.searchsorted(u, firsts).tolist(), len(u)]
+        rows += [(part, k, start, *_packed(u[lo:hi], n[lo:hi])) for part, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "k", "start", "h", "n"])
+
+
+def shard_counts(shard: DataFrame, reached: np.ndarray, now: int, cycle: int, parts: int) -> DataFrame:
+    """Blocks of how often the active phrases of all lengths stand in one shard, in round ``now``.
 
     ``start`` is the round in which a phrase became active: words in the first
     one, longer phrases after both their subphrases had reached the threshold."""
 
     def run(batches):
+        found, held = defaultdict(list), 0
+        marks = _marks(reached)
         for batch in batches:
             for _, data, off, codes in _texts(batch):
-                *_, found = phrases(data, off, codes)
-                first = np.full(len(found[0][0]), -1, np.int64)  # what reached[] says of the phrase one shorter at each word
-                for k, (at, h) in enumerate(found, 1):
-                    start = np.zeros(len(at), np.int64) if k == 1 else np.maximum(first[at], first[at + 1]) + 1
-                    on = (start <= now) & (now < start + cycle)
-                    u, i, n = _counted(h[on])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(start[on][i].astype(np.int32)), pa.array(n.astype(np.int64))], names=["k", "h", "start", "n"]
-                    )
-                    first = np.full(len(first), NEVER, np.int64)
-                    first[at] = np.maximum(*_looked_up(reached, h))
-
-    return shard.select("lang", "text").mapInArrow(run, "k int, h long, start int, n long")
-
-
-def _slots(rows: DataFrame, bits: int) -> list[np.ndarray]:
-    """The slots of some phrases in both tables: 2^bits each at most, so they fit the driver."""
+                starts, ends, row, begins = words(data, off)
+                for k, _, h, after, _ in phrases(*word_hashes(data, starts, ends), codes[row], begins, marks):
+                    for start in range(max(0, now - cycle + 1), now + 1):
+                        some = h[after == start - 1]
+                        if len(some):
+                            found[k, start].append(some)
+                            held += len(some)
+                if held >= HELD:
+                    yield _blocks(found, parts)
+                    found.clear()
+                    held = 0
+        yield _blocks(found, parts)
+
+    return shard.select("lang", "text").mapInArrow(run, _BLOCKS)
+
+
+def _merged(now: int, cycle: int, least: int):
+    """Adds the blocks of a round to the state, range by range.
+
+    ``fresh`` has the hashes that reach the threshold in this round and are not
+    of the greatest length; what is through its cycle without that is left out."""
+
+    def run(added: pa.Table, state: pa.Table) -> pa.Table:
+        cohorts = defaultdict(list)
+        for table in (state.select(added.column_names), added):
+            for row in table.to_pylist():
+                cohorts[row["k"], row["start"]].append((row["part"], *_unpacked(row["h"], row["n"]), table is not added))
+        out = []
+        for (k, start), blocks in cohorts.items():
+            h = np.concatenate([h for _, h, _, _ in blocks])
+            order = np.argsort(h, kind="stable")  # sorted runs
+            h = h[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            n, before = (np.add.reduceat(np.concatenate(x)[order], first) for x in ([n for _, _, n, _ in blocks], [n * old for _, _, n, old in blocks]))
+            h = h[first]
+            fresh = h[(n >= least) & (before < least)] if k < LONGEST else h[:0]
+            if start + cycle - 1 <= now:
+                h, n = h[n >= least], n[n >= least]
+            if len(h):
+                out.append({"part": blocks[0][0], "k": k, "start": start, "fresh": fresh.view(np.int64)} | dict(zip("hn", _packed(h, n), strict=True)))
+        fields = [("part", pa.int32()), ("k", pa.int32()), ("start", pa.int32()), ("h", pa.binary()), ("n", pa.binary()), ("fresh", pa.list_(pa.int64()))]
+        return pa.Table.from_pylist(out, pa.schema(fields))
+
+    return run
+
+
+def _hashes(blocks: DataFrame) -> DataFrame:
+    """k, h, n: a row for each phrase of some blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, n = _unpacked(row["h"], row["n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row["k"], np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["k", "h", "n"])
+
+    return blocks.select("k", "h", "n").mapInArrow(run, "k int, h long, n long")
+
+
+def _slots(rows: DataFrame, bits: int) -> np.ndarray:
+    """The slots of some phrases in both tables, a bit each; they are packed in tasks, so that no more than these bits come to the driver."""
+    width = min(bits, 18)
     high, low = F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND((1 << bits) - 1)
-    both = rows.select(F.explode(F.array(high.cast("int"), (low + (1 << bits)).cast("int"))).alias("slot")).distinct().toArrow()
-    slots = both.column(0).to_numpy()
-    return [slots[slots < 1 << bits], slots[slots >= 1 << bits] - (1 << bits)]
+    both = rows.select(F.explode(F.array(high, low + (1 << bits))).alias("slot"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        slots = table.column("slot").to_numpy()
+        marks = np.zeros(1 << width, bool)
+        marks[slots & ((1 << width) - 1)] = True
+        return pa.table({"region": pa.array([slots[0] >> width], pa.int64()), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    out = np.zeros((2 << bits - width, max(1, (1 << width) // 8)), np.uint8)
+    for region, packed in both.groupBy(F.shiftright("slot", width).alias("region")).applyInArrow(pack, "region long, bits binary").collect():
+        out[region] = np.frombuffer(packed, np.uint8)
+    return out.reshape(2, -1)
 
 
-def _tasks(texts: DataFrame, task_bytes: int) -> DataFrame:
-    """Stored texts in tasks of about ``task_bytes``, by the sizes of their files."""
-    files = texts.select("_metadata.file_path", "_metadata.file_size").distinct()
-    size = files.agg(F.sum("file_size")).first()[0] or 0
-    return texts.coalesce(partitions_for(size, task_bytes))
+def _tasks(texts: DataFrame, size: int) -> DataFrame:
+    """``size`` bytes of stored texts in tasks of about ``TASK_BYTES``."""
+    return texts.coalesce(partitions_for(size, TASK_BYTES))
 
 
-def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
-    """(k, h, n of the phrases that are found ``least`` times, the stored texts by shard).
+def _shard_sizes(stored: DataFrame) -> dict[int, int]:
+    """Bytes of the files of each shard."""
+    files = stored.select("shard", "_metadata.file_path", "_metadata.file_size").distinct()
+    return dict(map(tuple, files.groupBy("shard").agg(F.sum("file_size")).collect()))
 
-    The state holds the phrases that are not through their cycle and those that
-    are and came often enough; it is written anew each round, in turn to two
-    tables, so that two of them stand at a time.  They are bucketed by
-    phrase, into as many buckets as a shuffle has partitions: what a shard holds
-    moves to its buckets once, and the state is added to it where it stands."""
+
+def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(k, h, n of the phrases that are found ``least`` times, the stored texts, their size).
+
+    The state holds blocks of the phrases that are not through their cycle and of
+    those that are and came often enough; it is written anew each round, in turn
+    to two tables, so that two of them stand at a time.  They are bucketed by
+    ranges of hashes: what a shard holds moves to its bucket once, and the state
+    is added to it where it stands."""
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang"), F.lit("und"))
     numbered = docs.filter(F.length("text") > 0).select(lang.alias("lang"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(cycle)).cast("int").alias("shard"))
@@ -159,70 +319,141 @@ def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bi
     folder = f"{shared_dir(spark)}/tables/collocations-{run}"
     numbered.write.partitionBy("shard").parquet(f"{folder}/texts")
     stored = spark.read.schema(numbered.schema).parquet(f"{folder}/texts")
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    sizes = _shard_sizes(stored)
+    size = sum(sizes.values())
+    if bits is None:
+        bits = min(max((size // SLOT_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
+    parts = min(1 << (partitions_for(size, PART_BYTES) - 1).bit_length(), MOST_BUCKETS)
     reached = np.full((2, 1 << bits), NEVER, np.uint8)
-    state, now, last = None, 0, cycle - 1
+    state, now, last = spark.createDataFrame([], _STATE), 0, cycle - 1
     try:
         while now <= last:
-            added = shard_counts(_tasks(stored.filter(F.col("shard") == now % cycle), TASK_BYTES), reached.copy(), now, cycle)
-            sums = added.groupBy("h", "k", "start").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("long"))
-            if state is not None:
-                both = sums.unionByName(state.select("h", "k", "start", "n", F.col("n").alias("before")))
-                sums = both.groupBy("h", "k", "start").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
-            over = F.col("start") + cycle - 1 <= now
+            shard = now % cycle
+            texts = _tasks(stored.filter(F.col("shard") == shard), sizes.get(shard, 0))
+            added = shard_counts(texts, reached.copy(), now, cycle, parts).repartition(parts, "part")
+            kept = added.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(_merged(now, cycle, least), _STATE)
             table = f"collocations_{run}_{now % 2}"
-            kept = sums.withColumn("over", over).filter(~F.col("over") | (F.col("n") >= least))
-            kept.write.mode("overwrite").bucketBy(buckets, "h", "k", "start").option("path", f"{folder}/state-{now % 2}").saveAsTable(table)
+            kept.write.mode("overwrite").bucketBy(parts, "part").option("path", f"{folder}/state-{now % 2}").saveAsTable(table)
             state = spark.table(table)
-            slots = _slots(state.filter((F.col("k") < LONGEST) & (F.col("n") >= least) & (F.col("before") < least)), bits)
-            for marks, some in zip(reached, slots, strict=True):
-                marks[some[marks[some] == NEVER]] = now
-            last = max(last, now + cycle if len(slots[0]) else 0)  # what starts in the next round needs all shards
+            slots = np.unpackbits(_slots(state.select(F.explode("fresh").alias("h")), bits), axis=1, count=1 << bits).view(bool)
+            reached[slots & (reached == NEVER)] = now
+            last = max(last, now + cycle if slots.any() else 0)  # what starts in the next round needs all shards
             now += 1
         done = spark.read.schema(state.schema).parquet(f"{folder}/state-{(now - 1) % 2}")
     finally:  # the files stay, they are read from their folder
         for turn in (0, 1):
             spark.sql(f"DROP TABLE IF EXISTS collocations_{run}_{turn}")
-    return done.select("k", "h", "n"), stored
+    return _hashes(done), stored, size
+
+
+def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of distinct pairs of two hashes and how many there are of each."""
+    order = np.argsort(h)
+    new = np.concatenate((np.ones(min(1, len(h)), bool), h[order[1:]] != h[order[:-1]]))
+    other = np.concatenate((np.zeros(min(1, len(h)), bool), g[order[1:]] != g[order[:-1]]))
+    if (other & ~new).any():
+        order = np.lexsort((g, h))
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(h)))
+
+
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, k: int) -> pa.Array:
+    """The texts of phrases of ``k`` words: words of a phrase are parted by one space."""
+    at = first[:, None] + np.arange(k)
+    size = ends[at] - starts[at]
+    size[:, :-1] += 1
+    off = np.concatenate(([0], np.cumsum(size)))
+    out = data[np.repeat(starts[at].ravel() - off[:-1], size.ravel()) + np.arange(off[-1])]
+    out[off[1:].reshape(-1, k)[:, :-1] - 1] = 32
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(off[::k].copy()), pa.py_buffer(out)).cast(pa.string())
+
+
+class _Seen:
+    """Phrases that a task has handed on, by two hashes: a place in one of two tables, or none where both are taken."""
+
+    def __init__(self, bits: int = SEEN_BITS):
+        self.tables = np.zeros((2, 2, 1 << bits), np.uint64)
+        self.slots = (lambda h: h >> U64(64 - bits), lambda h: h & U64((1 << bits) - 1))
+
+    def missing(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The places of phrases that are not in the tables."""
+        on = np.arange(len(h))
+        for (first, second), slot in zip(self.tables, self.slots, strict=True):
+            s = slot(h[on]).astype(np.int64)
+            on = on[(first[s] != h[on]) | (second[s] != g[on])]
+        return on
+
+    def add(self, h: np.ndarray, g: np.ndarray) -> None:
+        for (first, second), slot in zip(self.tables, self.slots, strict=True):
+            s = slot(h).astype(np.int64)
+            free = (first[s] == 0) & (second[s] == 0)
+            first[s[free]], second[s[free]] = h[free], g[free]
+            rest = (first[s] != h) | (second[s] != g)
+            h, g = h[rest], g[rest]
+
+
+def phrase_texts(stored: DataFrame, tables: np.ndarray, bits: int, counted: bool = False) -> DataFrame:
+    """lang, k, h, phrase, f: the texts of wanted phrases, and the number of all words of a language with 0 for k.
+
+    ``f`` of phrases is 0 unless they are ``counted``; else a task looks at the
+    texts of those only that it has not handed on."""
+    kinds = {"lang": pa.string(), "k": pa.int32(), "h": pa.int64(), "phrase": pa.string(), "f": pa.int64()}
 
+    def run(batches):
+        totals, held, known, marks, seen = Counter(), [], 0, _wanted(tables, bits), _Seen()
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
-    """(lang, k, phrase, f of all phrases of one to four words that are found ``least`` times; lang, n of its words)."""
-    hashes, stored = frequent_hashes(docs, least, cycle, bits)
-    slots = _slots(hashes, bits)
-    wanted = np.zeros((2, 1 << bits), bool)
-    for table, some in zip(wanted, slots, strict=True):
-        table[some] = True
+        def summed():
+            rows = pa.concat_tables(held).group_by(["lang", "k", "h", "phrase"], use_threads=False).aggregate([("f", "sum")])
+            return rows.rename_columns({"f_sum": "f"}).select(list(kinds)).cast(pa.schema(kinds.items()))
 
-    def run(batches):
         for batch in batches:
             for langs, data, off, codes in _texts(batch):
-                starts, ends, row, found = phrases(data, off, codes)
-                raw = data.tobytes()
-                rows = np.bincount(row, minlength=len(langs)).tolist()
-                yield _rows(langs, [0] * len(langs), [0] * len(langs), [b""] * len(langs), rows)
-                for k, (at, h) in enumerate(found, 1):
-                    on = np.logical_and(*_looked_up(wanted, h))
-                    u, i, n = _counted(h[on])
-                    first = at[on][i]
-                    a, b = starts[first].tolist(), ends[first + k - 1].tolist()
-                    # inside a piece words are parted by blanks and tabs only
-                    texts = [b" ".join(raw[x:y].split()) for x, y in zip(a, b, strict=True)]
-                    yield _rows([langs[x] for x in row[first].tolist()], [k] * len(u), u.view(np.int64), texts, n.tolist())
-
-    seen = _tasks(stored, TASK_BYTES).select("lang", "text").mapInArrow(run, "lang string, k int, h long, phrase string, f long")
-    seen = materialize(seen.groupBy("lang", "k", "h", "phrase").agg(F.sum("f").alias("f")), "collocations-texts")
-    words = seen.filter("k = 0").select("lang", F.col("f").alias("n"))
-    named = seen.filter("k > 0").join(hashes.withColumnRenamed("n", "counted"), ["k", "h"])
-    # texts of one hash are told apart by their own counts
-    alone = F.count("*").over(W.partitionBy("k", "h")) == 1
-    table = named.withColumn("f", F.when(alone, F.col("counted")).otherwise(F.col("f"))).filter(F.col("f") >= least).select("lang", "k", "phrase", "f")
-    return materialize(table, "collocations-counts"), words
-
-
-def _rows(langs, k, h, texts, n) -> pa.RecordBatch:
-    arrays = [pa.array(langs, pa.string()), pa.array(k, pa.int32()), pa.array(h, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "k", "h", "phrase", "f"])
+                starts, ends, row, begins = words(data, off)
+                for x, n in zip(langs, np.bincount(row, minlength=len(langs)).tolist(), strict=True):
+                    totals[x] += n
+                w, other = word_hashes(data, starts, ends, _SEED)
+                names = pa.array(langs, pa.string())
+                for k, at, h, _, own in phrases(w, codes[row], begins, marks):
+                    on = np.flatnonzero(own != NEVER)
+                    at, h = at[on], h[on]
+                    g = sum((other[at + j] * _PLACE[1, j] for j in range(k)), np.zeros(len(at), np.uint64))
+                    if not counted:
+                        new = seen.missing(h, g)
+                        at, h, g = at[new], h[new], g[new]
+                    i, n = _distinct(h, g)
+                    seen.add(h[i], g[i])
+                    columns = (names.take(pa.array(row[at[i]])), np.full(len(i), k, np.int32), h[i].view(np.int64), _joined(data, starts, ends, at[i], k), n * counted)
+                    held.append(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)))
+            if sum(map(len, held)) >= max(HELD_TEXTS // 2, 2 * known):
+                held = [summed()]
+                known = len(held[0])
+                if known >= HELD_TEXTS:
+                    yield from held.pop().to_batches()
+                    known = 0
+        if held:
+            yield from summed().to_batches()
+        yield pa.RecordBatch.from_pylist([{"lang": x, "k": 0, "h": 0, "phrase": "", "f": n} for x, n in totals.items()], pa.schema(kinds.items()))
+
+    return stored.select("lang", "text").mapInArrow(run, "lang string, k int, h long, phrase string, f long")
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lang, k, phrase, f of all phrases of one to four words that are found ``least`` times; lang, n of its words)."""
+    hashes, stored, size = frequent_hashes(docs, least, cycle, bits)
+    if bits is None:
+        bits = min(max((WANTED_SLOTS * hashes.count()).bit_length(), LEAST_BITS), MOST_WANTED_BITS)
+    tables = _slots(hashes, bits)
+    for counted in (False, True):  # texts of one hash are told apart by their own counts, which are found only if there are such texts
+        seen = phrase_texts(_tasks(stored, size), tables, bits, counted)
+        seen = materialize(seen.groupBy("lang", "k", "h", "phrase").agg(F.sum("f").alias("f")), "collocations-texts")
+        named = seen.filter("k > 0").join(hashes.withColumnRenamed("n", "counted"), ["k", "h"])
+        alone = F.count("*").over(W.partitionBy("k", "h")) == 1
+        f = F.when(F.col("alone"), F.col("counted")).otherwise(F.col("f"))
+        table = materialize(named.withColumn("alone", alone).select("lang", "k", "phrase", f.alias("f"), "alone"), "collocations-counts")
+        if counted or table.filter(~F.col("alone")).isEmpty():
+            break
+    return table.filter(F.col("f") >= least).select("lang", "k", "phrase", "f"), seen.filter("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def _part(words: str, start, length):
@@ -250,7 +481,7 @@ def contained(table: DataFrame) -> DataFrame:
     return c.select("lang", _part("words", F.col("i"), F.col("n")).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("most"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, first: int = 2000, covered: int = 80, cycle: int = SHARDS, bits: int = SLOT_BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, first: int = 2000, covered: int = 80, cycle: int = SHARDS, bits: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``first`` phrases by score.
 
     Phrases of which a longer one holds ``covered`` percent of the occurrences are left out."""
