@@ -57,11 +57,15 @@ MOST_WANTED_BITS = 27
 NEVER = 255
 #: Bytes of stored texts that one task reads: phrases are summed up in a task before they move, the better the more it reads.
 TASK_BYTES = 32 << 20
+#: The same in the scan that finds texts: each task hands on each frequent phrase that it finds.
+TEXT_TASK_BYTES = 128 << 20
 #: Bytes of stored texts for each range of hashes that is merged apart.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Hashes and phrases that a task holds before it hands them on.
-HELD = 4 << 20
-HELD_TEXTS = 1 << 20
+HELD = 2 << 20
+HELD_TEXTS = 1 << 17
+#: Frequent phrases for each range of hashes whose texts are brought together.
+PART_PHRASES = 1 << 15
 #: Slots of each of two tables of the phrases that a task of the last scan has handed on.
 SEEN_BITS = 20
 #: As many as Spark allows a table.
@@ -293,11 +297,6 @@ def _slots(rows: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(2, -1)
 
 
-def _tasks(texts: DataFrame, size: int) -> DataFrame:
-    """``size`` bytes of stored texts in tasks of about ``TASK_BYTES``."""
-    return texts.coalesce(partitions_for(size, TASK_BYTES))
-
-
 def _shard_sizes(stored: DataFrame) -> dict[int, int]:
     """Bytes of the files of each shard."""
     files = stored.select("shard", "_metadata.file_path", "_metadata.file_size").distinct()
@@ -329,7 +328,7 @@ def frequent_hashes(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bi
     try:
         while now <= last:
             shard = now % cycle
-            texts = _tasks(stored.filter(F.col("shard") == shard), sizes.get(shard, 0))
+            texts = stored.filter(F.col("shard") == shard).coalesce(partitions_for(sizes.get(shard, 0), TASK_BYTES))
             added = shard_counts(texts, reached.copy(), now, cycle, parts).repartition(parts, "part")
             kept = added.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(_merged(now, cycle, least), _STATE)
             table = f"collocations_{run}_{now % 2}"
@@ -393,20 +392,42 @@ class _Seen:
             h, g = h[rest], g[rest]
 
 
-def phrase_texts(stored: DataFrame, tables: np.ndarray, bits: int, counted: bool = False) -> DataFrame:
+_FOUND = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("h", pa.int64()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def _summed(rows: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(rows).group_by(["lang", "k", "h", "phrase"], use_threads=False).aggregate([("f", "sum")])
+    return out.rename_columns({"f_sum": "f"}).select(_FOUND.names).cast(_FOUND)
+
+
+def _dealt(rows: pa.Table, bits: int) -> pa.RecordBatch:
+    """Rows as Arrow blocks, one for each range of hashes, by their highest bits."""
+    part = (rows["h"].to_numpy().view(np.uint64) >> U64(63 - bits) >> U64(1)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    rows, part = rows.take(pa.array(order)), part[order]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    blocks = []
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _FOUND, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_table(rows.slice(lo, hi - lo).combine_chunks())
+        blocks.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+
+def _gathered(blocks: pa.Table) -> pa.Table:
+    return _summed([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blocks["block"]])
+
+
+def phrase_texts(stored: DataFrame, tables: np.ndarray, bits: int, part_bits: int, counted: bool = False) -> DataFrame:
     """lang, k, h, phrase, f: the texts of wanted phrases, and the number of all words of a language with 0 for k.
 
     ``f`` of phrases is 0 unless they are ``counted``; else a task looks at the
-    texts of those only that it has not handed on."""
-    kinds = {"lang": pa.string(), "k": pa.int32(), "h": pa.int64(), "phrase": pa.string(), "f": pa.int64()}
+    texts of those only that it has not handed on.  They are brought together by
+    2^``part_bits`` ranges of hashes."""
 
     def run(batches):
-        totals, held, known, marks, seen = Counter(), [], 0, _wanted(tables, bits), _Seen()
-
-        def summed():
-            rows = pa.concat_tables(held).group_by(["lang", "k", "h", "phrase"], use_threads=False).aggregate([("f", "sum")])
-            return rows.rename_columns({"f_sum": "f"}).select(list(kinds)).cast(pa.schema(kinds.items()))
-
+        totals, held, marks, seen = Counter(), [], _wanted(tables, bits), _Seen()
         for batch in batches:
             for langs, data, off, codes in _texts(batch):
                 starts, ends, row, begins = words(data, off)
@@ -424,29 +445,28 @@ def phrase_texts(stored: DataFrame, tables: np.ndarray, bits: int, counted: bool
                     i, n = _distinct(h, g)
                     seen.add(h[i], g[i])
                     columns = (names.take(pa.array(row[at[i]])), np.full(len(i), k, np.int32), h[i].view(np.int64), _joined(data, starts, ends, at[i], k), n * counted)
-                    held.append(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)))
-            if sum(map(len, held)) >= max(HELD_TEXTS // 2, 2 * known):
-                held = [summed()]
-                known = len(held[0])
-                if known >= HELD_TEXTS:
-                    yield from held.pop().to_batches()
-                    known = 0
-        if held:
-            yield from summed().to_batches()
-        yield pa.RecordBatch.from_pylist([{"lang": x, "k": 0, "h": 0, "phrase": "", "f": n} for x, n in totals.items()], pa.schema(kinds.items()))
+                    held.append(pa.table([pa.array(c, x.type) for c, x in zip(columns, _FOUND, strict=True)], schema=_FOUND))
+                if sum(map(len, held)) >= HELD_TEXTS:
+                    yield _dealt(_summed(held), part_bits)
+                    held.clear()
+        held.append(pa.Table.from_pylist([{"lang": x, "k": 0, "h": 0, "phrase": "", "f": n} for x, n in totals.items()], _FOUND))
+        if any(map(len, held)):
+            yield _dealt(_summed(held), part_bits)
 
-    return stored.select("lang", "text").mapInArrow(run, "lang string, k int, h long, phrase string, f long")
+    blocks = stored.select("lang", "text").mapInArrow(run, "part int, block binary")
+    return blocks.groupBy("part").applyInArrow(_gathered, "lang string, k int, h long, phrase string, f long")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f of all phrases of one to four words that are found ``least`` times; lang, n of its words)."""
     hashes, stored, size = frequent_hashes(docs, least, cycle, bits)
+    frequent = hashes.count()
+    part_bits = (frequent // PART_PHRASES).bit_length()
     if bits is None:
-        bits = min(max((WANTED_SLOTS * hashes.count()).bit_length(), LEAST_BITS), MOST_WANTED_BITS)
+        bits = min(max((WANTED_SLOTS * frequent).bit_length(), LEAST_BITS), MOST_WANTED_BITS)
     tables = _slots(hashes, bits)
     for counted in (False, True):  # texts of one hash are told apart by their own counts, which are found only if there are such texts
-        seen = phrase_texts(_tasks(stored, size), tables, bits, counted)
-        seen = materialize(seen.groupBy("lang", "k", "h", "phrase").agg(F.sum("f").alias("f")), "collocations-texts")
+        seen = materialize(phrase_texts(stored.coalesce(partitions_for(size, TEXT_TASK_BYTES)), tables, bits, part_bits, counted), "collocations-texts")
         named = seen.filter("k > 0").join(hashes.withColumnRenamed("n", "counted"), ["k", "h"])
         alone = F.count("*").over(W.partitionBy("k", "h")) == 1
         f = F.when(F.col("alone"), F.col("counted")).otherwise(F.col("f"))

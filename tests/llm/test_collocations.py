@@ -182,3 +182,13 @@ def test_places_of_phrases_that_were_handed_on():
     assert len(seen.missing(h, g + C.np.uint64(1))) == len(h)
     i, n = C._distinct(h[[0, 1, 0, 1, 1]], g[[0, 1, 0, 2, 1]])
     assert sorted(n.tolist()) == [1, 2, 2] and len(set(i.tolist())) == 3
+
+
+def test_many_ranges_of_texts(spark, varied, monkeypatch):
+    """Texts of phrases are brought together by ranges of hashes, from several tasks."""
+    monkeypatch.setattr(C, "PART_PHRASES", 16, raising=False)
+    monkeypatch.setattr(C, "TEXT_TASK_BYTES", 8192, raising=False)
+    docs = spark.createDataFrame(varied, "lang string, text string").repartition(3)
+    table, words = C.phrase_counts(docs, 6)
+    assert found(table) == frequent(varied, 6)
+    assert {r["lang"]: r["n"] for r in words.collect()} == dict(plain_counts(varied)[1])
