@@ -66,8 +66,8 @@ HELD = 2 << 20
 HELD_TEXTS = 1 << 17
 #: Frequent phrases for each range of hashes whose texts are brought together.
 PART_PHRASES = 1 << 15
-#: Slots of each of two tables of the phrases that a task of the last scan has handed on.
-SEEN_BITS = 20
+#: Slots of each of two tables of the phrases that a task of the last scan has handed on: more for more frequent phrases.
+LEAST_SEEN_BITS, MOST_SEEN_BITS = 16, 22
 #: As many as Spark allows a table.
 MOST_BUCKETS = 1 << 16
 #: Longer words are hashed one by one.
@@ -369,26 +369,26 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nd
 
 
 class _Seen:
-    """Phrases that a task has handed on, by two hashes: a place in one of two tables, or none where both are taken."""
+    """Phrases that a task has handed on: a place by the first hash in one of two tables, or none where both are taken, that has the second hash."""
 
-    def __init__(self, bits: int = SEEN_BITS):
-        self.tables = np.zeros((2, 2, 1 << bits), np.uint64)
+    def __init__(self, bits: int):
+        self.tables = np.zeros((2, 1 << bits), np.uint64)
         self.slots = (lambda h: h >> U64(64 - bits), lambda h: h & U64((1 << bits) - 1))
 
     def missing(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
         """The places of phrases that are not in the tables."""
         on = np.arange(len(h))
-        for (first, second), slot in zip(self.tables, self.slots, strict=True):
-            s = slot(h[on]).astype(np.int64)
-            on = on[(first[s] != h[on]) | (second[s] != g[on])]
+        for table, slot in zip(self.tables, self.slots, strict=True):
+            on = on[table[slot(h[on]).astype(np.int64)] != g[on] | U64(1)]
         return on
 
     def add(self, h: np.ndarray, g: np.ndarray) -> None:
-        for (first, second), slot in zip(self.tables, self.slots, strict=True):
+        g = g | U64(1)  # 0 is a free place
+        for table, slot in zip(self.tables, self.slots, strict=True):
             s = slot(h).astype(np.int64)
-            free = (first[s] == 0) & (second[s] == 0)
-            first[s[free]], second[s[free]] = h[free], g[free]
-            rest = (first[s] != h) | (second[s] != g)
+            free = table[s] == 0
+            table[s[free]] = g[free]
+            rest = table[s] != g
             h, g = h[rest], g[rest]
 
 
@@ -419,7 +419,7 @@ def _gathered(blocks: pa.Table) -> pa.Table:
     return _summed([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blocks["block"]])
 
 
-def phrase_texts(stored: DataFrame, tables: np.ndarray, bits: int, part_bits: int, counted: bool = False) -> DataFrame:
+def phrase_texts(stored: DataFrame, tables: np.ndarray, bits: int, part_bits: int, seen_bits: int, counted: bool = False) -> DataFrame:
     """lang, k, h, phrase, f: the texts of wanted phrases, and the number of all words of a language with 0 for k.
 
     ``f`` of phrases is 0 unless they are ``counted``; else a task looks at the
@@ -427,7 +427,7 @@ def phrase_texts(stored: DataFrame, tables: np.ndarray, bits: int, part_bits: in
     2^``part_bits`` ranges of hashes."""
 
     def run(batches):
-        totals, held, marks, seen = Counter(), [], _wanted(tables, bits), _Seen()
+        totals, held, marks, seen = Counter(), [], _wanted(tables, bits), _Seen(seen_bits)
         for batch in batches:
             for langs, data, off, codes in _texts(batch):
                 starts, ends, row, begins = words(data, off)
@@ -461,12 +461,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, cycle: int = SHARDS, bits
     """(lang, k, phrase, f of all phrases of one to four words that are found ``least`` times; lang, n of its words)."""
     hashes, stored, size = frequent_hashes(docs, least, cycle, bits)
     frequent = hashes.count()
-    part_bits = (frequent // PART_PHRASES).bit_length()
+    part_bits, seen_bits = (frequent // PART_PHRASES).bit_length(), min(max(frequent.bit_length(), LEAST_SEEN_BITS), MOST_SEEN_BITS)
     if bits is None:
         bits = min(max((WANTED_SLOTS * frequent).bit_length(), LEAST_BITS), MOST_WANTED_BITS)
     tables = _slots(hashes, bits)
     for counted in (False, True):  # texts of one hash are told apart by their own counts, which are found only if there are such texts
-        seen = materialize(phrase_texts(stored.coalesce(partitions_for(size, TEXT_TASK_BYTES)), tables, bits, part_bits, counted), "collocations-texts")
+        seen = materialize(phrase_texts(stored.coalesce(partitions_for(size, TEXT_TASK_BYTES)), tables, bits, part_bits, seen_bits, counted), "collocations-texts")
         named = seen.filter("k > 0").join(hashes.withColumnRenamed("n", "counted"), ["k", "h"])
         alone = F.count("*").over(W.partitionBy("k", "h")) == 1
         f = F.when(F.col("alone"), F.col("counted")).otherwise(F.col("f"))
